@@ -7,9 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .language_id import op4_language_id
+from .packing import op5_packing
+from .quality import op8_quality
+from .secrets import op2_secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_secrets": op2_secrets,
     "op4_language_id": op4_language_id,
+    "op5_packing": op5_packing,
+    "op8_quality": op8_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {}
