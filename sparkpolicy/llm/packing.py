@@ -27,6 +27,9 @@ CAPACITY = 2048
 CHUNK = 20_000
 _MOST_CACHED = 400_000
 _LONGEST_CACHED = 64
+#: Words that are tokenised at once, and marks that are split off a word's end.
+_LINE = 64
+_MARKS = ".,;:!?%$&#*()\""
 
 
 class OpenBins:
@@ -118,10 +121,11 @@ def best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
 
 
 class WordTokenizer:
-    """A tokenizer of the ``tokenizers`` library, with the ids of whole words remembered.
+    """A tokenizer of the ``tokenizers`` library, with the ids of words and of their parts remembered.
 
-    It suits tokenizers that neither keep white space nor look across it. Texts are split at blanks, line
-    ends and tabs; other white space is left to the tokenizer.
+    It suits tokenizers that neither keep white space nor look across it, that part letters and digits from
+    other characters, and whose tokens mark the end of a part. Texts are split at blanks, line ends and
+    tabs, other white space is left to the tokenizer; marks at the end of a word are split off.
     """
 
     def __init__(self, path: str) -> None:
@@ -129,22 +133,51 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.words: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.known) > _MOST_CACHED:
-            self.known.clear()
+        if len(self.words) > _MOST_CACHED:
+            self.words.clear()
+        if len(self.parts) > 2 * _MOST_CACHED:
+            self.parts.clear()
         words = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        new = list(set().union(*words).difference(self.known))
-        ids = [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(new, add_special_tokens=False)]
-        self.known.update(zip(new, ids, strict=True))
-        out = [b"".join(map(self.known.__getitem__, w)) for w in words]
+        new = set().union(*words).difference(self.words)
+        cut = {w: self._cut(w) for w in new}
+        self._learn({p for c in cut.values() for p in c}.difference(self.parts))
+        self.words.update((w, b"".join(map(self.parts.__getitem__, c))) for w, c in cut.items())
+        out = [b"".join(map(self.words.__getitem__, w)) for w in words]
         for w in new:
             if len(w) > _LONGEST_CACHED:
-                del self.known[w]
+                del self.words[w]
+                for p in cut[w]:
+                    self.parts.pop(p, None)
         return out
 
+    @staticmethod
+    def _cut(word: str) -> tuple[str, ...]:
+        stem = word.rstrip(_MARKS)
+        return (stem, word[len(stem) :]) if stem and stem != word and stem[-1].lower().isalnum() else (word,)
+
+    def _learn(self, parts: set[str]) -> None:
+        plain = [p for p in parts if p.isalpha()]
+        alone = [p for p in parts if not p.isalpha()]
+        lines = [plain[i : i + _LINE] for i in range(0, len(plain), _LINE)]
+        for line, e in zip(lines, self.tokenizer.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            ends = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
+            if len(ends) == len(line):
+                data = ids.tobytes()
+                self.parts.update((p, data[a:b]) for p, a, b in zip(line, [0, *ends], ends, strict=False))
+            else:  # some word has several parts after all
+                alone += line
+        found = self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)
+        self.parts.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(alone, found, strict=True))
+
 
 @lru_cache(maxsize=2)
 def word_tokenizer(path: str) -> WordTokenizer:
