@@ -6,10 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sparkpolicy.llm.common import shared_path, table
 from sparkpolicy.llm.language_id import keep_identified
+from sparkpolicy.llm.minhash import keep_distinct
+from sparkpolicy.llm.packing import pack_documents
+from sparkpolicy.llm.quality import keep_quality
+from sparkpolicy.llm.secrets import redact_secrets
 
 #: (name, function); a function takes (spark, docs, sf_dir).
 STAGES = [
     ("language_id", keep_identified),
+    ("quality", keep_quality),
+    ("near_dedup", keep_distinct),
+    ("secrets", redact_secrets),
+    ("packing", pack_documents),
 ]
 
 #: Tokenising and the models can't be written in SQL.

@@ -6,16 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .embeddings import op3_embedding_dedup
+from .fingerprints import op1_fingerprints
 from .language_id import op4_language_id
+from .minhash import op10_minhash
 from .packing import op5_packing
 from .quality import op8_quality
 from .secrets import op2_secrets
+from .warc import OP9_SQL, op9_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_fingerprints": op1_fingerprints,
     "op2_secrets": op2_secrets,
+    "op3_embedding_dedup": op3_embedding_dedup,
     "op4_language_id": op4_language_id,
     "op5_packing": op5_packing,
     "op8_quality": op8_quality,
+    "op9_warc": op9_warc,
+    "op10_minhash": op10_minhash,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op9_warc": OP9_SQL}

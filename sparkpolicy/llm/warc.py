@@ -46,7 +46,7 @@ SEPARATOR = member(b"")
 
 def members(data: bytes | memoryview) -> Iterator[tuple[int, int, bytes]]:
     """Offset, length and content of the non-empty gzip members of a file."""
-    view, at = memoryview(data), 0
+    view, at = memoryview(data).cast("B"), 0
     while at < len(view):
         if view[at : at + len(SEPARATOR)] == SEPARATOR:
             at += len(SEPARATOR)
@@ -238,7 +238,7 @@ def read_archives(spark: SparkSession, archives: str, index: str) -> DataFrame:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
         for content, places in zip(batch.column("content"), batch.column("places"), strict=True):
-            view = memoryview(content.as_buffer())
+            view = memoryview(content.as_buffer()).cast("B")
             for x in places.as_py():
                 head, payload = parse(zlib.decompress(view[x["offset"] : x["offset"] + x["length"]], 31))
                 digest = base64.b32decode(head["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
