@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from .embeddings import op3_embedding_dedup
 from .fingerprints import op1_fingerprints
 from .language_id import op4_language_id
+from .licenses import op6_licenses
 from .minhash import op10_minhash
 from .packing import op5_packing
 from .quality import op8_quality
 from .secrets import op2_secrets
+from .sentencepieces import op7_sentencepiece
 from .warc import OP9_SQL, op9_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -21,6 +23,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_embedding_dedup": op3_embedding_dedup,
     "op4_language_id": op4_language_id,
     "op5_packing": op5_packing,
+    "op6_licenses": op6_licenses,
+    "op7_sentencepiece": op7_sentencepiece,
     "op8_quality": op8_quality,
     "op9_warc": op9_warc,
     "op10_minhash": op10_minhash,
