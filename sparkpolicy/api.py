@@ -18,7 +18,7 @@ from .functions.documents import BUILTINS
 from .lang.errors import CompileError, EvaluationError, PolicyError
 from .lang.nodes import Module, Node
 from .lang.parser import parse, parse_expression
-from .operators.lowering import Collection, NeedsRelation, RowBody, Scope, World, complete_relation
+from .operators.lowering import Collection, Deferred, NeedsRelation, RowBody, Scope, World, clause, complete_relation
 from .operators.terms import UNDEFINED, Cell, Fields, Term, Undefined, constant, defined, row, solid, widest
 from .plans.analysis import Compiled, compile_module
 from .sources.catalog import Catalog
@@ -86,6 +86,12 @@ class Policy:
         """
         w = self._world(df.sparkSession, catalog, row(df))
         try:
+            only = self._single_clause(rule, w)
+            if only is not None:  # its condition is a plain filter, which reaches the scan
+                cond, t = only
+                df = df if cond is None else df.where(cond)
+                cells = {k: solid(x) for k, x in t.fields.items()} if isinstance(t, Fields) else {"v": solid(t)}
+                return df.select(*keys, *[c.col.alias(k) for k, c in cells.items()])
             t = RowBody((), Scope({}, w)).rule(rule, w)
             if isinstance(t, Collection):
                 raise NeedsRelation
@@ -99,6 +105,18 @@ class Policy:
             return held.select(*keys, *[solid(x).col.alias(k) for k, x in t.fields.items()])
         return held.select(*keys, solid(t).col.alias("v"))
 
+    def _single_clause(self, rule: str, w: World) -> tuple | None:
+        """Condition and value of a complete rule of one clause, if it reads the row alone."""
+        clauses = self.compiled.rules.get(rule, ())
+        if len(clauses) != 1 or rule in self.compiled.defaults or clauses[0].kind != "complete" or clauses[0].orelse:
+            return None
+        found = clause(clauses[0], Scope({}, w), [])
+        if not found or isinstance(found[0][1], (Collection, Deferred)):
+            return None
+        t = found[0][1]
+        cells = list(t.fields.values()) if isinstance(t, Fields) else [t]
+        return found[0] if all(solid(c) is not None for c in cells) else None
+
     def _joined(self, df: DataFrame, rule: str, keys: list[str], w: World) -> DataFrame:
         if self.compiled.kind(rule) != "complete":
             raise CompileError(f"rule {rule} over tables and rows is no complete rule")

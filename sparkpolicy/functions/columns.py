@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.terms import UNDEFINED, WHOLE, Cell, Fields, Items, Null, Term, all_defined, as_kind, boolean, cell, constant, defined, equal, kind, only_if_defined, solid, widest
+from ..operators.terms import UNDEFINED, WHOLE, Cell, Fields, Items, Null, Term, all_defined, as_kind, boolean, cell, constant, defined, equal, kind, only_if_defined, solid, truthy, widest
 
 STRING, LONG, DOUBLE = T.StringType(), T.LongType(), T.DoubleType()
 
@@ -273,6 +273,9 @@ def _extreme(fn: Callable) -> Callable:
 
 def _quantified(fn: Callable) -> Callable:
     def build(t: Term) -> Term:
+        if isinstance(t, Items) and not t.is_set:
+            parts = [F.lit(True) if (p := truthy(x)) is None else F.coalesce(p, F.lit(False)) for x in t.items]
+            return boolean(only_if_defined(fn(F.array(*parts).cast("array<boolean>"), lambda x: x), t), t)
         c = solid(t) if kind(t) == "array" else None
         if c is None:
             return UNDEFINED
