@@ -3,10 +3,10 @@
 A permutation of the shingle hashes gives two signature values, its minimum and its maximum, so that half
 the hash evaluations fill a signature; both agree with the probability of the Jaccard similarity. Minima and
 maxima go to different bands, whose rows therefore come from different permutations. Documents with a band
-in common are candidates. In each bucket one member is the pivot, all others are compared with it on the full
-shingle sets, and what the confirmed links join needs no further comparison; buckets that still hold
-several groups get more pivots, four times as many each round, until every pair of a bucket is either
-compared or joined. So no link is lost to a bound, and a bucket of copies costs one comparison a member.
+in common are candidates, and so is whatever chains of candidates join. Within such a group all are compared
+on the full shingle sets with the smallest one, the pivot, which takes one comparison a member, and then the
+pairs that are not yet joined through it, tile by tile. So no link is lost to a bound, and a group of near copies
+is compared in as many tasks as its size asks for.
 """
 
 from __future__ import annotations
@@ -14,9 +14,10 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import map_texts, table, written
@@ -25,6 +26,8 @@ from .components import components
 WORDS = 5
 #: The chance that a pair just at the threshold shares no band.
 MISS = 1e-6
+#: Sets in a tile; tiles grow with their group, up to the larger bound.
+TILE, LARGEST_TILE = 256, 4096
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MIX2 = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -98,20 +101,86 @@ def signatures(docs: DataFrame, *, threshold: float, words: int = WORDS, id_col:
     return map_texts(slim, f"id {slim.schema['id'].dataType.simpleString()}, n long, h1 long, h2 long, keys array<long>", run)
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose intersection times ``den`` is at least the union times ``num``."""
+def _alike(one: np.ndarray, two: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(one, two, assume_unique=True))
+    return 100 * both >= percent * (len(one) + len(two) - both)
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keep = []
-        for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True):
-            one, two = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            both = len(np.intersect1d(one, two, assume_unique=True))
-            keep.append(den * both >= num * (len(one) + len(two) - both))
-        return batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    full = pairs.join(sets.select(F.col("id").alias("a"), F.col("grams").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("grams").alias("sb")), "b").select("a", "b", "sa", "sb")
-    kind = pairs.schema["a"].dataType.simpleString()
-    return map_texts(full, f"a {kind}, b {kind}", run)
+def _with_pivot(sets: DataFrame, percent: int) -> DataFrame:
+    """``id``, ``group`` and ``linked`` of each set but the pivots: whether it is linked with its group's pivot."""
+    pivots = sets.where("id = group").select("group", F.col("grams").alias("pivot"))
+    pairs = sets.where("id <> group").join(pivots.hint("merge"), "group").select("id", "group", "grams", "pivot")
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        linked = [_alike(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent) for x, y in zip(batch.column("grams"), batch.column("pivot"), strict=True)]
+        return pa.RecordBatch.from_arrays([batch.column("id"), batch.column("group"), pa.array(linked, pa.bool_())], ["id", "group", "linked"])
+
+    kind = sets.schema["id"].dataType.simpleString()
+    return map_texts(pairs, f"id {kind}, group {kind}, linked boolean", run)
+
+
+def tile_links(ids: np.ndarray, grams: list[np.ndarray], one: np.ndarray, two: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links between two lists of positions, or within one list if they are equal."""
+    _, codes = np.unique(np.concatenate(grams), return_inverse=True)
+    sizes = np.array([len(g) for g in grams])
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    same = np.array_equal(one, two)
+    entries = np.concatenate([codes[ends[j] : ends[j + 1]] for j in two])
+    starts = np.concatenate([[0], np.cumsum(sizes[two])[:-1]])
+    parent = list(range(len(ids)))
+    mark, out = np.zeros(codes.max() + 1, bool), []
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for n, i in enumerate(one.tolist()):
+        own = codes[ends[i] : ends[i + 1]]
+        mark[own] = True
+        both = np.add.reduceat(mark[entries], starts)
+        mark[own] = False
+        near = 100 * both >= percent * (sizes[i] + sizes[two] - both)
+        for j in two[np.flatnonzero(near)].tolist():
+            a, b = root(i), root(j)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                out.append((int(ids[i]), int(ids[j])))
+        if same and n + 1 < len(two):  # what follows is compared with the rest alone
+            entries, two, starts = entries[sizes[i] :], two[1:], starts[1:] - sizes[i]
+    return out
+
+
+def _between_others(sets: DataFrame, near: DataFrame, percent: int) -> DataFrame:
+    """The links (a, b) of groups in which some set isn't linked with the pivot.
+
+    Two sets that both are linked with the pivot need no comparison. So the tasks of a group are the pairs of
+    tiles of unlinked sets, and their tiles against those of linked sets; a task sends out a spanning forest.
+    """
+    sizes = near.groupBy("group").agg(F.count_if(~F.col("linked")).alias("loose"), F.count_if("linked").alias("tied")).where("loose > 0 and loose + tied > 1")
+    tile = F.greatest(F.lit(TILE), F.least(F.lit(LARGEST_TILE), F.greatest("loose", "tied") / 16))
+    sizes = written(sizes.select("group", F.ceil(F.col("loose") / tile).cast("int").alias("n_loose"), F.ceil(F.col("tied") / tile).cast("int").alias("n_tied")), "open-groups")
+    upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    spot = lambda kind, x, y: F.struct(F.lit(kind).alias("kind"), x.alias("x"), y.alias("y"))
+    own = lambda c: F.pmod(F.xxhash64("id"), F.col(c)).cast("int")
+    empty = F.array().cast("array<struct<kind:int,x:int,y:int>>")
+    loose = F.concat(F.transform(upto("n_loose"), lambda j: spot(0, F.least(own("n_loose"), j), F.greatest(own("n_loose"), j))), F.when(F.col("n_tied") > 0, F.transform(upto("n_tied"), lambda j: spot(1, own("n_loose"), j))).otherwise(empty))
+    tied = F.transform(upto("n_loose"), lambda i: spot(1, i, own("n_tied")))
+    dealt = written(near.join(sizes.hint("merge"), "group").select("id", "group", "linked", F.when(F.col("linked"), tied).otherwise(loose).alias("tasks"), F.when(F.col("linked"), F.lit(0)).otherwise(own("n_loose")).alias("tile")), "dealt")
+    full = sets.select("id", "grams").join(dealt.hint("merge"), "id").select("id", "group", "linked", "tile", "grams", F.explode("tasks").alias("task")).select("id", "group", "linked", "tile", "grams", "task.kind", "task.x", "task.y")
+
+    def join(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id")
+        first, linked, tile = pdf.iloc[0], pdf["linked"].to_numpy(), pdf["tile"].to_numpy()
+        grams = [np.frombuffer(x, np.uint64) for x in pdf["grams"]]
+        one = np.flatnonzero(~linked & (tile == first["x"]))
+        two = np.flatnonzero(linked if first["kind"] else ~linked & (tile == first["y"]))
+        out = tile_links(pdf["id"].to_numpy(), grams, one, two, percent) if len(one) and len(two) else []
+        return pd.DataFrame(out, columns=["a", "b"], dtype=pdf["id"].dtype)
+
+    kind = sets.schema["id"].dataType.simpleString()
+    return full.repartition("group", "kind", "x", "y").groupBy("group", "kind", "x", "y").applyInPandas(join, f"a {kind}, b {kind}")
 
 
 def near_duplicates(docs: DataFrame, *, percent: int = 85, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -123,58 +192,32 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, words: int = WORDS, i
     with nothing. Rows that repeat an id are one node; a row without an id has no component and is kept.
     Equal sets collapse into one class before candidates are looked for. An empty table gives no row.
     """
-    spark = docs.sparkSession
     marks = written(signatures(docs, threshold=percent / 100, words=words, id_col=id_col, text_col=text_col), "signatures")
     known = marks.where("n > 0 and id is not null")
     classes = written(known.groupBy("n", "h1", "h2").agg(F.min("id").alias("rep"), F.first("keys").alias("keys")), "classes")
 
-    rows = classes.select("rep", "n", F.posexplode("keys").alias("band", "key"))
-    buckets = rows.groupBy("band", "key").agg(F.count("*").alias("size"), F.min("rep").alias("pivot")).where("size > 1")
-    buckets = written(buckets, "buckets")
-    members = written(rows.join(buckets.select("band", "key", "pivot"), ["band", "key"]), "members")
-    first = members.where("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
+    rows = classes.select("rep", F.posexplode("keys").alias("band", "key"))
+    buckets = written(rows.groupBy("band", "key").agg(F.count("*").alias("size"), F.min("rep").alias("pivot")).where("size > 1").select("band", "key", "pivot"), "buckets")
+    candidates = rows.join(buckets.hint("merge"), ["band", "key"]).where("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b"))
+    groups = written(components(candidates).select(F.col("node").alias("id"), F.col("component").alias("group")), "candidate-groups")
 
-    inside = members.select(F.col("rep").alias(id_col)).distinct()
-    slim = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
+    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def grams(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t.as_py(), words).tobytes() for t in batch.column(1)], pa.binary())], ["id", "grams"])
-
-    kind = slim.schema[id_col].dataType.simpleString()
-    sets = map_texts(slim.join(inside, id_col, "left_semi").select(id_col, "text"), f"id {kind}, grams binary", grams)
-    sets = written(sets.groupBy("id").agg(F.max("grams").alias("grams")) if _repeats(marks) else sets, "sets")
-
-    links = written(_confirmed(first, sets, percent, 100), "links")
-    open_rows = members.where("rep <> pivot").select("band", "key", "rep", "n")
-    checked, pivots, groups = first, 4, None
-    while True:
-        groups = components(links)
-        grouped = open_rows.join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left").select("band", "key", "rep", "n", F.coalesce("component", "rep").alias("group"))
-        sizes = grouped.groupBy("band", "key", "group").agg(F.count("*").alias("c"))
-        main = sizes.groupBy("band", "key").agg(F.max(F.struct("c", "group")).alias("most"), F.count("*").alias("groups")).where("groups > 1").select("band", "key", F.col("most.group").alias("main"))
-        main = written(main, "open-buckets")
-        active = written(grouped.join(main, ["band", "key"]), "open-members")
-        if active.isEmpty():
-            break
-        turn = F.row_number().over(Window.partitionBy("band", "key").orderBy("rep"))
-        chosen = written(active.where("group <> main").select("band", "key", "rep", "group", "n", turn.alias("turn")).where(F.col("turn") <= pivots), "pivots")
-        x, y = active.alias("x"), chosen.alias("y")
-        close = (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent) & (F.col("x.group") != F.col("y.group"))
-        pairs = (
-            x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & close)
-            .select(F.greatest("x.rep", "y.rep").alias("a"), F.least("x.rep", "y.rep").alias("b"))
-            .distinct()
-            .join(checked, ["a", "b"], "left_anti")
-        )
-        pairs = written(pairs, "pairs")
-        links = written(links.unionByName(_confirmed(pairs, sets, percent, 100)), "links")
-        checked = checked.unionByName(pairs)
-        open_rows = active.select("band", "key", "rep", "n").join(chosen.select("band", "key", "rep"), ["band", "key", "rep"], "left_anti")
-        pivots *= 4
+        return pa.RecordBatch.from_arrays([batch.column("id"), batch.column("group"), pa.array([shingles(t.as_py(), words).tobytes() for t in batch.column("text")], pa.binary())], ["id", "group", "grams"])
+
+    kind = slim.schema["id"].dataType.simpleString()
+    inside = slim.join(groups.hint("merge"), "id").select("id", "group", "text")  # one plan at every size
+    sets = map_texts(inside, f"id {kind}, group {kind}, grams binary", grams)
+    sets = written(sets.groupBy("id", "group").agg(F.max("grams").alias("grams")) if _repeats(marks) else sets, "sets")
+
+    near = written(_with_pivot(sets, percent), "near-pivots")
+    links = near.where("linked").select(F.col("id").alias("a"), F.col("group").alias("b"))
+    found = components(links.unionByName(_between_others(sets, near, percent)))
 
-    named = classes.select("n", "h1", "h2", "rep").join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left").select("n", "h1", "h2", F.coalesce("component", "rep").alias("component"))
+    named = classes.select("n", "h1", "h2", "rep").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("n", "h1", "h2", F.coalesce("component", "rep").alias("component"))
     named = written(named, "named-classes")
-    out = marks.select("id", "n", "h1", "h2").join(named, ["n", "h1", "h2"], "left")
+    out = marks.select("id", "n", "h1", "h2").join(named.hint("merge"), ["n", "h1", "h2"], "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
 
