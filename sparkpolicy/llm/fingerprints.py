@@ -20,10 +20,12 @@ from pyspark.sql import functions as F
 from .common import table
 
 #: Words of a piece at most.
-PIECE_WORDS = 24
+PIECE_WORDS = 32
 #: Cells of a subtable of the fingerprint itself, and of a group's sketches, one size after another.
 CELLS = 4
 RETRIES = (8, 32, 128)
+#: Rounds of peeling; a third of them for each subtable.
+ROUNDS = 15
 #: Pieces of one version in a group, about.
 GROUP = 6
 #: Documents whose successor is found together, about, and most such ranges.
@@ -46,22 +48,22 @@ def _check(key: Column) -> Column:
     return F.xxhash64(key, F.lit(17)).bitwiseAND(F.lit(0xFFFFFFFF))
 
 
-def _spot(key: Column, sub: Column | int, size: int) -> Column:
+def _spot(key: Column, sub: Column, size: Column) -> Column:
     """The cell of a key in a subtable. The top 42 bits of a digest have 14 for each subtable."""
-    shift = (F.lit(22) + F.lit(14) * sub).cast("int") if isinstance(sub, Column) else F.lit(22 + 14 * sub)
-    return F.call_function("shiftrightunsigned", key, shift).bitwiseAND(F.lit(size - 1))
+    return F.call_function("shiftrightunsigned", key, F.lit(22) + F.lit(14) * sub).bitwiseAND(size - 1)
 
 
-def sketch(keys: Column, size: int) -> Column:
-    """Three subtables of ``size`` cells (n, key, sum), one after another."""
+def _upto(n: Column) -> Column:
+    return F.sequence(F.lit(0), n.cast("int") - 1)
 
-    def cell(i: Column) -> Column:
-        sub, at = F.floor(i / size).cast("int"), F.pmod(i, F.lit(size))
-        own = F.filter(keys, lambda k: _spot(k, sub, size) == at)
-        empty = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("key"), F.lit(0).cast("long").alias("sum"))
-        return F.aggregate(own, empty, lambda c, k: F.struct((c["n"] + 1).alias("n"), c["key"].bitwiseXOR(k).alias("key"), c["sum"].bitwiseXOR(_check(k)).alias("sum")))
 
-    return F.transform(F.sequence(F.lit(0), F.lit(3 * size - 1)), cell)
+def sketch(keys: Column, size: Column) -> Column:
+    """Three subtables, each an array of ``size`` cells (n, key, sum)."""
+    zero = F.lit(0).cast("long")
+    empty = F.struct(zero.alias("n"), zero.alias("key"), zero.alias("sum"))
+    plus = lambda c, k: F.struct((c["n"] + 1).alias("n"), c["key"].bitwiseXOR(k).alias("key"), c["sum"].bitwiseXOR(_check(k)).alias("sum"))
+    cell = lambda sub, at: F.aggregate(F.filter(keys, lambda k: _spot(k, sub, size) == at), empty, plus)
+    return F.transform(F.sequence(F.lit(0), F.lit(2)), lambda sub: F.transform(_upto(size), lambda at: cell(sub, at)))
 
 
 def _minus(a: Column, b: Column) -> Column:
@@ -72,52 +74,52 @@ def _full(cell: Column) -> Column:
     return (cell["n"] != 0) | (cell["key"] != 0) | (cell["sum"] != 0)
 
 
-def peel(cells: Column, size: int) -> Column:
-    """``cells`` and ``found``: the cells left and the digests recovered from a difference of sketches."""
-    rounds = 12 if size <= 8 else 18
+def peel(cells: Column, size: Column) -> Column:
+    """``cells`` and ``found``: the cells left and the digests recovered from a difference of sketches.
+
+    Each round takes the pure cells of one subtable, in which no digest occurs twice.
+    """
 
     def turn(state: Column, r: Column) -> Column:
-        sub = F.pmod(r, F.lit(3))
-        pure = F.filter(F.slice(state["cells"], sub * size + 1, F.lit(size)), lambda c: (F.abs(c["n"]) == 1) & (_check(c["key"]) == c["sum"]))
+        pure = F.filter(state["cells"][F.pmod(r, F.lit(3))], lambda c: (F.abs(c["n"]) == 1) & (_check(c["key"]) == c["sum"]))
 
         def without(pure: Column) -> Column:
-            def cell(c: Column, i: Column) -> Column:
-                at, part = F.pmod(i, F.lit(size)), F.floor(i / size).cast("int")
-                return F.aggregate(F.filter(pure, lambda p: _spot(p["key"], part, size) == at), c, _minus)
-
-            return F.when(F.size(pure) == 0, state).otherwise(F.struct(F.transform(state["cells"], cell).alias("cells"), F.concat(state["found"], F.transform(pure, lambda p: p["key"])).alias("found")))
+            cell = lambda c, sub, at: F.aggregate(F.filter(pure, lambda p: _spot(p["key"], sub, size) == at), c, _minus)
+            left = F.transform(state["cells"], lambda part, sub: F.transform(part, lambda c, at: cell(c, sub, at)))
+            return F.when(F.size(pure) == 0, state).otherwise(F.struct(left.alias("cells"), F.concat(state["found"], F.transform(pure, lambda p: p["key"])).alias("found")))
 
         return let(pure, without)
 
     start = F.struct(cells.alias("cells"), F.array().cast("array<bigint>").alias("found"))
-    return F.aggregate(F.sequence(F.lit(0), F.lit(rounds - 1)), start, turn)
+    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, turn)
 
 
-def difference(a: Column, b: Column, size: int) -> Column:
+def difference(a: Column, b: Column, size: Column) -> Column:
     """The digests that differ between two sketches of one size, or null if they can't be peeled."""
-    return let(peel(F.zip_with(a, b, _minus), size), lambda s: F.when(~F.exists(s["cells"], _full), s["found"]))
+    cells = F.zip_with(a, b, lambda x, y: F.zip_with(x, y, _minus))
+    return let(peel(cells, size), lambda s: F.when(~F.exists(F.flatten(s["cells"]), _full), s["found"]))
 
 
 def _grouped(keys: Column, one: Column, two: Column) -> Column:
     """The keys dealt into ``one`` times ``two`` groups (powers of two), in two passes."""
-    pick = lambda keys, n, shift: F.transform(F.sequence(F.lit(0), n.cast("int") - 1), lambda g: F.filter(keys, lambda k: F.call_function("shiftrightunsigned", k, F.lit(shift)).bitwiseAND(n.cast("long") - 1) == g))
+    pick = lambda keys, n, shift: F.transform(_upto(n), lambda g: F.filter(keys, lambda k: F.call_function("shiftrightunsigned", k, F.lit(shift)).bitwiseAND(n - 1) == g))
     return F.flatten(F.transform(pick(keys, one, 0), lambda part: pick(part, two, 11)))
 
 
 def _apart(a: Column, b: Column) -> Column:
     """How many digests differ between two small groups, by sketches that grow until they peel."""
-    tries = [F.size(difference(sketch(a, s), sketch(b, s), s)) for s in RETRIES]
-    tries = [F.when(n >= 0, n) for n in tries]
-    return F.when(a == b, F.lit(0)).otherwise(F.coalesce(*tries, F.size(a) + F.size(b)))
+    attempt = lambda n, size: F.coalesce(n, F.size(difference(sketch(a, size), sketch(b, size), size)))
+    grown = F.aggregate(F.array(*map(F.lit, RETRIES)), F.lit(None).cast("int"), attempt)
+    return F.when(a == b, F.lit(0)).otherwise(F.coalesce(grown, F.size(a) + F.size(b)))
 
 
 def apart(a: Column, b: Column, cells_a: Column, cells_b: Column) -> Column:
     """How many digests differ between two versions, from their digests and fingerprint cells."""
     bits = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.size(a), F.size(b), F.lit(1)) / GROUP))).cast("int")
-    one, two = F.pow(F.lit(2), F.floor(bits / 2)).cast("int"), F.pow(F.lit(2), F.ceil(bits / 2)).cast("int")
-    groups = lambda x, y: F.aggregate(F.zip_with(_grouped(a, x, y), _grouped(b, x, y), _apart), F.lit(0), lambda n, m: n + m)
-    first = let(F.size(difference(cells_a, cells_b, CELLS)), lambda n: F.when(n >= 0, n))
-    return F.when(a == b, F.lit(0)).otherwise(F.coalesce(first, groups(one, two)))
+    power = lambda n: F.pow(F.lit(2), n).cast("int")
+    dealt = lambda n: F.zip_with(_grouped(a, n["one"], n["two"]), _grouped(b, n["one"], n["two"]), _apart)
+    groups = let(F.struct(power(F.floor(bits / 2)).alias("one"), power(F.ceil(bits / 2)).alias("two")), lambda n: F.aggregate(dealt(n), F.lit(0), lambda x, y: x + y))
+    return F.when(a == b, F.lit(0)).otherwise(F.coalesce(F.size(difference(cells_a, cells_b, F.lit(CELLS))), groups))
 
 
 def likeness(a: Column, b: Column, differing: Column) -> Column:
@@ -129,13 +131,13 @@ def likeness(a: Column, b: Column, differing: Column) -> Column:
 def encoded(cells: Column) -> Column:
     """Cells as text: for each its count, key and check sum in hexadecimal digits."""
     part = lambda c, n: F.lower(F.lpad(F.hex(c), n, "0"))
-    return F.array_join(F.transform(cells, lambda c: F.concat(part(c["n"], 6), part(c["key"], 16), part(c["sum"], 8))), "")
+    return F.array_join(F.transform(F.flatten(cells), lambda c: F.concat(part(c["n"], 6), part(c["key"], 16), part(c["sum"], 8))), "")
 
 
 def fingerprint(docs: DataFrame, *, text_col: str = "text", words: int = PIECE_WORDS) -> DataFrame:
     """``docs`` with ``digests``, ``cells`` and ``fingerprint``; a null text counts as empty."""
     own = docs.withColumn("digests", digests(F.coalesce(F.col(text_col).cast("string"), F.lit("")), words))
-    own = own.withColumn("cells", sketch(F.col("digests"), CELLS))
+    own = own.withColumn("cells", sketch(F.col("digests"), F.lit(CELLS)))
     return own.withColumn("fingerprint", encoded(F.col("cells")))
 
 
@@ -194,7 +196,11 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     edited = F.concat(F.expr("substring(text, 1, char_length(text) - char_length(text) div 3)"), F.coalesce(F.expr("substring(next_text, 1, char_length(text) div 3)"), F.lit("")))
     out = both.select("doc_id", n.cast("long").alias("n_chars"), "digests", F.coalesce("next_digests", F.array().cast("array<bigint>")).alias("next_digests"), edited.alias("edited"))
     out = out.select("doc_id", "n_chars", "digests", "next_digests", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), digests(F.col("edited")).alias("edited_digests"))
-    for c in ("digests", "edited_digests", "next_digests"):
-        out = out.withColumn(f"{c}_cells", sketch(F.col(c), CELLS))
-    near = lambda c: likeness(F.col("digests"), F.col(c), apart(F.col("digests"), F.col(c), F.col("digests_cells"), F.col(f"{c}_cells")))
-    return out.select("doc_id", "n_chars", "edited_sha256", encoded(F.col("digests_cells")).alias("fingerprint"), encoded(F.col("edited_digests_cells")).alias("edited_fingerprint"), near("edited_digests").alias("near_edited"), near("next_digests").alias("near_next"))
+    sets = F.array("digests", "edited_digests", "next_digests")
+    out = out.withColumn("versions", F.transform(sets, lambda k: F.struct(k.alias("keys"), sketch(k, F.lit(CELLS)).alias("cells"))))
+    own = F.col("versions")[0]
+    near = F.transform(F.slice("versions", 2, 2), lambda v: likeness(own["keys"], v["keys"], apart(own["keys"], v["keys"], own["cells"], v["cells"])))
+    out = out.select("doc_id", "n_chars", "edited_sha256", "versions", near.alias("near"))
+    shown = F.transform(F.slice("versions", 1, 2), lambda v: encoded(v["cells"]))
+    out = out.select("doc_id", "n_chars", "edited_sha256", shown.alias("shown"), "near")
+    return out.select("doc_id", "n_chars", "edited_sha256", F.col("shown")[0].alias("fingerprint"), F.col("shown")[1].alias("edited_fingerprint"), F.col("near")[0].alias("near_edited"), F.col("near")[1].alias("near_next"))
