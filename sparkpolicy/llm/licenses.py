@@ -103,7 +103,7 @@ def scan_notices(files: DataFrame, *, path_col: str = "path", text_col: str = "t
     scored = weighed.select("notice", norm.alias("norm"), dots.alias("dots"))
     best = F.array_max("dots")
     licence = F.element_at(F.array(*map(F.lit, names)), F.array_position("dots", best).cast("int"))
-    scored = scored.select("notice", (best / F.col("norm")).alias("cosine"), licence.alias("license")).where(F.col("cosine") >= least)
+    scored = scored.select("notice", F.round(best / F.col("norm"), 9).alias("cosine"), licence.alias("license")).where(F.col("cosine") >= least)
     scored = written(scored, "notices")
 
     named = found.select("path", "n_chars", "notices").withColumn("row", F.monotonically_increasing_id())
@@ -124,15 +124,15 @@ def license_files(files: DataFrame, *, path_col: str = "path", text_col: str = "
     """``path``, ``license``, ``cosine``, ``origin`` and ``licensed_dir`` of every row.
 
     ``origin`` is ``own`` for a notice in the file, ``inherited`` for the licence of the nearest ancestor directory
-    (``licensed_dir``) with a licence file, and null where there is neither. A directory with several licence
-    files has the licence of the file with the largest cosine, then of the path that sorts first. A row
+    (``licensed_dir``) with a licence file, and null where there is neither. Of a directory's several
+    licence files one that its name tells goes first, then the largest cosine, then the path that sorts first. A row
     without a path has its own licence or none.
     """
     found = written(scan_notices(files, path_col=path_col, text_col=text_col, templates=templates, least=least), "own-licenses")
     name, above = F.element_at(F.split("path", "/"), -1), F.element_at(directories(F.col("path")), 1)["dir"]
-    is_file = name.rlike(NAMED) | (F.col("notice_chars") >= F.lit(share) * F.col("n_chars"))
+    is_file = F.coalesce(name.rlike(NAMED), F.lit(False)) | (F.col("notice_chars") >= F.lit(share) * F.col("n_chars"))
     licensed = found.where(F.col("license").isNotNull() & F.col("path").isNotNull() & is_file)
-    by_dir = licensed.groupBy(above.alias("dir")).agg(F.min_by("license", F.struct(-F.col("cosine"), "path")).alias("inherited"))
+    by_dir = licensed.groupBy(above.alias("dir")).agg(F.min_by("license", F.struct(~name.rlike(NAMED), -F.col("cosine"), "path")).alias("inherited"))
     # Directories are few against files, and each is resolved once.
     wanted = found.where("license is null and path is not null").select(above.alias("home")).distinct()
     ladder = wanted.select("home", F.explode(directories(F.concat("home", F.lit("/x")))).alias("d")).select("home", "d.up", "d.dir")
@@ -153,4 +153,4 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     path = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.expr("doc_id div 1000").cast("string"), F.expr("doc_id div 50").cast("string"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
     found = license_files(docs.select(path.alias("path"), "text"))
-    return found.select(F.regexp_extract("path", r"(\d+)\.txt$", 1).cast("long").alias("doc_id"), "path", "license", F.round("cosine", 9).alias("cosine"), "origin", "licensed_dir")
+    return found.select(F.regexp_extract("path", r"(\d+)\.txt$", 1).cast("long").alias("doc_id"), "path", "license", "cosine", "origin", "licensed_dir")

@@ -65,13 +65,14 @@ def members(data: bytes | memoryview) -> Iterator[tuple[int, int, bytes]]:
 
 def url_key(url: str | None) -> str:
     """The sort key of a URL: its host reversed by labels, then path and query; no scheme, user or fragment."""
+    url = quote((url or "").strip(), safe=_SAFE)
     try:
-        parts = urlsplit((url or "").strip())
+        parts = urlsplit(url)
         host, port = (parts.hostname or "").lower(), parts.port
     except ValueError:
-        return quote(url or "", safe=_SAFE)
+        return url
     shown = ",".join(reversed(host.split("."))) + (f":{port}" if port not in (None, 80, 443) else "")
-    return quote(f"{shown}){parts.path or '/'}{'?' + parts.query if parts.query else ''}", safe=_SAFE)
+    return f"{shown}){parts.path or '/'}{'?' + parts.query if parts.query else ''}"
 
 
 _SAFE = "".join(chr(c) for c in range(33, 127))
@@ -85,7 +86,7 @@ def record(page_id: object, url: str | None, payload: bytes, size: int, digest:
         "WARC-Type": "revisit" if revisit else "response",
         "WARC-Record-ID": f"<urn:page:{'' if page_id is None else page_id}>",
         "WARC-Date": date,
-        "WARC-Target-URI": quote(url or "", safe=_SAFE),
+        "WARC-Target-URI": quote((url or "").strip(), safe=_SAFE),
         "WARC-Payload-Digest": "sha1:" + base64.b32encode(bytes.fromhex(digest)).decode(),
         "WARC-Payload-Length": size,
         "Content-Type": "application/http; msgtype=response",
