@@ -22,6 +22,7 @@ from .operators.lowering import Collection, Deferred, NeedsRelation, RowBody, Sc
 from .operators.terms import UNDEFINED, Cell, Fields, Term, Undefined, constant, defined, row, solid, widest
 from .plans.analysis import Compiled, compile_module
 from .sources.catalog import Catalog
+from .sources.workers import ship_package
 
 
 @dataclass(frozen=True)
@@ -184,6 +185,7 @@ class Policy:
                 rows = batch.take(pa.array(kept, pa.int64()))
                 yield pa.RecordBatch.from_arrays([*rows.columns[:-1], pa.array(out, pa.string())], [*keys, "v"])
 
+        ship_package(df.sparkSession)
         slim = df.select(*keys, F.col(json_col))
         return slim.mapInArrow(run, T.StructType([*(slim.schema[k] for k in keys), T.StructField("v", T.StringType())]))
 
