@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.workers import ship_package
+
 #: Rows and bytes of one Arrow batch that goes to a Python worker: they bound a worker's memory.
 BATCH_ROWS = 2000
 BATCH_BYTES = 16 << 20
@@ -29,21 +29,6 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Hand this package's source to the Python workers, once a context; they need no copy of their own."""
-    sc = spark.sparkContext
-    if getattr(sc, "_sparkpolicy_shipped", False):
-        return
-    root = Path(__file__).resolve().parents[1]
-    if root.is_dir():  # not itself imported from an archive
-        out = Path(tempfile.mkdtemp(prefix="package-")) / "sparkpolicy_source.zip"
-        with zipfile.ZipFile(out, "w") as z:
-            for p in sorted(root.rglob("*.py")):
-                z.write(p, p.relative_to(root.parent))
-        sc.addPyFile(str(out))
-    sc._sparkpolicy_shipped = True
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
