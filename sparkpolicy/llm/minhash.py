@@ -238,7 +238,7 @@ def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Of rows that repeat an id one stays; rows without an id stay.
     """
     found = written(near_duplicates(docs, percent=80).select("doc_id", "kept"), "kept")
-    left = docs.join(found.where("not kept").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    left = docs.join(found.where("not kept").select("doc_id").hint("merge"), "doc_id", "left_anti").select(*docs.columns)
     if _repeats(found.select(F.col("doc_id").alias("id"))):
         named = left.where("doc_id is not null").dropDuplicates(["doc_id"])
         left = left.where("doc_id is null").unionByName(named)

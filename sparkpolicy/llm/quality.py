@@ -156,12 +156,10 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str, *, least: fl
     """Pipeline stage: documents with a score under ``least`` go.
 
     The model is learnt from the stage's own input and the labels outside the held-out quarter; without
-    both classes nothing is rejected. Texts are read once to fit and once to score.
+    both classes nothing is rejected. Texts are read once to fit and once to score, and never shuffled.
     """
-    labels = table(spark, sf_dir, "labels")
-    fold = crc_mod("doc_id", 4)
-    learnt = docs.where(fold != 2).join(labels.select("doc_id").distinct(), "doc_id", "left_semi")
-    model = fit(featurize(learnt), labels)
+    stats = written(featurize(docs.where(crc_mod("doc_id", 4) != 2)), "quality-stats")
+    model = fit(stats, table(spark, sf_dir, "labels"))
     at = docs.columns.index("text")
 
     def kept(batch: pa.RecordBatch) -> pa.RecordBatch:
