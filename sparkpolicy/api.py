@@ -15,10 +15,10 @@ from .document import Evaluator
 from .functions import values as v
 from .functions.columns import COLUMNS
 from .functions.documents import BUILTINS
-from .lang.errors import CompileError, EvaluationError, PolicyError
+from .lang.errors import CompileError, EvaluationError, PolicyError, UnsupportedPlan
 from .lang.nodes import Module, Node
 from .lang.parser import parse, parse_expression
-from .operators.lowering import Collection, Deferred, NeedsRelation, RowBody, Scope, World, clause, complete_relation
+from .operators.lowering import Collection, Deferred, NeedsRelation, RowBody, Scope, World, clause, complete_relation, set_relation
 from .operators.terms import UNDEFINED, Cell, Fields, Term, Undefined, constant, defined, row, solid, widest
 from .plans.analysis import Compiled, compile_module
 from .sources.catalog import Catalog
@@ -96,7 +96,7 @@ class Policy:
             t = RowBody((), Scope({}, w)).rule(rule, w)
             if isinstance(t, Collection):
                 raise NeedsRelation
-        except NeedsRelation:
+        except (NeedsRelation, UnsupportedPlan):
             return self._joined(df, rule, keys, w)
         if isinstance(t, Undefined):
             return df.select(*keys, F.lit(None).cast("string").alias("v")).where("false")
@@ -119,6 +119,8 @@ class Policy:
         return found[0] if all(solid(c) is not None for c in cells) else None
 
     def _joined(self, df: DataFrame, rule: str, keys: list[str], w: World) -> DataFrame:
+        if self.compiled.kind(rule) == "set":
+            return set_relation(rule, w, df, tuple(keys))
         if self.compiled.kind(rule) != "complete":
             raise CompileError(f"rule {rule} over tables and rows is no complete rule")
         found, value = complete_relation(rule, w, df, tuple(keys))

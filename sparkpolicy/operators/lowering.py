@@ -357,7 +357,10 @@ class Planner:
                 return row_set(name, w)
             except NeedsRelation:
                 return set_rule(name, w)
-        return object_rule(name, w)
+        try:
+            return row_object(name, w)
+        except NeedsRelation:
+            return object_rule(name, w)
 
     def comprehension(self, node: Compr, scope: Scope) -> Term:
         if ranges_over_tables(node.body, scope):
@@ -697,6 +700,12 @@ class RowBody(Planner):
         return Cell(col, T.ArrayType(seen["type"]), self._uses(), is_set)
 
     def mapping(self, key: Node, value: Node) -> Term:
+        """An object; a key that occurs twice raises."""
+        col, kt, vt = self.entries(key, value)
+        return Cell(F.map_from_entries(col), T.MapType(kt, vt), self._uses())
+
+    def entries(self, key: Node, value: Node) -> tuple[Column, T.DataType, T.DataType]:
+        """An array of (key, value) structs, and the types of both."""
         types: dict[str, T.DataType] = {}
 
         def column(scope: Scope) -> Column:
@@ -710,7 +719,8 @@ class RowBody(Planner):
         col = F.filter(col if many else F.array(col), lambda x: x.isNotNull())
         if guard is not None:
             col = F.when(F.coalesce(guard, F.lit(False)), col).otherwise(F.slice(col, 1, 0))
-        return Cell(F.map_from_entries(col), T.MapType(types["key"], types["value"]), self._uses())
+        empty = F.array().cast(T.ArrayType(T.StructType([T.StructField("key", types["key"]), T.StructField("value", types["value"])])))
+        return F.coalesce(col, empty), types["key"], types["value"]
 
     def _uses(self) -> frozenset[str]:
         return frozenset().union(*(t.uses for t in (*self.scope.vars.values(), self.scope.world.input)))
@@ -837,6 +847,22 @@ def row_set(name: str, w: World) -> Term:
     return Cell(F.when(F.size(col) > 0, F.array_sort(col)), T.ArrayType(type_), w.input.uses, True)
 
 
+def row_object(name: str, w: World) -> Term:
+    """An object rule over one row; differing values of a key raise, and an empty object is undefined."""
+    rules = w.compiled.rules[name]
+    parts = [RowBody(r.body, Scope({}, w)).entries(r.keys[0], r.value) for r in rules]
+    if any(len(r.keys) > 1 for r in rules):
+        if w.input is UNDEFINED:
+            raise NeedsRelation
+        raise UnsupportedPlan(f"the nested heads of {name} have no row plan", rules[0].at)
+    kt, vt = widest([p[1] for p in parts]), widest([p[2] for p in parts])
+    of = T.ArrayType(T.StructType([T.StructField("key", kt), T.StructField("value", vt)]))
+    col = F.array_distinct(F.concat(*[p[0].cast(of) for p in parts]))
+    clash = F.raise_error(F.lit(f"conflicting object key in {name}")).cast(of)
+    col = F.when(F.size(F.array_distinct(F.transform(col, lambda e: e["key"]))) < F.size(col), clash).otherwise(col)
+    return Cell(F.when(F.size(col) > 0, F.map_from_entries(col)), T.MapType(kt, vt), w.input.uses)
+
+
 # -- relations
 
 
@@ -853,6 +879,12 @@ class Relation(Planner):
     def own(self) -> frozenset[str]:
         return frozenset(self.df.columns) if self.df is not None else frozenset()
 
+    def closed(self, name: str) -> DataFrame:
+        """The rows of a rule, which has no surroundings to share variables with."""
+        if self.keys or self.outside:
+            raise UnsupportedPlan(f"rule {name} reads both its input row and a table where only tables have a plan")
+        return self.frame()
+
     def frame(self) -> DataFrame:
         if self.df is None:
             self.df = self.world.spark.range(1).select(F.lit(1).alias(f"one_{next(_numbers)}"))
@@ -1312,7 +1344,7 @@ def set_rule(name: str, w: World) -> Collection:
         rel = Relation(w)
         scope = rel.solve(r.body, Scope({}, w).opened(r.body))
         value = rel.term(r.value, scope)
-        parts.append(projected(rel.frame(), value)[:2])
+        parts.append(projected(rel.closed(name), value)[:2])
     df, value = parts[0]
     for other, v in parts[1:]:
         if isinstance(value, Cell) and isinstance(v, Cell) and value.type != v.type:
@@ -1335,7 +1367,7 @@ def object_rule(name: str, w: World) -> Collection:
         cells = [solid(rel.term(x, scope)) for x in (*r.keys, r.value)]
         if None in cells or len(r.keys) != depth:
             raise UnsupportedPlan(f"rule {name} has no column form", r.at)
-        df = rel.frame()
+        df = rel.closed(name)
         held = conjunction([d for c in cells if (d := defined(c)) is not None])
         df = df if held is None else df.where(held)
         parts.append((df, cells))
@@ -1359,6 +1391,23 @@ def collection_rule(name: str, w: World) -> Term | None:
     return rel.uncorrelated(t) if isinstance(t, (Collection, Deferred)) and rel.df is None else None
 
 
+def set_relation(name: str, w: World, base: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """The rows (keys, v) of a set rule over input rows and tables: each row's sorted members."""
+    frames, types = [], []
+    for r in w.compiled.rules[name]:
+        rel = Relation(w, base)
+        scope = rel.solve(r.body, Scope({}, w).opened(r.body))
+        c = solid(rel.term(r.value, scope))
+        if c is None:
+            raise UnsupportedPlan(f"the members of {name} have no column form", r.at)
+        frames.append(rel.closed(name).select(*keys, c.col.alias("v")).where("v is not null"))
+        types.append(c.type)
+    df = frames[0].select(*keys, F.col("v").cast(widest(types)).alias("v"))
+    for other in frames[1:]:
+        df = df.unionByName(other.select(*keys, F.col("v").cast(widest(types)).alias("v")))
+    return df.groupBy(*keys).agg(F.array_sort(F.collect_set("v")).alias("v"))
+
+
 def complete_relation(name: str, w: World, base: DataFrame | None = None, keys: tuple[str, ...] = ()) -> tuple[DataFrame, Term]:
     """The rows (keys, value) of a complete rule over tables; several values for the same keys raise."""
     frames, terms = [], []
@@ -1370,7 +1419,7 @@ def complete_relation(name: str, w: World, base: DataFrame | None = None, keys:
             t = rel.term(value, scope)
             if isinstance(t, Fields):
                 t = Fields({k: solid(x) for k, x in t.fields.items()})
-            df = rel.frame()
+            df = rel.closed(name)
             for d in [d for d in [defined(t)] if d is not None]:
                 df = df.where(d)
             cells = {k: solid(x) for k, x in t.fields.items()} if isinstance(t, Fields) else {"v": solid(t)}

@@ -117,6 +117,20 @@ def test_rows_against_tables(spark):
     assert sorted(map(tuple, got.collect())) == [(1, True), (2, False), (3, True)]
 
 
+def test_sets_and_objects_of_rows(spark):
+    users = spark.createDataFrame([(1, "ann"), (2, "bob"), (3, "cid")], "id int, name string")
+    grants = spark.createDataFrame([("bob", "read"), ("bob", "write"), ("ann", "read"), ("ann", "read")], "who string, what string")
+    p = sp.Policy("package q\ncan contains g.what if { some g in data.grants; g.who == input.name }\no[k] := n if { some k in [\"a\", \"b\"]; n := count(input.name) }\no[\"c\"] := input.id if input.id > 1")
+    got = p.decide(users, "can", keys=["id"], catalog=sp.Catalog({"grants": grants}))
+    assert sorted((r["id"], r["v"]) for r in got.collect()) == [(1, ["read"]), (2, ["read", "write"])]
+    objects = {r["id"]: r["v"] for r in p.decide(users, "o", keys=["id"]).collect()}
+    assert objects == {1: {"a": 3, "b": 3}, 2: {"a": 3, "b": 3, "c": 2}, 3: {"a": 3, "b": 3, "c": 3}}
+    with pytest.raises(Exception, match="conflicting object key"):
+        sp.Policy("package q\no[\"a\"] := x if some x in [1, input.id]").decide(users, "o", keys=["id"]).collect()
+    with pytest.raises(sp.PolicyError):
+        sp.Policy("package q\nn := count(can)\ncan contains g.what if { some g in data.grants; g.who == input.name }").decide(users, "n", keys=["id"], catalog=sp.Catalog({"grants": grants}))
+
+
 def test_empty_tables_and_theta_correlation(spark):
     t = spark.createDataFrame([(1, 5), (2, 7), (3, 6)], "k int, x int")
     p = sp.Policy("package q\no[a.k] := count([1 | some b in data.t; b.x < a.x]) if some a in data.t\ns contains a.k if { some a in data.t; a.x > 100 }")
