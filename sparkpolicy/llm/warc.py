@@ -134,8 +134,8 @@ def write_archives(pages: DataFrame, path: str, *, least_revisit: int = LEAST_RE
     p = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.encode(F.coalesce(F.col(html_col).cast("string"), F.lit("")), "UTF-8").alias("payload"))
     p = p.select("*", F.length("payload").cast("long").alias("size"), F.sha1("payload").alias("digest"))
     first = p.where(F.col("size") >= least_revisit).groupBy("digest", "size").agg(F.max("id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("digest", "size", "first")
-    # Only repeated payloads meet the join; the others keep their place.
-    marked = p.join(first, ["digest", "size"], "left").select("id", "url", "payload", "size", "digest", F.when(~F.col("id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
+    # The hint keeps one plan at every size: what repeats grows with the pages.
+    marked = p.join(first.hint("merge"), ["digest", "size"], "left").select("id", "url", "payload", "size", "digest", F.when(~F.col("id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = zip(*(batch.column(c) for c in ("id", "url", "payload", "size", "digest", "refers_to")), strict=True)
@@ -251,7 +251,7 @@ def read_archives(spark: SparkSession, archives: str, index: str) -> DataFrame:
         kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.string())
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    full = _files(spark, archives).join(by_file, "path").select("content", "places")
+    full = _files(spark, archives).join(by_file.hint("merge"), "path").select("content", "places")
     return map_texts(full, "id string, payload_bytes long, payload_digest string, record_type string, refers_to string", run)
 
 
