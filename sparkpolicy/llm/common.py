@@ -52,11 +52,21 @@ def shared_path(spark: SparkSession, what: str) -> str:
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
-    """``df`` as a table in the shared folder: it cuts the lineage and survives lost executors."""
+    """``df`` as a table in the shared folder: it cuts the lineage and survives lost executors.
+
+    The table stays as long as the folder, as results are read from it later; see :func:`dropped`.
+    """
     spark = df.sparkSession
     path = shared_path(spark, what)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._shared_path = path
+    return out
+
+
+def dropped(df: DataFrame) -> None:
+    """Delete the table of :func:`written` once nothing reads it any more."""
+    drop_path(df.sparkSession, df._shared_path)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import dropped, written
 
 MOST_ROUNDS = 60
 
@@ -27,8 +27,12 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     for _ in range(MOST_ROUNDS):
         if _is_star_forest(edges):
             break
-        edges = written(_star(edges, large=True), "large-star")
-        edges = written(_star(edges, large=False), "small-star")
+        for large in (True, False):
+            least = written(_least(edges, large), "least")
+            new = written(_star(edges, least, large), "stars")
+            dropped(least)
+            dropped(edges)
+            edges = new
     else:
         raise RuntimeError(f"no star forest after {MOST_ROUNDS} rounds")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
@@ -41,13 +45,20 @@ def _is_star_forest(edges: DataFrame) -> bool:
     return nodes.where("up > 1 or up = 1 and n > 1").isEmpty()
 
 
-def _star(edges: DataFrame, *, large: bool) -> DataFrame:
-    """``edges`` hold u > v. Large: the larger neighbours of each node move to its smallest; small: the smaller ones."""
+def _pairs(edges: DataFrame, large: bool) -> DataFrame:
+    """``edges`` hold u > v; for a large star each is seen from both ends."""
     pairs = edges.select("u", "v")
-    if large:
-        pairs = pairs.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = written(pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
-    joined = pairs.join(least, "u")
+    return pairs.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else pairs
+
+
+def _least(edges: DataFrame, large: bool) -> DataFrame:
+    """The smallest of each node and its neighbours. Written out, so that the join with it splits hot nodes."""
+    return _pairs(edges, large).groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+
+
+def _star(edges: DataFrame, least: DataFrame, large: bool) -> DataFrame:
+    """Large: the larger neighbours of each node move to its smallest; small: the smaller ones, and itself."""
+    joined = _pairs(edges, large).join(least, "u")
     if large:
         return joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
     moved = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
