@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,8 +37,6 @@ class Query:
 
 
 def _words(text: str) -> list[str]:
-    import re
-
     return re.findall(r"[a-z_]+(?:\.[a-z_]+)*", text)
 
 
