@@ -1,9 +1,9 @@
 """Licence scans: sparse TF-IDF cosine to templates, then inheritance from the nearest licensed directory.
 
 The candidates are the notices of a file: its lines that speak of licensing. A notice's terms are weighted
-by frequency and by how rare they are among all notices and templates; the weights of the templates' terms
-are the only ones that come to the driver, and their number is bounded by the templates. A notice has the licence of the
-template with the largest cosine, if that is large enough. A file that is a licence file, by its name or as it
+by frequency and by how rare they are among all files with a notice and the templates; the counts of all terms stay in a
+table. A notice has the licence of the template with the largest cosine, if that is large enough and the notice has the words
+that name the licence. A file that is a licence file, by its name or as it
 is little else than a notice, licenses its directory, and files without a notice of their own inherit from the
 nearest ancestor directory that is licensed. All of it is DataFrame expressions.
 """
@@ -11,6 +11,7 @@ nearest ancestor directory that is licensed. All of it is DataFrame expressions.
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,8 +40,12 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, Version 2.0"),
     ("Unlicense", "This is free and unencumbered software released into the public domain"),
 )
+TEMPLATES += tuple((k, f"SPDX-License-Identifier: {k}") for k in sorted({k for k, _ in TEMPLATES}))
 NOTICE = r"(?i)licen[cs]e|copying permission|public domain|redistribution and use"
 NAMED = r"(?i)^(licen[cs]e|copying|unlicense)([._-].*)?$"
+#: Words that name licences: a notice has those of its template, as "the Foo License" isn't the MIT License.
+NAMES = ("affero", "agpl", "apache", "bsd", "by", "cc", "cc0", "commons", "gnu", "gpl", "isc", "lesser", "lgpl", "mit", "mozilla", "mpl", "nc", "sa", "unlicense")
+BLANK_LINE, OTHER_LINE, NOTICE_LINE = 0, 1, 2
 #: Smallest cosine of a notice, and the share of a text that makes it a licence file.
 LEAST_COSINE = 0.5
 LICENSE_SHARE = 0.25
@@ -51,14 +56,18 @@ def terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}.]+|\.(?=\s|$)"), lambda t: t != "")
 
 
-def notices(text: Column) -> Column:
-    """The distinct lines of a text that speak of licensing, without blanks at their ends."""
-    return F.array_distinct(F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x.rlike(NOTICE)))
+def spans(kinds: Column) -> Column:
+    """The stretches of lines that are scored, each (first, last), from the kinds of a text's lines."""
+    lines = F.filter(F.sequence(F.lit(0), F.size(kinds) - 1), lambda i: kinds[i] == NOTICE_LINE)
+    return F.transform(lines, lambda i: F.struct(i.alias("first"), i.alias("last")))
 
 
-def _counts(words: Column) -> Column:
-    """Each distinct term with its frequency."""
-    return F.transform(F.array_distinct(words), lambda t: F.struct(t.alias("term"), F.size(F.filter(words, lambda w: w == t)).alias("n")))
+def _weight(n: Column, held: Column, texts: int) -> Column:
+    """The weight of a term that occurs ``n`` times in a text and stands in ``held`` of all ``texts``.
+
+    The rarity lies between 1 and 2 at every number of texts, so that a decision doesn't hang on it.
+    """
+    return (F.log(n.cast("double")) + 1) * (F.lit(1.0) + F.log(F.lit(1.0 + texts) / (1 + held)) / math.log(1 + texts))
 
 
 def scan_notices(files: DataFrame, *, path_col: str = "path", text_col: str = "text", templates: tuple[tuple[str, str], ...] = TEMPLATES, least: float = LEAST_COSINE) -> DataFrame:
@@ -69,49 +78,46 @@ def scan_notices(files: DataFrame, *, path_col: str = "path", text_col: str = "t
     """
     spark = files.sparkSession
     slim = files.select(F.col(path_col).cast("string").alias("path"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    found = slim.select("path", F.char_length("text").alias("n_chars"), notices(F.col("text")).alias("notices"))
-    templates = sorted(templates)
-    texts = F.split(F.lit("\n".join(v for _, v in templates)), "\n")
-    models = spark.range(1).select(F.posexplode(texts).alias("at", "text")).select("at", terms(F.col("text")).alias("words"))
-
-    # How many notices and templates hold each term of a template; all notices count.
-    wanted = sorted({r[0] for r in models.select(F.explode("words")).collect()})
-    lines = found.where(F.size("notices") > 0).select(F.explode("notices").alias("notice"))
-    held = lines.select(F.explode(F.array_intersect(terms(F.col("notice")), F.split(F.lit("\x1f".join(wanted)), "\x1f"))).alias("term"))
-    counted = {r["term"]: r["n"] for r in held.groupBy("term").agg(F.count("*").alias("n")).collect()}
-    n = lines.count() + len(templates)
-    own = {r["term"]: r["n"] for r in models.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count("*").alias("n")).collect()}
-    rarity = {t: math.log((1 + n) / (1 + counted.get(t, 0) + own[t])) + 1 for t in wanted}
-    rarest = math.log(1 + n) + 1
-    weight = F.create_map(*[x for t in wanted for x in (F.lit(t), F.lit(rarity[t]))])
-
-    vectors = {}
-    for r in models.collect():
-        v = {t: r["words"].count(t) * rarity[t] for t in set(r["words"])}
-        norm = math.sqrt(sum(x * x for x in v.values()))
-        vectors[r["at"]] = {t: x / norm for t, x in v.items()}
-    names = [k for k, _ in templates]
-    listed = {t: F.array(*[F.lit(float(vectors[i].get(t, 0.0))) for i in range(len(names))]) for t in wanted}
-    shares = F.create_map(*[x for t in wanted for x in (F.lit(t), listed[t])])
-
-    # Each distinct notice is scored once.
-    distinct = lines.distinct().select("notice", _counts(terms(F.col("notice"))).alias("terms"))
-    weighed = distinct.select("notice", F.transform("terms", lambda t: F.struct(t["term"].alias("term"), (t["n"] * F.coalesce(F.try_element_at(weight, t["term"]), F.lit(rarest))).alias("w"))).alias("terms"))
-    norm = F.sqrt(F.aggregate("terms", F.lit(0.0), lambda a, t: a + t["w"] * t["w"]))
-    zero = F.array(*[F.lit(0.0)] * len(names))
-    dots = F.aggregate("terms", zero, lambda a, t: F.zip_with(a, F.coalesce(F.try_element_at(shares, t["term"]), zero), lambda x, y: x + y * t["w"]))
-    scored = weighed.select("notice", norm.alias("norm"), dots.alias("dots"))
-    best = F.array_max("dots")
-    licence = F.element_at(F.array(*map(F.lit, names)), F.array_position("dots", best).cast("int"))
-    scored = scored.select("notice", F.round(best / F.col("norm"), 9).alias("cosine"), licence.alias("license")).where(F.col("cosine") >= least)
-    scored = written(scored, "notices")
-
-    named = found.select("path", "n_chars", "notices").withColumn("row", F.monotonically_increasing_id())
+    kind = lambda x: F.when(x.rlike(NOTICE), NOTICE_LINE).when(x.rlike(r"[\p{L}\p{N}]"), OTHER_LINE).otherwise(BLANK_LINE)
+    lines = F.when(F.col("text").rlike(NOTICE), F.transform(F.split("text", "\n"), lambda x: F.trim(x)))
+    kinds = F.when(F.col("text").rlike(NOTICE), F.transform(F.split("text", "\n"), kind))
+    named = slim.select("path", F.char_length("text").alias("n_chars"), lines.alias("lines"), kinds.alias("kinds"), F.monotonically_increasing_id().alias("row"))
     named = written(named, "files")
-    each = named.where(F.size("notices") > 0).select("row", F.explode("notices").alias("notice")).join(scored, "notice")
-    top = each.groupBy("row").agg(F.min(F.struct((-F.col("cosine")).alias("less"), "license", F.char_length("notice").alias("size"))).alias("best"))
+    candidates = named.where("lines is not null")
+    templates = sorted(templates)
+    listed = F.split(F.lit("\x1f".join(v for _, v in templates)), "\x1f")
+    models = spark.range(1).select(F.posexplode(listed).alias("at", "text")).select("at", F.explode(terms(F.col("text"))).alias("term"))
+    models = written(models.groupBy("at", "term").agg(F.count("*").alias("n")), "license-templates")
+
+    # How many candidates and templates hold each term; all candidates and all terms count.
+    held = candidates.select(F.explode(F.array_distinct(terms(F.array_join("lines", "\n")))).alias("term")).unionAll(models.select("term"))
+    held = written(held.groupBy("term").agg(F.count("*").alias("held")), "license-terms")
+    texts = candidates.count() + len(templates)
+
+    # The terms of the templates are bounded, whatever the files are.
+    weighed = models.join(held.hint("merge"), "term").select("at", "term", _weight(F.col("n"), F.col("held"), texts).alias("w"))
+    norms = weighed.groupBy("at").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    shares = written(weighed.join(norms.hint("broadcast"), "at").select("at", "term", (F.col("w") / F.col("norm")).alias("share")), "license-shares")
+
+    # Each distinct stretch is scored once.
+    joined = lambda x: F.array_join(F.slice("lines", x["first"] + 1, x["last"] - x["first"] + 1), "\n")
+    units = candidates.select("row", F.explode(F.transform(spans(F.col("kinds")), lambda x: F.struct(x["first"].alias("first"), x["last"].alias("last"), joined(x).alias("text")))).alias("u"))
+    units = written(units.select("row", "u.first", "u.last", F.sha2(F.col("u.text").cast("binary"), 256).alias("key"), "u.text"), "notices")
+    counted = units.groupBy("key").agg(F.first("text").alias("text")).select("key", F.explode(terms(F.col("text"))).alias("term")).groupBy("key", "term").agg(F.count("*").alias("n"))
+    vectors = counted.join(held.hint("merge"), "term").select("key", "term", _weight(F.col("n"), F.col("held"), texts).alias("w"))
+    vectors = written(vectors, "notice-terms")
+    norms = vectors.groupBy("key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.collect_set(F.when(F.col("term").isin(*NAMES), F.col("term"))).alias("names"))
+    dots = vectors.join(shares.hint("broadcast"), "term").groupBy("key", "at").agg(F.sum(F.col("w") * F.col("share")).alias("dot")).join(norms.hint("merge"), "key")
+    of = lambda values: F.split(F.lit("\x1f".join(values)), "\x1f")[F.col("at")]
+    needed = F.filter(F.split(of([" ".join(t for t in NAMES if t in re.findall(r"[a-z0-9]+", v.lower())) for _, v in templates]), " "), lambda t: t != "")
+    scored = dots.select("key", F.round(F.col("dot") / F.col("norm"), 9).alias("cosine"), of([k for k, _ in templates]).alias("license"), (F.size(F.array_except(needed, "names")) == 0).alias("named"))
+    scored = scored.where((F.col("cosine") >= least) & F.col("named")).groupBy("key").agg(F.min(F.struct((-F.col("cosine")).alias("less"), "license")).alias("best"))
+
+    found = units.select("row", "first", "last", "key").join(scored.hint("merge"), "key")
+    top = found.groupBy("row").agg(F.min(F.struct("best.less", "best.license", F.struct("first", "last").alias("span"))).alias("best"))
     out = named.join(top, "row", "left")
-    return out.select("path", "n_chars", F.col("best.license").alias("license"), F.coalesce(-F.col("best.less"), F.lit(0.0)).alias("cosine"), F.coalesce("best.size", F.lit(0)).alias("notice_chars"))
+    size = F.char_length(F.array_join(F.slice("lines", F.col("best.span.first") + 1, F.col("best.span.last") - F.col("best.span.first") + 1), "\n"))
+    return out.select("path", "n_chars", F.col("best.license").alias("license"), F.coalesce(-F.col("best.less"), F.lit(0.0)).alias("cosine"), F.when(F.col("best").isNull(), 0).otherwise(size).alias("notice_chars"))
 
 
 def directories(path: Column) -> Column:

@@ -218,6 +218,18 @@ def test_license_query(spark, rows):
                 assert (got[d]["license"], got[d]["origin"]) == (want, "own")
 
 
+def test_licenses_at_every_size(spark):
+    """Usual notices keep their licences however many there are, also if each has a name of its own."""
+    kinds = [("Apache-2.0", 'Copyright 2021 The Foo Authors. Licensed under the Apache License, Version 2.0 (the "License");'), ("MIT", "// SPDX-License-Identifier: MIT"), ("Apache-2.0", "Copyright 2021 Holder{}. Licensed under the Apache License, Version 2.0")]
+    of = lambda values: F.array(*map(F.lit, values))[(F.col("id") % 3).cast("int")]
+    for n in (10, 100_000):
+        text = F.regexp_replace(of([line for _, line in kinds]), F.lit(r"\{\}"), F.col("id").cast("string"))
+        got = licenses.scan_notices(spark.range(n).select(of([want for want, _ in kinds]).alias("path"), text.alias("text")))
+        assert got.where("license = path").count() == n
+    other = ["Released under the Zlib License.", "SPDX-License-Identifier: Zlib", "the license of a driver"]
+    assert {r["license"] for r in licenses.scan_notices(spark.createDataFrame([("p", t) for t in other], "path string, text string")).collect()} == {None}
+
+
 # -- archives
 def test_warc_round_trip(spark, tmp_path):
     big, nasty = "x" * 1200, "WARC/1.1\r\n\r\n\r\n" + "é\x00" * 700
