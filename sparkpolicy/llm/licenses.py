@@ -33,6 +33,8 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("CC0-1.0", "Dedicated to the public domain under the Creative Commons CC0 1.0 Universal waiver"),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2"),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3"),
+    ("HPND", "Permission to use, copy, modify, and distribute this software and its documentation for any purpose and without fee is hereby granted, provided that the above copyright notice appear in all copies and that both that copyright notice and this permission notice appear in supporting documentation"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
     ("ISC", "Released under the ISC License"),
     ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3"),
     ("MIT", "Released under the MIT License"),
@@ -41,10 +43,10 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("Unlicense", "This is free and unencumbered software released into the public domain"),
 )
 TEMPLATES += tuple((k, f"SPDX-License-Identifier: {k}") for k in sorted({k for k, _ in TEMPLATES}))
-NOTICE = r"(?i)licen[cs]e|copying permission|public domain|redistribution and use"
+NOTICE = r"(?i)licen[cs]|copying permission|public domain|unencumbered|redistribution (and|or) use|permission (is|to)\b|hereby grant|free of charge"
 NAMED = r"(?i)^(licen[cs]e|copying|unlicense)([._-].*)?$"
 #: Words that name licences: a notice has those of its template, as "the Foo License" isn't the MIT License.
-NAMES = ("affero", "agpl", "apache", "bsd", "by", "cc", "cc0", "commons", "gnu", "gpl", "isc", "lesser", "lgpl", "mit", "mozilla", "mpl", "nc", "sa", "unlicense")
+NAMES = ("affero", "agpl", "apache", "bsd", "by", "cc", "cc0", "commons", "gnu", "gpl", "hpnd", "isc", "lesser", "lgpl", "mit", "mozilla", "mpl", "nc", "sa", "unlicense")
 BLANK_LINE, OTHER_LINE, NOTICE_LINE = 0, 1, 2
 #: Smallest cosine of a notice, and the share of a text that makes it a licence file.
 LEAST_COSINE = 0.5
@@ -109,7 +111,7 @@ def scan_notices(files: DataFrame, *, path_col: str = "path", text_col: str = "t
     norms = vectors.groupBy("key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.collect_set(F.when(F.col("term").isin(*NAMES), F.col("term"))).alias("names"))
     dots = vectors.join(shares.hint("broadcast"), "term").groupBy("key", "at").agg(F.sum(F.col("w") * F.col("share")).alias("dot")).join(norms.hint("merge"), "key")
     of = lambda values: F.split(F.lit("\x1f".join(values)), "\x1f")[F.col("at")]
-    needed = F.filter(F.split(of([" ".join(t for t in NAMES if t in re.findall(r"[a-z0-9]+", v.lower())) for _, v in templates]), " "), lambda t: t != "")
+    needed = F.filter(F.split(of([" ".join(t for t in NAMES if t in re.split(r"[^\w.]+|\.(?=\s|$)", v.lower())) for _, v in templates]), " "), lambda t: t != "")
     scored = dots.select("key", F.round(F.col("dot") / F.col("norm"), 9).alias("cosine"), of([k for k, _ in templates]).alias("license"), (F.size(F.array_except(needed, "names")) == 0).alias("named"))
     scored = scored.where((F.col("cosine") >= least) & F.col("named")).groupBy("key").agg(F.min(F.struct((-F.col("cosine")).alias("less"), "license")).alias("best"))
 

@@ -230,6 +230,12 @@ def test_licenses_at_every_size(spark):
     assert {r["license"] for r in licenses.scan_notices(spark.createDataFrame([("p", t) for t in other], "path string, text string")).collect()} == {None}
 
 
+def test_each_template_is_found(spark):
+    """Each template as a text of its own, a grant without a title among them, is found as its own licence."""
+    got = licenses.scan_notices(spark.createDataFrame(list(licenses.TEMPLATES), "path string, text string")).select("path", "license").collect()
+    assert len(got) == len(licenses.TEMPLATES) and all(r["path"] == r["license"] for r in got)
+
+
 # -- archives
 def test_warc_round_trip(spark, tmp_path):
     big, nasty = "x" * 1200, "WARC/1.1\r\n\r\n\r\n" + "é\x00" * 700
