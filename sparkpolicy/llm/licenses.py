@@ -1,10 +1,11 @@
 """Licence scans: sparse TF-IDF cosine to templates, then inheritance from the nearest licensed directory.
 
-The candidates are the notices of a file: its lines that speak of licensing. A notice's terms are weighted
+The candidates are the notices of a file: its lines that speak of licensing, headers and paragraphs of such lines, and then the
+whole text too. They are compared with templates of notices and with the full texts of licences. A notice's terms are weighted
 by frequency and by how rare they are among all files with a notice and the templates; the counts of all terms stay in a
 table. A notice has the licence of the template with the largest cosine, if that is large enough and the notice has the words
-that name the licence. A file that is a licence file, by its name or as it
-is little else than a notice, licenses its directory, and files without a notice of their own inherit from the
+that name the licence. A file that is a licence file, by its name or as much
+of it, or all, is licence text, licenses its directory, and files without a notice of their own inherit from the
 nearest ancestor directory that is licensed. All of it is DataFrame expressions.
 """
 
@@ -12,6 +13,8 @@ from __future__ import annotations
 
 import math
 import re
+from functools import cache
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,25 +46,47 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("Unlicense", "This is free and unencumbered software released into the public domain"),
 )
 TEMPLATES += tuple((k, f"SPDX-License-Identifier: {k}") for k in sorted({k for k, _ in TEMPLATES}))
-NOTICE = r"(?i)licen[cs]|copying permission|public domain|unencumbered|redistribution (and|or) use|permission (is|to)\b|hereby grant|free of charge"
+NOTICE = r"(?i)licen[cs]|copying permission|public domain|unencumbered|redistribution (and|or) use|permission (is|to)\b|hereby grant|free of charge|warrant(y|ies) of"
 NAMED = r"(?i)^(licen[cs]e|copying|unlicense)([._-].*)?$"
 #: Words that name licences: a notice has those of its template, as "the Foo License" isn't the MIT License.
 NAMES = ("affero", "agpl", "apache", "bsd", "by", "cc", "cc0", "commons", "gnu", "gpl", "hpnd", "isc", "lesser", "lgpl", "mit", "mozilla", "mpl", "nc", "sa", "unlicense")
 BLANK_LINE, OTHER_LINE, NOTICE_LINE = 0, 1, 2
 #: Smallest cosine of a notice, and the share of a text that makes it a licence file.
 LEAST_COSINE = 0.5
+#: Smallest cosine to the full text of a licence.
+LEAST_TEXT_COSINE = 0.8
 LICENSE_SHARE = 0.25
 
 
+@cache
+def full_texts() -> tuple[tuple[str, str], ...]:
+    """The licences in ``license_texts``: identifier and full text."""
+    return tuple((p.stem, p.read_text()) for p in sorted((Path(__file__).parent / "license_texts").glob("*.txt")))
+
+
 def terms(text: Column) -> Column:
     """The lower-case words and numbers of a text, in order."""
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}.]+|\.(?=\s|$)"), lambda t: t != "")
 
 
+def _runs(kinds: Column, least: int) -> Column:
+    """The runs of adjoining lines of at least a kind, each (first, last)."""
+    n = F.size(kinds)
+    breaks = F.concat(F.array(F.lit(-1)), F.filter(F.sequence(F.lit(0), n - 1), lambda i: kinds[i] < least), F.array(n))
+    runs = lambda b: F.transform(F.sequence(F.lit(0), F.size(b) - 2), lambda k: F.struct((b[k] + 1).alias("first"), (b[k + 1] - 1).alias("last")))
+    return F.filter(F.transform(F.array(breaks), runs)[0], lambda x: x["first"] <= x["last"])
+
+
 def spans(kinds: Column) -> Column:
-    """The stretches of lines that are scored, each (first, last), from the kinds of a text's lines."""
-    lines = F.filter(F.sequence(F.lit(0), F.size(kinds) - 1), lambda i: kinds[i] == NOTICE_LINE)
-    return F.transform(lines, lambda i: F.struct(i.alias("first"), i.alias("last")))
+    """The stretches of lines that are scored, each (first, last), from the kinds of a text's lines.
+
+    They are its notice lines, runs of adjoining ones, paragraphs that hold one, all from the first of these to
+    the last, and the whole text.
+    """
+    one = F.transform(F.filter(F.sequence(F.lit(0), F.size(kinds) - 1), lambda i: kinds[i] == NOTICE_LINE), lambda i: F.struct(i.alias("first"), i.alias("last")))
+    paragraphs = F.filter(_runs(kinds, OTHER_LINE), lambda x: F.array_contains(F.slice(kinds, x["first"] + 1, x["last"] - x["first"] + 1), NOTICE_LINE))
+    extent = lambda p: F.struct(p[0]["first"].alias("first"), F.element_at(p, -1)["last"].alias("last"))
+    return F.array_distinct(F.concat(one, _runs(kinds, NOTICE_LINE), paragraphs, F.transform(F.array(paragraphs), extent), F.array(F.struct(F.lit(0).alias("first"), (F.size(kinds) - 1).alias("last")))))
 
 
 def _weight(n: Column, held: Column, texts: int) -> Column:
@@ -75,8 +100,9 @@ def _weight(n: Column, held: Column, texts: int) -> Column:
 def scan_notices(files: DataFrame, *, path_col: str = "path", text_col: str = "text", templates: tuple[tuple[str, str], ...] = TEMPLATES, least: float = LEAST_COSINE) -> DataFrame:
     """``path``, ``n_chars``, ``license``, ``cosine`` and ``notice_chars`` of every row, from its best notice.
 
-    Without a notice that is close enough ``license`` is null and ``cosine`` 0; a null text is empty. Of equal
-    cosines the licence that sorts first wins. Repeated rows give repeated results.
+    ``notice_chars`` counts all lines that belong to some stretch with a licence: lines, headers, paragraphs or all.
+    Without a notice that is close enough ``license`` is null and ``cosine`` 0; a null text is empty. A licence
+    in full goes before notices; of equal cosines the licence that sorts first wins. Repeated rows give repeated results.
     """
     spark = files.sparkSession
     slim = files.select(F.col(path_col).cast("string").alias("path"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
@@ -86,7 +112,8 @@ def scan_notices(files: DataFrame, *, path_col: str = "path", text_col: str = "t
     named = slim.select("path", F.char_length("text").alias("n_chars"), lines.alias("lines"), kinds.alias("kinds"), F.monotonically_increasing_id().alias("row"))
     named = written(named, "files")
     candidates = named.where("lines is not null")
-    templates = sorted(templates)
+    least_of = [least] * len(templates) + [LEAST_TEXT_COSINE] * len(full_texts())
+    templates, n_notices = [*sorted(templates), *full_texts()], len(templates)
     listed = F.split(F.lit("\x1f".join(v for _, v in templates)), "\x1f")
     models = spark.range(1).select(F.posexplode(listed).alias("at", "text")).select("at", F.explode(terms(F.col("text"))).alias("term"))
     models = written(models.groupBy("at", "term").agg(F.count("*").alias("n")), "license-templates")
@@ -111,15 +138,16 @@ def scan_notices(files: DataFrame, *, path_col: str = "path", text_col: str = "t
     norms = vectors.groupBy("key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.collect_set(F.when(F.col("term").isin(*NAMES), F.col("term"))).alias("names"))
     dots = vectors.join(shares.hint("broadcast"), "term").groupBy("key", "at").agg(F.sum(F.col("w") * F.col("share")).alias("dot")).join(norms.hint("merge"), "key")
     of = lambda values: F.split(F.lit("\x1f".join(values)), "\x1f")[F.col("at")]
-    needed = F.filter(F.split(of([" ".join(t for t in NAMES if t in re.split(r"[^\w.]+|\.(?=\s|$)", v.lower())) for _, v in templates]), " "), lambda t: t != "")
-    scored = dots.select("key", F.round(F.col("dot") / F.col("norm"), 9).alias("cosine"), of([k for k, _ in templates]).alias("license"), (F.size(F.array_except(needed, "names")) == 0).alias("named"))
-    scored = scored.where((F.col("cosine") >= least) & F.col("named")).groupBy("key").agg(F.min(F.struct((-F.col("cosine")).alias("less"), "license")).alias("best"))
+    needed = F.filter(F.split(of([" ".join(t for t in NAMES if t in re.split(r"[^\w.]+|\.(?=\s|$)", v.lower())) if i < n_notices else "" for i, (_, v) in enumerate(templates)]), " "), lambda t: t != "")
+    scored = dots.select("key", "at", F.round(F.col("dot") / F.col("norm"), 9).alias("cosine"), of([k for k, _ in templates]).alias("license"), of([str(x) for x in least_of]).cast("double").alias("least"), (F.size(F.array_except(needed, "names")) == 0).alias("named"))
+    scored = scored.where((F.col("cosine") >= F.col("least")) & F.col("named")).groupBy("key").agg(F.min(F.struct((F.col("at") < n_notices).alias("notice"), (-F.col("cosine")).alias("less"), "license")).alias("best"))
 
     found = units.select("row", "first", "last", "key").join(scored.hint("merge"), "key")
-    top = found.groupBy("row").agg(F.min(F.struct("best.less", "best.license", F.struct("first", "last").alias("span"))).alias("best"))
+    top = found.groupBy("row").agg(F.min("best").alias("best"), F.collect_list(F.struct("first", "last")).alias("spans"))
     out = named.join(top, "row", "left")
-    size = F.char_length(F.array_join(F.slice("lines", F.col("best.span.first") + 1, F.col("best.span.last") - F.col("best.span.first") + 1), "\n"))
-    return out.select("path", "n_chars", F.col("best.license").alias("license"), F.coalesce(-F.col("best.less"), F.lit(0.0)).alias("cosine"), F.when(F.col("best").isNull(), 0).otherwise(size).alias("notice_chars"))
+    covered = F.array_distinct(F.flatten(F.transform("spans", lambda x: F.sequence(x["first"], x["last"]))))
+    size = F.aggregate(covered, F.lit(0), lambda n, i: n + F.char_length(F.col("lines")[i]))
+    return out.select("path", "n_chars", F.col("best.license").alias("license"), F.coalesce(-F.col("best.less"), F.lit(0.0)).alias("cosine"), F.coalesce(size, F.lit(0)).alias("notice_chars"))
 
 
 def directories(path: Column) -> Column:

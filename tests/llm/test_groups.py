@@ -236,6 +236,20 @@ def test_each_template_is_found(spark):
     assert len(got) == len(licenses.TEMPLATES) and all(r["path"] == r["license"] for r in got)
 
 
+def test_license_texts(spark):
+    """Whole licences license their directories under any name, as do notices over several lines; prose doesn't."""
+    files = [(f"{k}/{i}/1.txt", t.replace("<year>", "2021").replace("<copyright holders>", "Jo Doe")) for i in "ab" for k, t in licenses.full_texts()]
+    grant = licenses.TEMPLATES[[k for k, _ in licenses.TEMPLATES].index("MIT") + 1][1]
+    files += [("Apache-2.0/c/1.txt", "# Licensed under the Apache\n# License, Version 2.0\n" + "x = 1\n" * 9), ("MIT/d/1.txt", "\n".join([*grant.replace(" copy", "\ncopy").split(" of "), "", "x = 1"]))]
+    files += [(f"{k}/e/1.txt", "#\n".join(f"# {x}" for x in dict(licenses.full_texts())[k].splitlines(True)) + "\n\n" + "x = 1\n" * 200) for k in ("BSD-2-Clause", "BSD-3-Clause", "MIT")]
+    prose = "The driver shows the license of the car to a man of the law and is on the way to the public road. "
+    files += [(None, prose * 40), (None, (prose + "\n") * 40)]
+    files += [(p.replace("1.txt", "2.txt"), "x") for p, _ in files if p]
+    for r in licenses.license_files(spark.createDataFrame(files, "path string, text string")).collect():
+        want = r["path"].split("/")[0] if r["path"] else None
+        assert (r["path"], r["license"], r["origin"]) == (r["path"], want, None if want is None else "own" if r["path"].endswith("1.txt") else "inherited")
+
+
 # -- archives
 def test_warc_round_trip(spark, tmp_path):
     big, nasty = "x" * 1200, "WARC/1.1\r\n\r\n\r\n" + "é\x00" * 700
