@@ -38,12 +38,18 @@ class Rule:
     base: bool = False
 
 
+#: A private key from its BEGIN line to its END line; where that is missing, to the end of its headers and lines of
+#: base64 with a short last one, which may be indented, quoted or parted by a written-out line break.
+_KEY = r"PRIVATE KEY(?: BLOCK)?-----"
+_BREAK = r"(?:[\s>#*|\"'+,;]|\\[nrt]|//)"
+PEM = rf"-----BEGIN [A-Z0-9 ]*{_KEY}(?:(?:(?!-----BEGIN )[\s\S])*?-----END [A-Z0-9 ]*{_KEY}|(?:{_BREAK}*+[A-Za-z-]+: [^\n]*)*+(?:(?:{_BREAK}*+[A-Za-z0-9+/=]{{16,}}+)++(?:{_BREAK}*+[A-Za-z0-9+/]++={{0,2}}+(?=[^\S\n]*+(?:\n|$)|[\"'\\]))?)?)"
+
 #: The three base rules come first, as their order breaks ties.
 RULES: tuple[Rule, ...] = (
     Rule("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6, True),
     Rule("access", r"AKIA[A-Z0-9]+", 0, 20, True),
     Rule("hex", r"[0-9a-f]{24,}", 0, 24, True),
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("pem", PEM),
     Rule("forge", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),

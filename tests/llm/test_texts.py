@@ -129,6 +129,12 @@ def test_redaction(spark, docs):
     assert out.columns == docs.columns and out.count() == docs.count()
     r = out.where("doc_id = 5").first()
     assert "abcdef123456" not in r["text"] and "[SECRET]" in r["text"] and r["n_chars"] == len(r["text"])
+    body = ["MIIEpAIBAAKCAQEA" + c * 48 for c in "xyz"] + ["q" * 20 + "=="]
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    head = ["Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,00FF", ""]
+    whole = ["\n".join([begin, *body, end]), "\n".join([begin, *head, *body, end]), "\r\n  ".join([begin, *body, end]), "\\n".join([begin, *body, end]), "\n".join([begin, *body]), "\n".join([begin, *head, *body]), "\n".join([begin, *body[:3], "shorttail"]), f"{begin}\nshort\n{end}"]
+    keys = spark.createDataFrame([(i, f"before\n{k}\nafter it") for i, k in enumerate(whole)], "doc_id long, text string").withColumn("n_chars", F.char_length("text").cast("long"))
+    assert {r["text"] for r in secrets.redact_secrets(spark, keys, DIR).collect()} == {"before\n[SECRET]\nafter it"}
     assert secrets.redact("abcdefgh", [(1, 0, 4), (2, 1, 6)], "#") == "a#gh"
 
 
