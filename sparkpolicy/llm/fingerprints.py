@@ -7,7 +7,7 @@ subtract cell by cell, which leaves the digests that only one version has. Peeli
 cell that holds just one and removes it from its other cells, until all cells are empty: then the differing
 digests are known. If cells stay full the pieces are dealt by digest into groups of a few, and each group
 is sketched and peeled anew, with more cells each time it fails; so the work stays in proportion to the
-number of pieces. A difference that no size can peel is bounded by what its cells still hold.
+number of pieces. A group that no size can peel is compared digest by digest.
 """
 
 from __future__ import annotations
@@ -107,10 +107,10 @@ def _grouped(keys: Column, one: Column, two: Column) -> Column:
 
 
 def _apart(a: Column, b: Column) -> Column:
-    """How many digests differ between two small groups, by sketches that grow until they peel."""
+    """How many digests differ between two small groups, by sketches that grow until they peel; groups that never do are compared in full."""
     attempt = lambda n, size: F.coalesce(n, F.size(difference(sketch(a, size), sketch(b, size), size)))
     grown = F.aggregate(F.array(*map(F.lit, RETRIES)), F.lit(None).cast("int"), attempt)
-    return F.when(a == b, F.lit(0)).otherwise(F.coalesce(grown, F.size(a) + F.size(b)))
+    return F.when(a == b, F.lit(0)).otherwise(F.coalesce(grown, F.size(F.array_except(a, b)) + F.size(F.array_except(b, a))))
 
 
 def apart(a: Column, b: Column, cells_a: Column, cells_b: Column) -> Column:
