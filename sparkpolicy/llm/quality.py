@@ -152,7 +152,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(stats, model).select(F.col("id").alias("doc_id"), F.coalesce(fold == 2, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
-def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str, *, least: float = 0.5) -> DataFrame:
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str, *, least: float = THRESHOLD) -> DataFrame:
     """Pipeline stage: documents with a score under ``least`` go.
 
     The model is learnt from the stage's own input and the labels outside the held-out quarter; without

@@ -87,6 +87,17 @@ def test_quality_rows(spark, docs):
     assert quality.featurize(docs.limit(0)).count() == 0
 
 
+def test_the_stage_keeps_what_the_operator_predicts(spark, docs, monkeypatch):
+    """The pipeline's stage and the operator cut at one score: 0.6 is rejected by both, 0.75 kept."""
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    monkeypatch.setattr(quality, "table", lambda *a: labels)
+    for score, kept in ((0.6, 0), (0.75, 14)):
+        model = quality.Quadratic((np.zeros(13), np.zeros(13)), (np.zeros((13, 13)),) * 2, (0.0, 0.0), float(np.log(score / (1 - score))), score)
+        monkeypatch.setattr(quality, "fit", lambda *a, model=model: model)
+        assert quality.keep_quality(spark, docs, DIR).count() == kept
+        assert quality.predict(quality.featurize(docs), model).where("predicted = 1").count() == kept
+
+
 # -- secrets
 def plain_spans(text):
     kinds = {"assign": (r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6), "access": ("AKIA[A-Z0-9]+", 0, 20), "hex": ("[0-9a-f]+", 0, 24)}
