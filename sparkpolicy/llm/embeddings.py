@@ -3,17 +3,20 @@
 Unit vectors with cosine of at least c are at a squared distance of at most D = 2 - 2c. After a fixed random
 rotation the coordinates are split into blocks of few dimensions, and each block gets the share of D that
 its dimensions have; two vectors within D must be within that budget in at least one block. So each block is
-joined by range: its first coordinates fall into cells as wide as the budget's root, and only vectors of the
-same or of neighbouring cells are compared in the block. What passes is verified with the cosine of the
-whole vectors in double precision, in the first block that lets the pair through, so that no pair counts twice.
-
-Equal vectors collapse first. A cell with many vectors is cut into tiles, and the pairs of tiles go to separate
-tasks. A task sends out a count for each vector and a spanning forest of its links, never the pairs.
+joined by range: along each of its dimensions, and of the dimensions of a second rotation of the block, the vectors fall
+into cells a fraction of the budget's root wide, and a bitmap for each cell says which vectors are within reach of it. The
+intersection of a vector's bitmaps over all dimensions leaves few, whose distance in the block is then computed. What is within the budget is verified with the cosine of the whole vectors in double precision, in the
+first block that lets the pair through, so that no pair counts twice.
+
+Equal vectors collapse first. The vectors of a label are dealt into tiles, and each pair of tiles is a task that joins
+all blocks, so that a vector is sent once for each tile of its label and not for each block. A task sends out a count for
+each vector and a spanning forest of its links, never the pairs.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -26,9 +29,12 @@ from .common import map_texts, table, written
 from .components import components
 
 BLOCK = 16
-TILE = 4000
-_ROWS = 256
-_FORWARD = ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))
+#: Vectors of a tile at least; a label has up to ``TILES`` tiles until a tile has ``TILE_BYTES``.
+TILE, TILES, TILE_BYTES = 1024, 16, 8 << 20
+#: Cells in a block's reach, and along a dimension at most.
+FINE, MOST_CELLS = 16, 512
+#: Vectors looked up together, bitmap words unpacked together, and numbers of a slice of pairs.
+_ROWS, _WORDS, _SLICE = 256, 1 << 13, 1 << 20
 
 
 @lru_cache(maxsize=8)
@@ -60,27 +66,57 @@ def _rotated(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.linalg.norm(vectors, axis=1, keepdims=True) @ rotation(vectors.shape[1])
 
 
-def _replicas(classes: DataFrame, cosine: float) -> DataFrame:
-    """Each class in its own cell of every block (``home``) and in the cells ahead of it."""
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        dims = batch.column("dim").to_numpy()
-        out: list[tuple] = []
-        for dim in np.unique(dims).tolist():
-            rows = np.flatnonzero(dims == dim)
-            turned = _rotated(_read(batch.column("vec").take(pa.array(rows)), dim))
-            for k, (b, budget) in enumerate(zip(blocks(dim), budgets(dim, cosine), strict=True)):
-                cells = np.floor(turned[:, b][:, :2] / math.sqrt(budget)).astype(np.int64)
-                if cells.shape[1] == 1:
-                    cells = np.column_stack([cells, np.zeros(len(cells), np.int64)])
-                for dx, dy in _FORWARD:
-                    out.append((rows, np.full(len(rows), k), cells[:, 0] + dx, cells[:, 1] + dy, np.full(len(rows), dx == dy == 0)))
-        rows, block, x, y, home = (np.concatenate(c) for c in zip(*out, strict=True))
-        kept = batch.take(pa.array(rows))
-        return pa.RecordBatch.from_arrays([*kept.columns, pa.array(block.astype(np.int32)), pa.array(x), pa.array(y), pa.array(home)], [*kept.schema.names, "block", "x", "y", "home"])
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in classes.schema.fields)
-    return map_texts(classes, schema + ", block int, x long, y long, home boolean", run)
+class Bitmaps:
+    """Range lookups in a block: which of its vectors lie in a box around a point."""
+
+    def __init__(self, part: np.ndarray, reach: float) -> None:
+        self.turn = rotation(part.shape[1])
+        axes = self._axes(part)
+        self.low = axes.min(0) - reach - 1e-9
+        span = axes.max(0) + reach + 1e-9 - self.low
+        self.width = np.maximum(reach / FINE, span / MOST_CELLS) + 1e-12
+        self.cells = np.ceil(span / self.width).astype(np.int64) + 1
+        codes = ((axes - self.low) / self.width).astype(np.int64)
+        far = np.ceil(reach / self.width + 1e-6).astype(np.int64)
+        words = -(-len(part) // 64)
+        self.within = []  # for each dimension and cell the vectors within reach of some point of the cell, as words of 64
+        for j, cells in enumerate(self.cells.tolist()):
+            bits = np.zeros((cells + 1, words * 8), np.uint8)
+            bits[:, : -(-len(part) // 8)] = np.packbits(codes[:, j].astype(np.int16) < np.arange(cells + 1, dtype=np.int16)[:, None], axis=1, bitorder="little")
+            below, at = bits.view(np.uint64), np.arange(cells)
+            self.within.append(below[np.minimum(at + far[j] + 1, cells)] & ~below[np.maximum(at - far[j], 0)])
+
+    def _axes(self, part: np.ndarray) -> np.ndarray:
+        return np.hstack([part, part @ self.turn]) if part.shape[1] > 1 else part
+
+    def near(self, part: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of a row of ``part`` and a vector in its box, in bounded numbers."""
+        codes = np.floor((self._axes(part) - self.low) / self.width).astype(np.int64)
+        inside = np.flatnonzero(((codes >= 0) & (codes < self.cells)).all(1))  # who is outside is out of reach of all
+        codes = codes[inside]
+        held = self.within[0][codes[:, 0]]
+        more = np.empty_like(held)
+        for j, within in enumerate(self.within[1:], 1):
+            np.take(within, codes[:, j], axis=0, out=more, mode="clip")
+            np.bitwise_and(held, more, out=held)
+        flat, wide = held.ravel(), held.shape[1]
+        some = np.flatnonzero(flat)
+        for at in range(0, len(some), _WORDS):
+            place = some[at : at + _WORDS]
+            bits = np.flatnonzero(np.unpackbits(flat[place].view(np.uint8), bitorder="little").view(bool))
+            row, word = np.divmod(place[bits >> 6], wide)
+            yield inside[row], word * 64 + (bits & 63)
+
+
+def _square(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Squared distances of rows ``i`` of ``a`` and ``j`` of ``b``, in bounded slices."""
+    step = max(1, _SLICE // max(1, a.shape[1]))
+    return np.concatenate([((a[i[k : k + step]] - b[j[k : k + step]]) ** 2).sum(1) for k in range(0, len(i), step)] or [np.empty(0)])
+
+
+def _cosines(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray) -> np.ndarray:
+    step = max(1, _SLICE // max(1, a.shape[1]))
+    return np.concatenate([(a[i[k : k + step]] * b[j[k : k + step]]).sum(1) for k in range(0, len(i), step)] or [np.empty(0)])
 
 
 def _merge(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -95,41 +131,34 @@ def _merge(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return parent
 
 
-def _join_cell(ids: np.ndarray, copies: np.ndarray, vectors: np.ndarray, home: np.ndarray, tile: np.ndarray, tiles: tuple[int, int], block: int, cosine: float) -> tuple[np.ndarray, np.ndarray]:
-    """For each vector of a cell the rows linked with it, and the index of its root in the cell's links."""
-    order = np.lexsort((ids, ~home))
-    ids, copies, vectors, home, tile = ids[order], copies[order], vectors[order], home[order], tile[order]
-    n, homes = len(ids), int(home.sum())
+def join_tiles(vectors: np.ndarray, copies: np.ndarray, one: np.ndarray, two: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray, int]:
+    """For each vector the rows linked with it, the position of its root, and how many pairs' distances were computed.
+
+    ``one`` and ``two`` are the positions of two tiles, or of one tile if they are equal.
+    """
+    n, dim = vectors.shape
+    same = np.array_equal(one, two)
+    vectors = np.ldexp(vectors, -np.frexp(np.abs(vectors).max(1))[1][:, None])  # by powers of two, so that no square overflows
     turned, norms = _rotated(vectors), np.linalg.norm(vectors, axis=1)
-    spans, budget = blocks(vectors.shape[1]), budgets(vectors.shape[1], cosine)
-    part = turned[:, spans[block]]
-    square = (part**2).sum(1)
-    links, by_id = np.zeros(n, np.int64), np.argsort(ids, kind="stable")
-    rank = np.empty(n, np.int64)
-    rank[by_id] = np.arange(n)
-    parent = np.arange(n)
-    for at in range(0, homes, _ROWS):
-        one = slice(at, min(at + _ROWS, homes))
-        near = square[one, None] + square[None, at:] - 2 * part[one] @ part[at:].T <= budget[block] + 1e-9
-        a, b = np.nonzero(near)
-        a, b = a + at, b + at
-        right = a < b
-        if tiles[0] != tiles[1]:
-            right &= tile[a] != tile[b]
-        a, b = a[right], b[right]
-        if not len(a):
-            continue
-        ok = ((turned[a][:, spans[block]] - turned[b][:, spans[block]]) ** 2).sum(1) <= budget[block]
-        for k in range(block):
-            ok[ok] = ((turned[a[ok]][:, spans[k]] - turned[b[ok]][:, spans[k]]) ** 2).sum(1) > budget[k]
-        a, b = a[ok], b[ok]
-        linked = (vectors[a] * vectors[b]).sum(1) >= cosine * norms[a] * norms[b]
-        a, b = a[linked], b[linked]
-        links += np.bincount(a, copies[b], n).astype(np.int64) + np.bincount(b, copies[a], n).astype(np.int64)
-        parent = _merge(parent, rank[a], rank[b])
-    back = np.empty(n, np.int64)
-    back[order] = np.arange(n)
-    return links[back], by_id[parent[rank]][back], ids
+    spans, most = blocks(dim), budgets(dim, cosine)
+    links, parent, examined = np.zeros(n, np.int64), np.arange(n), 0
+    for block, (span, budget) in enumerate(zip(spans, most, strict=True)):
+        maps = Bitmaps(turned[two][:, span], math.sqrt(budget))
+        for at in range(0, len(one), _ROWS):
+            for i, j in maps.near(turned[one[at : at + _ROWS]][:, span]):
+                a, b = one[at + i], two[j]
+                if same:
+                    a, b = a[a < b], b[a < b]
+                examined += len(a)
+                for k, (other, limit) in enumerate(zip(spans[: block + 1], most, strict=False)):
+                    within = _square(turned[:, other], a, turned[:, other], b) <= limit
+                    keep = within if k == block else ~within  # an earlier block has had the pair
+                    a, b = a[keep], b[keep]
+                linked = _cosines(vectors, a, vectors, b) >= cosine * norms[a] * norms[b]
+                a, b = a[linked], b[linked]
+                links += np.bincount(a, copies[b], n).astype(np.int64) + np.bincount(b, copies[a], n).astype(np.int64)
+                parent = _merge(parent, a, b)
+    return links, parent, examined
 
 
 def similar_vectors(vectors: DataFrame, *, cosine: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
@@ -137,8 +166,9 @@ def similar_vectors(vectors: DataFrame, *, cosine: float = 0.93, id_col: str = "
 
     Vectors of the same non-null label and dimension are linked when their cosine is at least ``cosine``. A
     vector that is null, empty, zero or holds null or non-finite components links with nothing, as does a row
-    without label or id. Rows of equal vectors are linked with one another, repeated rows too. An empty
-    table gives no row.
+    without label or id. Rows of equal vectors are linked with one another, repeated rows too; rows that repeat an id
+    under other labels or with other vectors are linked for themselves, and ``component_id`` is the smallest id of the rows that a
+    row reaches. An empty table gives no row; other columns are ignored.
     """
     v = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vec"), F.col(label_col).cast("string").alias("label"))
     finite = F.forall("vec", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))) & F.exists("vec", lambda c: c != 0)
@@ -153,33 +183,38 @@ def similar_vectors(vectors: DataFrame, *, cosine: float = 0.93, id_col: str = "
         return batch.set_column(at, "vec", pa.array(raw, pa.binary()))
 
     kinds = [f"{f.name} {'binary' if f.name == 'vec' else f.dataType.simpleString()}" for f in distinct.schema.fields]
-    classes = written(map_texts(distinct, ", ".join(kinds), packed), "vector-classes")
+    # A class of equal vectors has a number, which stays as it is once it is written.
+    classes = written(map_texts(distinct, ", ".join(kinds), packed).withColumn("node", F.monotonically_increasing_id()), "vector-classes")
 
-    cell = ["label", "dim", "block", "x", "y"]
-    spots = _replicas(classes.select("label", "dim", "rep", "copies", "vec"), cosine)
-    busy = written(spots.groupBy(*cell).agg(F.count("*").alias("size"), F.max("home").alias("any")).where("any and size > 1").select(*cell, F.ceil(F.col("size") / TILE).cast("int").alias("tiles")), "busy-cells")
+    group = ["label", "dim"]
+    by_bytes = F.greatest(F.lit(1), F.floor(F.lit(TILE_BYTES) / (4 * F.col("dim"))))
+    a_tile = F.greatest(F.lit(1), F.least(by_bytes, F.greatest(F.lit(TILE), F.ceil(F.col("size") / TILES))))
+    sizes = classes.groupBy(*group).agg(F.count("*").alias("size")).where("size > 1").select(*group, F.ceil(F.col("size") / a_tile).cast("int").alias("tiles"))
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")
-    tiled = spots.join(busy, cell).select("*", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int").alias("tile")).select("*", other)
-    tiled = tiled.select(*cell, "rep", "copies", "vec", "home", "tile", F.least("tile", "other").alias("t1"), F.greatest("tile", "other").alias("t2"))
-    tiled = tiled.repartition(*cell, "t1", "t2")
-    kind = spots.schema["rep"].dataType.simpleString()
+    dealt = classes.join(written(sizes, "vector-tiles"), group).select(*group, "node", "copies", "vec", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int").alias("tile"), "tiles").select("*", other)
+    dealt = dealt.select(*group, "node", "copies", "vec", "tile", F.least("tile", "other").alias("t1"), F.greatest("tile", "other").alias("t2")).repartition(*group, "t1", "t2")
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        head = pdf.iloc[0]
-        vecs = _read(pdf["vec"], int(head["dim"]))
-        links, root, ids = _join_cell(pdf["rep"].to_numpy(), pdf["copies"].to_numpy(), vecs, pdf["home"].to_numpy(bool), pdf["tile"].to_numpy(), (head["t1"], head["t2"]), int(head["block"]), cosine)
+        pdf = pdf.sort_values("node", ignore_index=True)
+        head, tile, node = pdf.iloc[0], pdf["tile"].to_numpy(), pdf["node"].to_numpy()
+        one, two = np.flatnonzero(tile == head["t1"]), np.flatnonzero(tile == head["t2"])
+        if not len(one) or not len(two):
+            return pd.DataFrame({"a": node[:0], "b": node[:0], "n": node[:0]})
+        links, root, _ = join_tiles(_read(pdf["vec"], int(head["dim"])), pdf["copies"].to_numpy(), one, two, cosine)
         found = links > 0
-        return pd.DataFrame({"a": pdf["rep"].to_numpy()[found], "b": ids[root][found], "n": links[found]})
-
-    linked = tiled.groupBy(*cell, "t1", "t2").applyInPandas(join, f"a {kind}, b {kind}, n long")
-    linked = written(linked, "vector-links")
-    groups = components(linked)
-    counts = linked.groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
-    named = classes.select("label", "dim", "h1", "h2", "rep", "copies").join(counts, "rep", "left").join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    named = written(named.select("label", "dim", "h1", "h2", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component", "rep").alias("component")), "named-vectors")
-    out = v.select("id", usable.alias("usable"), "label", "dim", "h1", "h2")
+        return pd.DataFrame({"a": node[found], "b": node[root][found], "n": links[found]})
+
+    linked = written(dealt.groupBy(*group, "t1", "t2").applyInPandas(join, "a long, b long, n long"), "vector-links")
+    groups = written(components(linked), "vector-components")
+    named = classes.select(*group, "h1", "h2", "rep", "copies", "node")
+    least = groups.join(named.select("node", "rep"), "node").groupBy("component").agg(F.min("rep").alias("least"))
+    reached = groups.join(least, "component").select("node", "least")
+    counts = linked.groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
+    named = named.join(counts, "node", "left").join(reached, "node", "left")
+    named = written(named.select(*group, "h1", "h2", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("least", "rep").alias("component")), "named-vectors")
+    out = v.select("id", usable.alias("usable"), *group, "h1", "h2")
     alone = out.where("not usable").select("id", F.lit(0).cast("long").alias("links"), F.col("id").alias("component"))
-    joined = out.where("usable").select("id", "label", "dim", "h1", "h2").join(named, ["label", "dim", "h1", "h2"]).select("id", "links", "component")
+    joined = out.where("usable").select("id", *group, "h1", "h2").join(named, [*group, "h1", "h2"]).select("id", "links", "component")
     every = joined.unionByName(alone)
     return every.select(F.col("id").alias(id_col), F.col("links").alias("n_links"), F.col("component").alias("component_id"), F.coalesce(F.col("component") == F.col("id"), F.lit(True)).alias("kept"))
 

@@ -202,6 +202,40 @@ def test_vectors_match_all_pairs(spark, monkeypatch):
     assert embeddings.similar_vectors(df.limit(0)).count() == 0
 
 
+def test_vectors_that_repeat_an_id(spark):
+    """Rows of one id under several labels or with several vectors are linked for themselves."""
+    a, b = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    rows = [(5, a, 1), (5, b, 1), (5, a, 2), (7, [1.0, 0.01, 0.0], 1), (8, [0.01, 1.0, 0.0], 1), (9, b, 2), (9, b, 2), (4, [1e200, 0.0, 0.0], 3), (3, [1e199, 1e190, 0.0], 3)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in embeddings.similar_vectors(df).collect())
+    assert got == [(3, 1, 3), (4, 1, 3), (5, 0, 5), (5, 1, 5), (5, 1, 5), (7, 1, 5), (8, 1, 5), (9, 1, 9), (9, 1, 9)]
+
+
+def test_vector_query_matches_all_pairs(spark):
+    import duckdb
+
+    rows = duckdb.sql(f"select vec_id, embedding, label from '{DIR}/embeddings.parquet'").fetchall()
+    count, groups = plain_vectors(rows, 0.93)
+    got = embeddings.op3_embedding_dedup(spark, DIR).collect()
+    assert {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in got} == {i: (n, groups[i], groups[i] == i) for i, n in count.items()}
+
+
+def test_join_prunes():
+    """Few distances are computed of vectors without links, and all links are found among many."""
+    rng = np.random.default_rng(1)
+    v = rng.normal(size=(1500, 64))
+    v[1400:] = v[:100] + rng.normal(size=(100, 64)) * 0.2
+    every, ones = np.arange(len(v)), np.ones(len(v), int)
+    links, root, examined = embeddings.join_tiles(v, ones, every, every, 0.93)
+    assert examined < 0.02 * len(v) ** 2 / 2
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    want = (unit @ unit.T >= 0.93).sum(1) - 1
+    assert (links == want).all() and want.sum() > 150
+    one, two = every[::2], every[1::2]
+    parts = [embeddings.join_tiles(v, ones, *x, 0.93)[0] for x in ((one, one), (two, two), (one, two))]
+    assert (sum(parts) == want).all()
+
+
 def test_pigeonhole_budgets():
     assert sum(embeddings.budgets(64, 0.93)) == pytest.approx(0.14)
     q = embeddings.rotation(64)
