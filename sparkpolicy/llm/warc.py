@@ -2,12 +2,15 @@
 
 Archives: every record is a gzip member of its own, so that it can be read by its byte range. They are
 written by Spark's text sink, whose line separator is set to an empty gzip member; the files are therefore
-ordinary multi-member gzip files, and any store that Spark can write to will do.
+ordinary multi-member gzip files, and any store that Spark can write to will do. A row of the sink stands for
+at most a megabyte, so that a limit on a file's rows closes it by bytes.
 
 Index: the captures are sorted by their reversed-host URL key over range partitions and cut into blocks of
-lines, each a gzip member. The sparse directory holds the first key and the place of each block. A lookup
-searches the directory by halves, reads one block by its range, searches that by halves, and reads the
-record by its range.
+lines, each a gzip member. The blocks of a file are followed by its sparse directory, which holds the first key and the place
+of each block, and by the place of that directory. A lookup searches the files' first keys by halves, then the file's directory,
+reads one block by its range, searches that by halves, and reads the record by its range. Lookups of many URLs run on the
+executors: their keys are sorted, so that a task needs few directories, and then dealt by block; only keys and places
+are shuffled, no archive content.
 """
 
 from __future__ import annotations
@@ -15,13 +18,15 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import struct
 import zlib
 from bisect import bisect_left
-from collections.abc import Iterator
-from dataclasses import dataclass, field
-from urllib.parse import quote, urlsplit
+from collections import OrderedDict
+from collections.abc import Callable, Iterable, Iterator
+from urllib.parse import quote, unquote, urlsplit
 
 import pyarrow as pa
+import pyarrow.fs as pa_fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,10 +34,13 @@ from .common import bound_batches, map_texts, shared_path, table, written
 
 #: Payloads with fewer bytes are stored again even if they repeat.
 LEAST_REVISIT = 1000
-RECORDS_A_FILE = 2000
-LINES_A_BLOCK = 2000
+#: An archive is closed after as many bytes and the record that goes over them; a row of the sink stands for so many.
+ARCHIVE_BYTES, _ROW_BYTES = 32 << 20, 1 << 20
+LINES_A_BLOCK, BLOCKS_A_FILE = 2000, 256
 DATE = "1970-01-01T00:00:00Z"
 _CHUNK = 1 << 16
+#: Records of the same file with a gap of fewer bytes are read together, up to so many; files held open.
+_GAP, _MOST_READ, _MOST_OPEN = 1 << 14, 8 << 20, 32
 
 
 def member(data: bytes) -> bytes:
@@ -112,43 +120,69 @@ def _name(urn: str | None) -> str | None:
     return found[1] if found else None
 
 
-def _write_members(df: DataFrame, path: str) -> None:
+def _write_members(df: DataFrame, path: str, rows_a_file: int) -> None:
     """The only column of ``df``, binary, as gzip members in files under ``path``."""
     raw = df.select(F.col(df.columns[0]).cast("string").alias("value"))
-    raw.write.option("lineSep", SEPARATOR.decode("latin-1")).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", RECORDS_A_FILE).text(path)
+    raw.write.option("lineSep", SEPARATOR.decode("latin-1")).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", rows_a_file).text(path)
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
     bound_batches(spark)
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
 
 
-def write_archives(pages: DataFrame, path: str, *, least_revisit: int = LEAST_REVISIT, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
+def _batch(rows: list[tuple], schema: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(columns, schema, strict=True)], [n for n, _ in schema])
+
+
+def write_archives(pages: DataFrame, path: str, *, least_revisit: int = LEAST_REVISIT, archive_bytes: int = ARCHIVE_BYTES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
     """A record for every row of ``pages`` in archives under ``path``.
 
     A null html is an empty payload. Of rows with equal payloads of at least ``least_revisit`` bytes the one with
     the largest id is a response and the others revisit it; rows that repeat that id are responses too, and
     a row without an id is a revisit only if some row with an id has its payload. An empty table gives no file
-    with a record.
+    with a record. Other columns are ignored. Payloads below ``least_revisit`` bytes aren't shuffled.
     """
     p = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.encode(F.coalesce(F.col(html_col).cast("string"), F.lit("")), "UTF-8").alias("payload"))
     p = p.select("*", F.length("payload").cast("long").alias("size"), F.sha1("payload").alias("digest"))
-    first = p.where(F.col("size") >= least_revisit).groupBy("digest", "size").agg(F.max("id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("digest", "size", "first")
+    small, large = p.where(F.col("size") < least_revisit), p.where(F.col("size") >= least_revisit)
+    first = large.groupBy("digest", "size").agg(F.max("id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("digest", "size", "first")
     # The hint keeps one plan at every size: what repeats grows with the pages.
-    marked = p.join(first.hint("merge"), ["digest", "size"], "left").select("id", "url", "payload", "size", "digest", F.when(~F.col("id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
+    refers = F.when(~F.col("id").eqNullSafe(F.col("first")), F.col("first"))
+    marked = large.join(first.hint("merge"), ["digest", "size"], "left").select("id", "url", "payload", "size", "digest", refers.alias("refers_to"))
+    marked = marked.withColumn("payload", F.when(F.col("refers_to").isNull(), F.col("payload")))
+    marked = small.select("id", "url", "payload", "size", "digest", F.lit(None).cast(p.schema["id"].dataType).alias("refers_to")).unionByName(marked)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(c) for c in ("id", "url", "payload", "size", "digest", "refers_to")), strict=True)
+            held = bytearray()
+            for i, u, x, n, d, r in rows:
+                held += member(record(i.as_py(), u.as_py(), x.as_py() or b"", n.as_py(), d.as_py(), r.as_py()))
+                if len(held) >= _ROW_BYTES:
+                    yield row(bytes(held))
+                    held.clear()
+            if held:
+                yield row(bytes(held))
+
+    def row(data: bytes) -> pa.RecordBatch:
+        rest = [b""] * (len(data) // _ROW_BYTES)  # a long record counts as several rows
+        return pa.RecordBatch.from_arrays([pa.array([data, *rest], pa.binary())], ["record"])
+
+    bound_batches(pages.sparkSession)
+    _write_members(marked.mapInArrow(run, "record binary"), path, max(1, archive_bytes // _ROW_BYTES))
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = zip(*(batch.column(c) for c in ("id", "url", "payload", "size", "digest", "refers_to")), strict=True)
-        out = [member(record(i.as_py(), u.as_py(), x.as_py(), n.as_py(), d.as_py(), r.as_py())) for i, u, x, n, d, r in rows]
-        return pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
 
-    _write_members(map_texts(marked, "record binary", run), path)
+#: The end of an index file: where its directory is and how long.
+_TRAILER = struct.Struct("<QQ")
 
 
-def build_index(spark: SparkSession, archives: str, path: str, *, lines_a_block: int = LINES_A_BLOCK) -> DataFrame:
-    """Write the index of all records under ``archives`` to ``path``, and return its directory.
+def build_index(spark: SparkSession, archives: str, path: str, *, lines_a_block: int = LINES_A_BLOCK, blocks_a_file: int = BLOCKS_A_FILE) -> DataFrame:
+    """Write the index of all records under ``archives`` to files under ``path``, and return its directory.
 
-    The blocks are in ``path/blocks``, the directory (key, file, offset, length) is the table ``path/directory``.
+    The directory has a row (key, file, offset, length) for each block. Records with equal keys are all listed. Archives
+    without a record give an index without a block; a cut-off archive raises ``ValueError``.
     """
 
     def captures(batch: pa.RecordBatch) -> pa.RecordBatch | None:
@@ -157,38 +191,173 @@ def build_index(spark: SparkSession, archives: str, path: str, *, lines_a_block:
             for at, n, data in members(content.as_buffer()):
                 head, _ = parse(data)
                 rows.append((url_key(head["WARC-Target-URI"]), file.as_py(), at, n))
-        if not rows:
-            return None
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["key", "file", "offset", "length"])
+        return _batch(rows, _PLACES) if rows else None
 
-    found = written(map_texts(_files(spark, archives), "key string, file string, offset long, length long", captures), "captures")
+    found = written(map_texts(_files(spark, archives).select("path", "content"), "key string, file string, offset long, length long", captures), "captures")
     ordered = found.repartitionByRange("key", "file", "offset").sortWithinPartitions("key", "file", "offset")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks: list[tuple[str, bytes]] = []
+        lines: list[str] = []
+
+        def file() -> pa.RecordBatch:
+            data = _index_file(blocks)
+            blocks.clear()
+            return pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], ["file"])
+
         for batch in batches:
-            rows = batch.to_pylist()
-            for at in range(0, len(rows), lines_a_block):
-                lines = "\n".join(f"{r['key']} {r['file']} {r['offset']} {r['length']}" for r in rows[at : at + lines_a_block])
-                yield pa.RecordBatch.from_arrays([pa.array([member(lines.encode())], pa.binary())], ["block"])
+            for r in batch.to_pylist():
+                lines.append(f"{r['key']} {r['offset']} {r['length']} {quote(r['file'], safe='/:')}")
+                if len(lines) == lines_a_block:
+                    blocks.append((lines[0].split(" ", 1)[0], member("\n".join(lines).encode())))
+                    lines.clear()
+                    if len(blocks) == blocks_a_file:
+                        yield file()
+        if lines:
+            blocks.append((lines[0].split(" ", 1)[0], member("\n".join(lines).encode())))
+        if blocks:
+            yield file()
+
+    _write_members(ordered.mapInArrow(cut, "file binary"), path, 1)
+
+    def directory(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        ranges = Ranges()
+        rows = [(key, file, at, n) for file, size in zip(batch.column("path").to_pylist(), batch.column("length").to_pylist(), strict=True) if size > _END for key, at, n in _directory(ranges.read, file, *_end(ranges.read, file, size))]
+        return _batch(rows, _PLACES) if rows else None
+
+    return map_texts(_files(spark, path).select("path", "length"), "key string, file string, offset long, length long", directory)
+
+
+_PLACES = [("key", pa.string()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64())]
+_END = _TRAILER.size + len(SEPARATOR)
+
+
+def _index_file(blocks: list[tuple[str, bytes]]) -> bytes:
+    """Blocks, each with its first key, and the directory at their end."""
+    listed, at = [], 0
+    for key, data in blocks:
+        listed.append(f"{key} {at} {len(data)}")
+        at += len(data)
+    directory = member("\n".join(listed).encode())
+    return b"".join(data for _, data in blocks) + directory + _TRAILER.pack(at, len(directory))
+
+
+def _end(read: Callable[[str, int, int], bytes], file: str, size: int) -> tuple[int, int]:
+    """Offset and length of an index file's directory."""
+    return _TRAILER.unpack(read(file, size - _END, _TRAILER.size))
+
+
+def _directory(read: Callable[[str, int, int], bytes], file: str, offset: int, length: int) -> list[tuple[str, int, int]]:
+    """First key, offset and length of each block of an index file."""
+    lines = (line.split(" ") for line in zlib.decompress(read(file, offset, length), 31).decode().split("\n"))
+    return [(key, int(at), int(n)) for key, at, n in lines]
+
+
+class Ranges:
+    """Byte ranges of files, in any store that Arrow opens: local or mounted folders, HDFS, S3, GCS."""
+
+    def __init__(self) -> None:
+        self.stores: dict[str, pa_fs.FileSystem] = {}
+        self.open: OrderedDict[str, pa.NativeFile] = OrderedDict()
+
+    def _file(self, file: str) -> pa.NativeFile:
+        if file in self.open:
+            self.open.move_to_end(file)
+            return self.open[file]
+        scheme, host, path = re.fullmatch(r"(?:([A-Za-z][\w+.-]*):)?(?://([^/]*))?(/.*)", file, re.S).groups()
+        scheme = {None: "file", "s3a": "s3", "s3n": "s3"}.get(scheme, scheme)
+        if (store := f"{scheme}://{host or ''}") not in self.stores:
+            self.stores[store] = pa_fs.LocalFileSystem() if scheme == "file" else pa_fs.FileSystem.from_uri(f"{store}/")[0]
+        if scheme in ("s3", "gs"):
+            path = f"{host}{path}"
+        self.open[file] = found = self.stores[store].open_input_file(path)
+        if len(self.open) > _MOST_OPEN:
+            self.open.popitem(last=False)[1].close()
+        return found
+
+    def read(self, file: str, offset: int, length: int) -> bytes:
+        data = self._file(file).read_at(length, offset)
+        if len(data) != length:
+            raise ValueError(f"{file} ends before {offset + length}")
+        return data
+
+    def read_all(self, places: Iterable[tuple[str, int, int]]) -> Iterator[bytes]:
+        """The ranges by file and offset; near ones are read together."""
+        run: list[tuple[str, int, int]] = []
+
+        def whole() -> Iterator[bytes]:
+            if run:
+                start = run[0][1]
+                data = self.read(run[0][0], start, run[-1][1] + run[-1][2] - start)
+                for _, at, n in run:
+                    yield data[at - start : at - start + n]
+
+        for file, at, n in sorted(places):
+            if run and (file != run[-1][0] or at - run[-1][1] - run[-1][2] > _GAP or at + n - run[0][1] > _MOST_READ):
+                yield from whole()
+                run = []
+            run.append((file, at, n))
+        yield from whole()
+
+
+class Search:
+    """Searches by halves: of the index files' first keys, of a file's directory, and of a block's lines."""
+
+    def __init__(self, tops: list[tuple[str, str, int, int]], read: Callable[[str, int, int], bytes]) -> None:
+        """``tops``: first key, path, and offset and length of the directory of each index file, sorted."""
+        self.tops, self.read = tops, read
+        self.firsts = [t[0] for t in tops]
+        self.held: tuple[int, list[str], list[tuple[str, int, int]]] = (-1, [], [])
+
+    def blocks(self, key: str) -> Iterator[tuple[str, int, int]]:
+        """File, offset and length of the blocks that may list ``key``."""
+        at = max(0, bisect_left(self.firsts, key) - 1)
+        while at < len(self.firsts) and self.firsts[at] <= key:
+            file = self.tops[at][1]
+            if self.held[0] != at:
+                found = _directory(self.read, file, *self.tops[at][2:])
+                self.held = (at, [d[0] for d in found], found)
+            _, firsts, found = self.held
+            i = max(0, bisect_left(firsts, key) - 1)
+            while i < len(firsts) and firsts[i] <= key:
+                yield file, found[i][1], found[i][2]
+                i += 1
+            at += 1
+
+    def lines(self, block: tuple[str, int, int]) -> list[str]:
+        return zlib.decompress(self.read(*block), 31).decode().split("\n")
 
-    _write_members(ordered.mapInArrow(cut, "block binary"), f"{path}/blocks")
+    @staticmethod
+    def captures(lines: list[str], key: str) -> Iterator[tuple[str, int, int]]:
+        """File, offset and length of each record that a block lists for ``key``."""
+        i = bisect_left(lines, f"{key} ")
+        while i < len(lines) and lines[i].startswith(f"{key} "):
+            _, offset, length, file = lines[i].split(" ")
+            yield unquote(file), int(offset), int(length)
+            i += 1
 
-    def places(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        rows = [(data.split(b" ", 1)[0].decode(), file.as_py(), at, n) for file, content in zip(batch.column("path"), batch.column("content"), strict=True) for at, n, data in members(content.as_buffer())]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["key", "file", "offset", "length"]) if rows else None
 
-    directory = map_texts(_files(spark, f"{path}/blocks"), "key string, file string, offset long, length long", places)
-    directory.write.parquet(f"{path}/directory")
-    return spark.read.schema(directory.schema).parquet(f"{path}/directory")
+def _tops(spark: SparkSession, path: str) -> list[tuple[str, str, int, int]]:
+    """What :class:`Search` needs of each index file: a row for ``BLOCKS_A_FILE * LINES_A_BLOCK`` records or a partition."""
+
+    def top(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        ranges, rows = Ranges(), []
+        for file, size in zip(batch.column("path").to_pylist(), batch.column("length").to_pylist(), strict=True):
+            if size > _END:
+                at, n = _end(ranges.read, file, size)
+                rows.append((_directory(ranges.read, file, at, n)[0][0], file, at, n))
+        return _batch(rows, _PLACES) if rows else None
+
+    found = map_texts(_files(spark, path).select("path", "length"), "key string, file string, offset long, length long", top)
+    return sorted(tuple(r) for r in found.collect())
 
 
-@dataclass
 class CaptureIndex:
-    """Lookups by URL; the directory, an entry for each block, is held by the driver once it is needed."""
+    """Lookups of single URLs from the driver, through Hadoop's file systems."""
 
-    spark: SparkSession
-    path: str
-    places: list[tuple[str, str, int, int]] = field(default_factory=list)
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark = spark
+        self.search = Search(_tops(spark, path), self.read)
 
     def read(self, file: str, offset: int, length: int) -> bytes:
         jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
@@ -202,65 +371,82 @@ class CaptureIndex:
 
     def lookup(self, url: str) -> list[tuple[str, int, int]]:
         """File, offset and length of each capture of ``url``."""
-        if not self.places:
-            self.places = sorted(tuple(r) for r in self.spark.read.parquet(f"{self.path}/directory").collect())
-        key, out = url_key(url), []
-        at = max(0, bisect_left(self.places, (key,)) - 1)
-        for _, file, offset, length in self.places[at:]:
-            lines = zlib.decompress(self.read(file, offset, length), 31).decode().split("\n")
-            i = bisect_left(lines, f"{key} ")
-            while i < len(lines) and lines[i].startswith(f"{key} "):
-                _, file, offset, length = lines[i].split(" ")
-                out.append((file, int(offset), int(length)))
-                i += 1
-            if i < len(lines):
-                break
-        return out
+        key = url_key(url)
+        return [place for block in self.search.blocks(key) for place in self.search.captures(self.search.lines(block), key)]
 
     def fetch(self, url: str) -> list[tuple[dict[str, str], bytes]]:
         """Header and payload of each capture of ``url``."""
         return [parse(zlib.decompress(self.read(*place), 31)) for place in self.lookup(url)]
 
 
-def read_archives(spark: SparkSession, archives: str, index: str) -> DataFrame:
-    """Every record that the index lists, read from its archive by its range.
+def _checked(data: bytes) -> tuple:
+    """Id, payload's size and digest, type and reference of a record; a response's payload must have its digest."""
+    head, payload = parse(zlib.decompress(data, 31))
+    digest = base64.b32decode(head["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
+    kind = head["WARC-Type"]
+    if kind == "response" and (hashlib.sha1(payload).hexdigest() != digest or len(payload) != int(head["WARC-Payload-Length"])):
+        raise ValueError(f"the payload of {head['WARC-Record-ID']} is damaged")
+    return _name(head["WARC-Record-ID"]), int(head["WARC-Payload-Length"]), digest, kind, _name(head.get("WARC-Refers-To"))
+
+
+_RECORD = [("id", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.string())]
+
 
-    Columns: ``id``, ``payload_bytes``, ``payload_digest`` (hex SHA-1), ``record_type``, ``refers_to``. A response's
-    payload is digested again; one that differs from its header raises ``ValueError``.
+def read_captures(urls: DataFrame, index: str, *, url_col: str = "url") -> DataFrame:
+    """Every record whose URL has the key of some row of ``urls``, found through the index and read by its range.
+
+    Columns: ``id``, ``payload_bytes``, ``payload_digest`` (hex SHA-1), ``record_type``, ``refers_to``; a row for each
+    record, however often a URL occurs. A null URL counts as an empty one, a URL without a capture gives no row. A response's
+    payload is digested again; one that differs from its header raises ``ValueError``. Archives and
+    index must be in a store that :class:`Ranges` opens on the executors.
     """
+    spark = urls.sparkSession
+    tops = _tops(spark, index)
 
-    def listed(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        rows = [line.split(" ")[1:] for content in batch.column("content") for _, _, data in members(content.as_buffer()) for line in data.decode().split("\n")]
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([int(r[1]) for r in rows]), pa.array([int(r[2]) for r in rows])], ["path", "offset", "length"]) if rows else None
+    def keyed(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return _batch([(k,) for k in {url_key(u) for u in batch.column("url").to_pylist()}], _PLACES[:1])
 
-    entries = map_texts(_files(spark, f"{index}/blocks"), "path string, offset long, length long", listed)
-    by_file = entries.groupBy("path").agg(F.collect_list(F.struct("offset", "length")).alias("places"))  # an archive's records at most
+    keys = map_texts(urls.select(F.col(url_col).cast("string").alias("url")), "key string", keyed).distinct()
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = []
-        for content, places in zip(batch.column("content"), batch.column("places"), strict=True):
-            view = memoryview(content.as_buffer()).cast("B")
-            for x in places.as_py():
-                head, payload = parse(zlib.decompress(view[x["offset"] : x["offset"] + x["length"]], 31))
-                digest = base64.b32decode(head["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
-                kind = head["WARC-Type"]
-                if kind == "response" and (hashlib.sha1(payload).hexdigest() != digest or len(payload) != int(head["WARC-Payload-Length"])):
-                    raise ValueError(f"the payload of {head['WARC-Record-ID']} is damaged")
-                rows.append((_name(head["WARC-Record-ID"]), int(head["WARC-Payload-Length"]), digest, kind, _name(head.get("WARC-Refers-To"))))
-        columns = zip(*rows, strict=True)
-        kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.string())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
-
-    full = _files(spark, archives).join(by_file.hint("merge"), "path").select("content", "places")
-    return map_texts(full, "id string, payload_bytes long, payload_digest string, record_type string, refers_to string", run)
+    def located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        search, rows = Search(tops, Ranges().read), []
+        for batch in batches:
+            for key in batch.column("key").to_pylist():
+                for block in search.blocks(key):
+                    rows.append((key, *block))
+                    if len(rows) == LINES_A_BLOCK:
+                        yield _batch(rows, _PLACES)
+                        rows = []
+        yield _batch(rows, _PLACES)
+
+    def fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranges = Ranges()
+        search, last, lines = Search([], ranges.read), None, []
+        for batch in batches:
+            places = []
+            for key, *block in zip(*(batch.column(n).to_pylist() for n, _ in _PLACES), strict=True):
+                if block != last:
+                    last, lines = block, search.lines(block)
+                places += search.captures(lines, key)
+                if len(places) >= LINES_A_BLOCK:
+                    yield _batch([_checked(x) for x in ranges.read_all(places)], _RECORD)
+                    places = []
+            yield _batch([_checked(x) for x in ranges.read_all(places)], _RECORD)
+
+    bound_batches(spark)
+    ordered = keys.repartitionByRange("key").sortWithinPartitions("key")
+    found = ordered.mapInArrow(located, "key string, file string, offset long, length long")
+    by_block = found.repartition("file", "offset").sortWithinPartitions("file", "offset", "key")
+    return by_block.mapInArrow(fetched, "id string, payload_bytes long, payload_digest string, record_type string, refers_to string")
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pages written as WARC records, indexed, and read back through the index."""
+    """All pages written as WARC records, indexed, and read back by looking up each page's URL."""
     archives, index = shared_path(spark, "warc"), shared_path(spark, "capture-index")
-    write_archives(table(spark, sf_dir, "pages"), archives)
+    pages = table(spark, sf_dir, "pages")
+    write_archives(pages, archives)
     build_index(spark, archives, index)
-    found = read_archives(spark, archives, index)
+    found = read_captures(pages, index)
     return found.select(F.col("id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
 
 

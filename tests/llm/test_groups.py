@@ -295,11 +295,11 @@ def test_license_texts(spark):
 def test_warc_round_trip(spark, tmp_path):
     big, nasty = "x" * 1200, "WARC/1.1\r\n\r\n\r\n" + "é\x00" * 700
     pages = [(1, "http://a.example.com/x", big), (2, "https://a.example.com:8443/x?q=1 2#f", big), (3, None, None), (4, "http://b.example.org/\r\nInjected: 1", nasty), (5, "not a url", "small"), (6, "http://a.example.com/y", "small"), (7, "http://A.example.com/x", big), (8, "", nasty)]
-    df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("payload", F.lit(1)).withColumn("n", F.lit(1))
-    archives, index = shared_path(spark, "warc"), shared_path(spark, "index")
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("payload", F.lit(1)).withColumn("n", F.lit(1)).withColumn("key", F.lit(1))
+    archives, index = f"file://{tmp_path}/a folder/100%20/warc", f"file://{tmp_path}/a folder/index"
     warc.write_archives(df, archives)
-    assert warc.build_index(spark, archives, index, lines_a_block=2).count() >= 4
-    got = {int(r["id"]): r for r in warc.read_archives(spark, archives, index).collect()}
+    assert warc.build_index(spark, archives, index, lines_a_block=2, blocks_a_file=2).count() >= 4
+    got = {int(r["id"]): r for r in warc.read_captures(df, index).collect()}
     assert sorted(got) == list(range(1, 9))
     for i, _, html in pages:
         data = (html or "").encode()
@@ -310,9 +310,37 @@ def test_warc_round_trip(spark, tmp_path):
     assert sorted(h["WARC-Record-ID"] for h, _ in look.fetch("http://a.example.com/x")) == ["<urn:page:1>", "<urn:page:7>"]
     assert look.fetch("http://a.example.com/y")[0][1] == b"small" and look.fetch("http://nowhere.example/") == []
     assert look.fetch("http://b.example.org/\r\nInjected: 1")[0][1] == b"" or look.fetch("http://b.example.org/\r\nInjected: 1")[0][0]["WARC-Type"] == "revisit"
+    some = warc.read_captures(df.where("page_id in (1, 6)").unionByName(df.where("page_id = 6")), index)
+    assert sorted(r["id"] for r in some.collect()) == ["1", "6", "7"]
     empty, none = shared_path(spark, "warc"), shared_path(spark, "index")
     warc.write_archives(df.limit(0), empty)
-    assert warc.build_index(spark, empty, none).count() == 0 and warc.read_archives(spark, empty, none).count() == 0
+    assert warc.build_index(spark, empty, none).count() == 0 and warc.read_captures(df, none).count() == 0
+
+
+def test_warc_hot_url_and_file_sizes(spark, tmp_path):
+    """A URL whose captures fill several index files, beside others; archives close by bytes, long records count for more."""
+    import os
+
+    noise = "".join(chr(33 + (i * i * 7 + i // 3) % 90) for i in range(3000))
+    df = spark.range(900).coalesce(1).select(F.col("id").alias("page_id"), F.when(F.col("id") % 3 == 0, F.concat(F.lit("http://z.example/"), F.col("id"))).otherwise("http://hot.example/").alias("url"), F.concat(F.col("id").cast("string"), F.lit(noise)).alias("html"))
+    long = spark.range(2).select((F.col("id") + 1000).alias("page_id"), F.lit("http://long.example/").alias("url"), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(90_000)), lambda i: F.sha2(F.concat(i, F.col("id")).cast("binary"), 256)), "").alias("html")).coalesce(1)
+    pages, archives, index = df.unionByName(long).coalesce(1), f"{tmp_path}/warc", f"{tmp_path}/index"
+    warc.write_archives(pages, archives, archive_bytes=2 << 20)
+    sizes = [os.path.getsize(f"{archives}/{n}") for n in os.listdir(archives) if n.startswith("part-")]
+    assert len([x for x in sizes if x > 1000]) >= 2 and sum(sizes) > 5 << 20 and max(sizes) < 6 << 20
+    warc.build_index(spark, archives, index, lines_a_block=20, blocks_a_file=3)
+    got = warc.read_captures(pages, index)
+    assert sorted(int(r["id"]) for r in got.collect()) == [*range(900), 1000, 1001]
+    hot = warc.read_captures(spark.createDataFrame([("http://hot.example/",), ("http://hot.example/",)], "url string"), index)
+    assert hot.count() == 600
+
+
+def test_damaged_archives_raise():
+    data = warc.member(warc.record(1, "http://a/", b"text", 4, hashlib.sha1(b"other").hexdigest(), None))
+    with pytest.raises(ValueError, match="damaged"):
+        warc._checked(data)
+    with pytest.raises(ValueError, match="cut off"):
+        list(warc.members(data[:-9]))
 
 
 def test_warc_query_matches_sql(spark):
