@@ -3,10 +3,11 @@
 A permutation of the shingle hashes gives two signature values, its minimum and its maximum, so that half
 the hash evaluations fill a signature; both agree with the probability of the Jaccard similarity. Minima and
 maxima go to different bands, whose rows therefore come from different permutations. Documents with a band
-in common are candidates, and so is whatever chains of candidates join. Within such a group all are compared
-on the full shingle sets with the smallest one, the pivot, which takes one comparison a member, and then the
-pairs that are not yet joined through it, tile by tile. So no link is lost to a bound, and a group of near copies
-is compared in as many tasks as its size asks for.
+in common are candidates. Candidates are confirmed on their full shingle sets in three steps, each of which
+leaves less: with one member of whatever chains of candidates join, which takes one comparison a document and settles groups of near
+copies; with one member of each band's bucket that isn't yet joined by confirmed links; and, within what buckets are then still
+not joined, tile by tile. Unconfirmed chains are thus never compared all with all, only those
+who share a bucket are. No link is lost to a bound, and a bucket is compared in as many tasks as its bytes ask for.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ from .components import components
 WORDS = 5
 #: The chance that a pair just at the threshold shares no band.
 MISS = 1e-6
-#: Sets in a tile; tiles grow with their group, up to the larger bound.
-TILE, LARGEST_TILE = 256, 4096
+#: Sets in a tile; tiles grow with their bucket, up to a bound in bytes.
+TILE, TILE_BYTES = 256, 8 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MIX2 = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -106,17 +107,15 @@ def _alike(one: np.ndarray, two: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(one) + len(two) - both)
 
 
-def _with_pivot(sets: DataFrame, percent: int) -> DataFrame:
-    """``id``, ``group`` and ``linked`` of each set but the pivots: whether it is linked with its group's pivot."""
-    pivots = sets.where("id = group").select("group", F.col("grams").alias("pivot"))
-    pairs = sets.where("id <> group").join(pivots.hint("merge"), "group").select("id", "group", "grams", "pivot")
+def _confirmed(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The ``pairs`` (a, b) of different nodes whose ``sets`` (node, grams) are linked."""
+    sides = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("x")).hint("merge"), "a").join(sets.select(F.col("node").alias("b"), F.col("grams").alias("y")).hint("merge"), "b")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        linked = [_alike(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent) for x, y in zip(batch.column("grams"), batch.column("pivot"), strict=True)]
-        return pa.RecordBatch.from_arrays([batch.column("id"), batch.column("group"), pa.array(linked, pa.bool_())], ["id", "group", "linked"])
+        linked = [_alike(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent) for x, y in zip(batch.column("x"), batch.column("y"), strict=True)]
+        return batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
-    kind = sets.schema["id"].dataType.simpleString()
-    return map_texts(pairs, f"id {kind}, group {kind}, linked boolean", run)
+    return map_texts(sides.select("a", "b", "x", "y"), "a long, b long", run)
 
 
 def tile_links(ids: np.ndarray, grams: list[np.ndarray], one: np.ndarray, two: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -152,35 +151,50 @@ def tile_links(ids: np.ndarray, grams: list[np.ndarray], one: np.ndarray, two: n
     return out
 
 
-def _between_others(sets: DataFrame, near: DataFrame, percent: int) -> DataFrame:
-    """The links (a, b) of groups in which some set isn't linked with the pivot.
+def _open_buckets(members: DataFrame, joined: DataFrame) -> DataFrame:
+    """The rows (bucket, node, pivot, component) of the buckets whose members aren't all in one confirmed component."""
+    own = members.join(joined.select("node", "component").hint("merge"), "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
+    own = written(own, "bucket-members")
+    spread = own.groupBy("bucket").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.min(F.struct("node", "component")).alias("first")).where("c1 <> c2")
+    spread = written(spread.select("bucket", F.col("first.node").alias("pivot"), F.col("first.component").alias("at")), "open-buckets")
+    return own.join(spread.hint("merge"), "bucket").select("bucket", "node", "pivot", "at", "component")
 
-    Two sets that both are linked with the pivot need no comparison. So the tasks of a group are the pairs of
-    tiles of unlinked sets, and their tiles against those of linked sets; a task sends out a spanning forest.
+
+def _within_buckets(sets: DataFrame, opened: DataFrame, percent: int) -> DataFrame:
+    """The links (a, b) between members of a bucket in different components.
+
+    ``opened`` has rows (bucket, node, pivot, at, component), ``at`` being the pivot's component. Those who are in
+    it are tied and need no comparison among themselves. The tasks of a bucket are the pairs of tiles of its loose members, and
+    these tiles against those of tied ones; a task sends out a spanning forest. A bucket whose only loose member
+    has been compared with all, which is the pivot, is left out, as are all but one of buckets with equal members.
     """
-    sizes = near.groupBy("group").agg(F.count_if(~F.col("linked")).alias("loose"), F.count_if("linked").alias("tied")).where("loose > 0 and loose + tied > 1")
-    tile = F.greatest(F.lit(TILE), F.least(F.lit(LARGEST_TILE), F.greatest("loose", "tied") / 16))
-    sizes = written(sizes.select("group", F.ceil(F.col("loose") / tile).cast("int").alias("n_loose"), F.ceil(F.col("tied") / tile).cast("int").alias("n_tied")), "open-groups")
+    near = opened.select("bucket", "node", (F.col("component") == F.col("at")).alias("linked"))
+    sizes = near.join(sets.select("node", F.length("grams").alias("bytes")).hint("merge"), "node").groupBy("bucket").agg(
+        F.count_if(~F.col("linked")).alias("loose"), F.count_if("linked").alias("tied"), F.sum("bytes").alias("bytes"),
+        F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("s1"), F.bit_xor(F.xxhash64(F.lit(5), "node")).alias("s2"),
+    ).where("loose + tied > 2")
+    sizes = sizes.groupBy("loose", "tied", "s1", "s2").agg(F.min_by(F.struct("bucket", "bytes"), "bucket").alias("one")).select("loose", "tied", "one.*")
+    # A tile's share of the bucket's bytes is bounded, and small buckets have tiles of so many sets at least.
+    tiles = lambda c: F.ceil(F.greatest(F.col(c) / F.greatest(F.lit(TILE), F.greatest("loose", "tied") / 16), F.col("bytes") * F.col(c) / (F.col("loose") + F.col("tied")) / TILE_BYTES)).cast("int")
+    sizes = written(sizes.select("bucket", tiles("loose").alias("n_loose"), tiles("tied").alias("n_tied")), "open-tiles")
     upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
     spot = lambda kind, x, y: F.struct(F.lit(kind).alias("kind"), x.alias("x"), y.alias("y"))
-    own = lambda c: F.pmod(F.xxhash64("id"), F.col(c)).cast("int")
-    empty = F.array().cast("array<struct<kind:int,x:int,y:int>>")
-    loose = F.concat(F.transform(upto("n_loose"), lambda j: spot(0, F.least(own("n_loose"), j), F.greatest(own("n_loose"), j))), F.when(F.col("n_tied") > 0, F.transform(upto("n_tied"), lambda j: spot(1, own("n_loose"), j))).otherwise(empty))
+    own = lambda c: F.pmod(F.xxhash64("node"), F.col(c)).cast("int")
+    loose = F.concat(F.transform(upto("n_loose"), lambda j: spot(0, F.least(own("n_loose"), j), F.greatest(own("n_loose"), j))), F.transform(upto("n_tied"), lambda j: spot(1, own("n_loose"), j)))
     tied = F.transform(upto("n_loose"), lambda i: spot(1, i, own("n_tied")))
-    dealt = written(near.join(sizes.hint("merge"), "group").select("id", "group", "linked", F.when(F.col("linked"), tied).otherwise(loose).alias("tasks"), F.when(F.col("linked"), F.lit(0)).otherwise(own("n_loose")).alias("tile")), "dealt")
-    full = sets.select("id", "grams").join(dealt.hint("merge"), "id").select("id", "group", "linked", "tile", "grams", F.explode("tasks").alias("task")).select("id", "group", "linked", "tile", "grams", "task.kind", "task.x", "task.y")
+    dealt = written(near.join(sizes.hint("merge"), "bucket").select("bucket", "node", "linked", F.when(F.col("linked"), tied).otherwise(loose).alias("tasks"), F.when(F.col("linked"), F.lit(0)).otherwise(own("n_loose")).alias("tile")), "dealt")
+    full = sets.select("node", "grams").join(dealt.hint("merge"), "node").select("node", "bucket", "linked", "tile", "grams", F.explode("tasks").alias("task")).select("node", "bucket", "linked", "tile", "grams", "task.kind", "task.x", "task.y")
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
+        pdf = pdf.sort_values("node")
         first, linked, tile = pdf.iloc[0], pdf["linked"].to_numpy(), pdf["tile"].to_numpy()
         grams = [np.frombuffer(x, np.uint64) for x in pdf["grams"]]
         one = np.flatnonzero(~linked & (tile == first["x"]))
         two = np.flatnonzero(linked if first["kind"] else ~linked & (tile == first["y"]))
-        out = tile_links(pdf["id"].to_numpy(), grams, one, two, percent) if len(one) and len(two) else []
-        return pd.DataFrame(out, columns=["a", "b"], dtype=pdf["id"].dtype)
+        out = tile_links(pdf["node"].to_numpy(), grams, one, two, percent) if len(one) and len(two) else []
+        return pd.DataFrame(out, columns=["a", "b"], dtype=pdf["node"].dtype)
 
-    kind = sets.schema["id"].dataType.simpleString()
-    return full.repartition("group", "kind", "x", "y").groupBy("group", "kind", "x", "y").applyInPandas(join, f"a {kind}, b {kind}")
+    return full.repartition("bucket", "kind", "x", "y").groupBy("bucket", "kind", "x", "y").applyInPandas(join, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, *, percent: int = 85, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -189,33 +203,49 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, words: int = WORDS, i
     Documents are linked when 100 times the intersection of their shingle sets is at least ``percent`` times
     the union. ``component_id`` is the smallest id reachable by links, the document's own included, and
     ``kept`` tells whether that is its own. A document without shingles (null, empty or blank text) is linked
-    with nothing. Rows that repeat an id are one node; a row without an id has no component and is kept.
-    Equal sets collapse into one class before candidates are looked for. An empty table gives no row.
+    with nothing. Rows that repeat an id with another text are linked for themselves; a row without an id has no component and is kept.
+    Equal sets collapse into one class before candidates are looked for. An empty table gives no row; other columns are ignored.
     """
     marks = written(signatures(docs, threshold=percent / 100, words=words, id_col=id_col, text_col=text_col), "signatures")
     known = marks.where("n > 0 and id is not null")
-    classes = written(known.groupBy("n", "h1", "h2").agg(F.min("id").alias("rep"), F.first("keys").alias("keys")), "classes")
+    # A class of equal sets has a number, which stays as it is once it is written.
+    classes = known.groupBy("n", "h1", "h2").agg(F.min("id").alias("rep"), F.first("keys").alias("keys"))
+    classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
 
-    rows = classes.select("rep", F.posexplode("keys").alias("band", "key"))
-    buckets = written(rows.groupBy("band", "key").agg(F.count("*").alias("size"), F.min("rep").alias("pivot")).where("size > 1").select("band", "key", "pivot"), "buckets")
-    candidates = rows.join(buckets.hint("merge"), ["band", "key"]).where("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b"))
-    groups = written(components(candidates).select(F.col("node").alias("id"), F.col("component").alias("group")), "candidate-groups")
+    rows = classes.select("node", F.posexplode("keys").alias("band", "key"))
+    buckets = rows.groupBy("band", "key").agg(F.count("*").alias("size"), F.min("node").alias("pivot")).where("size > 1")
+    buckets = written(buckets.select("band", "key", "pivot").withColumn("bucket", F.monotonically_increasing_id()), "buckets")
+    members = written(rows.join(buckets.hint("merge"), ["band", "key"]).select("bucket", "node", "pivot"), "members")
+    chained = written(components(members.select(F.col("node").alias("a"), F.col("pivot").alias("b"))), "candidate-groups")
 
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-
-    def grams(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([batch.column("id"), batch.column("group"), pa.array([shingles(t.as_py(), words).tobytes() for t in batch.column("text")], pa.binary())], ["id", "group", "grams"])
-
     kind = slim.schema["id"].dataType.simpleString()
-    inside = slim.join(groups.hint("merge"), "id").select("id", "group", "text")  # one plan at every size
-    sets = map_texts(inside, f"id {kind}, group {kind}, grams binary", grams)
-    sets = written(sets.groupBy("id", "group").agg(F.max("grams").alias("grams")) if _repeats(marks) else sets, "sets")
-
-    near = written(_with_pivot(sets, percent), "near-pivots")
-    links = near.where("linked").select(F.col("id").alias("a"), F.col("group").alias("b"))
-    found = components(links.unionByName(_between_others(sets, near, percent)))
 
-    named = classes.select("n", "h1", "h2", "rep").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("n", "h1", "h2", F.coalesce("component", "rep").alias("component"))
+    def grams(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [shingles(t.as_py(), words).tobytes() for t in batch.column("text")]
+        own = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s) for s in sets), np.int64).reshape(-1, 2)
+        same = (own[:, 0] == batch.column("h1").to_numpy()) & (own[:, 1] == batch.column("h2").to_numpy())  # not another text of that id
+        return pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], ["node", "grams"]).filter(pa.array(same))
+
+    wanted = classes.join(chained.select("node").hint("merge"), "node").select(F.col("rep").cast(kind).alias("id"), "node", "h1", "h2")
+    inside = slim.join(wanted.hint("merge"), "id").select("node", "h1", "h2", "text")  # one plan at every size
+    sets = map_texts(inside, "node long, grams binary", grams)
+    sets = written(sets.groupBy("node").agg(F.max("grams").alias("grams")) if _repeats(marks) else sets, "sets")
+
+    links = written(_confirmed(sets, chained.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")), percent), "links-of-groups")
+    joined = links.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    opened = written(_open_buckets(members.select("bucket", "node"), joined), "opened")
+    pairs = opened.where("component <> at").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
+    more = written(_confirmed(sets, pairs, percent), "links-of-buckets")
+    links = links.unionByName(more)
+    joined = written(components(links), "joined")
+    opened = written(_open_buckets(opened.select("bucket", "node"), joined), "still-open")
+    links = links.unionByName(_within_buckets(sets, opened, percent))
+    found = written(components(links), "components")
+
+    least = found.join(classes.select("node", "rep"), "node").groupBy("component").agg(F.min("rep").alias("least"))
+    reached = found.join(least, "component").select("node", "least")
+    named = classes.select("n", "h1", "h2", "rep", "node").join(reached.hint("merge"), "node", "left").select("n", "h1", "h2", F.coalesce("least", "rep").alias("component"))
     named = written(named, "named-classes")
     out = marks.select("id", "n", "h1", "h2").join(named.hint("merge"), ["n", "h1", "h2"], "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))

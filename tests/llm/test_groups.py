@@ -139,6 +139,24 @@ def test_chains_and_tiles(spark, monkeypatch):
         assert got == want
 
 
+def test_repeated_ids_with_other_texts(spark):
+    words = lambda tag: " ".join(f"{tag}{i}" for i in range(60))
+    rows = [(5, words("w")), (5, words("z")), (7, words("w") + " more"), (8, words("z") + " more"), (9, words("z") + " more"), (9, words("z") + " more"), (3, "x y"), (3, "X  Y")]
+    got = sorted((r["doc_id"], r["component_id"]) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(3, 3), (3, 3), (5, 5), (5, 5), (7, 5), (8, 5), (9, 5), (9, 5)]
+
+
+def test_boilerplate_chain(spark):
+    """Documents that share half of their words chain into one candidate group, but are compared within buckets only."""
+    rng = np.random.default_rng(5)
+    half = " ".join(f"b{i}" for i in range(60))
+    texts = {i: f"{half} " + " ".join(f"u{i}x{j}" for j in range(int(rng.integers(20, 50)))) for i in range(400)}
+    texts |= {1000 + i: texts[i] + " end" for i in range(0, 400, 9)}
+    want, _ = plain_components(texts, 80)
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), percent=80).collect()}
+    assert got == want and sum(d != c for d, c in want.items()) >= 45
+
+
 def test_near_duplicate_rows(spark, docs):
     got = [(r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(docs, percent=80).collect()]
     by = {g[0]: g for g in got}
