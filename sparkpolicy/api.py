@@ -19,7 +19,7 @@ from .lang.errors import CompileError, EvaluationError, PolicyError, Unsupported
 from .lang.nodes import Module, Node
 from .lang.parser import parse, parse_expression
 from .operators.lowering import Collection, Deferred, NeedsRelation, RowBody, Scope, World, clause, complete_relation, set_relation
-from .operators.terms import UNDEFINED, Cell, Fields, Term, Undefined, constant, defined, row, solid, widest
+from .operators.terms import UNDEFINED, Cell, Fields, Term, Undefined, constant, defined, row, solid, variant, widest
 from .plans.analysis import Compiled, compile_module
 from .sources.catalog import Catalog
 from .sources.workers import ship_package
@@ -41,6 +41,16 @@ class Result:
         return json.dumps(self.to_dict(), ensure_ascii=False)
 
 
+def _columns(t: Term, *, strict: bool = True) -> dict[str, Cell] | None:
+    """The columns of a decision: one for each field of an object, or ``v``. Values of several types are variants."""
+    cells = {k: solid(x) or variant(x) for k, x in t.fields.items()} if isinstance(t, Fields) else {"v": solid(t) or variant(t)}
+    if all(c is not None for c in cells.values()):
+        return cells
+    if strict:
+        raise UnsupportedPlan("a decision of such values has no column form")
+    return None
+
+
 def _json(x: object) -> object:
     return v.plain(v.value(x))
 
@@ -91,7 +101,7 @@ class Policy:
             if only is not None:  # its condition is a plain filter, which reaches the scan
                 cond, t = only
                 df = df if cond is None else df.where(cond)
-                cells = {k: solid(x) for k, x in t.fields.items()} if isinstance(t, Fields) else {"v": solid(t)}
+                cells = _columns(t)
                 return df.select(*keys, *[c.col.alias(k) for k, c in cells.items()])
             t = RowBody((), Scope({}, w)).rule(rule, w)
             if isinstance(t, Collection):
@@ -102,9 +112,7 @@ class Policy:
             return df.select(*keys, F.lit(None).cast("string").alias("v")).where("false")
         d = defined(t)
         held = df if d is None else df.where(d)
-        if isinstance(t, Fields):
-            return held.select(*keys, *[solid(x).col.alias(k) for k, x in t.fields.items()])
-        return held.select(*keys, solid(t).col.alias("v"))
+        return held.select(*keys, *[c.col.alias(k) for k, c in _columns(t).items()])
 
     def _single_clause(self, rule: str, w: World) -> tuple | None:
         """Condition and value of a complete rule of one clause, if it reads the row alone."""
@@ -115,8 +123,7 @@ class Policy:
         if not found or isinstance(found[0][1], (Collection, Deferred)):
             return None
         t = found[0][1]
-        cells = list(t.fields.values()) if isinstance(t, Fields) else [t]
-        return found[0] if all(solid(c) is not None for c in cells) else None
+        return found[0] if _columns(t, strict=False) is not None else None
 
     def _joined(self, df: DataFrame, rule: str, keys: list[str], w: World) -> DataFrame:
         if self.compiled.kind(rule) == "set":
@@ -152,10 +159,10 @@ class Policy:
             return t.df
         one = spark.range(1)
         if isinstance(t, Fields):
-            return one.select(*[solid(x).col.alias(k) for k, x in t.fields.items()])
+            return one.select(*[c.col.alias(k) for k, c in _columns(t).items()])
         if isinstance(t, Undefined):
             return one.select(F.lit(None).cast("string").alias("v")).where("false")
-        return one.select(solid(t).col.alias("v")).where("v is not null")
+        return one.select(_columns(t)["v"].col.alias("v")).where("v is not null")
 
     def verify(self, spark: SparkSession, catalog: Catalog) -> None:
         """Run every relation once, so that all conflict checks are made; a lazy read makes only those it touches."""

@@ -23,8 +23,9 @@ from ..lang.nodes import Arr, Bin, Call, Compr, Every, Lit, Node, Obj, Ref, Rule
 from ..plans.analysis import Compiled, arranged, binds, bound, dotted, pattern_vars, reads
 from ..sources.catalog import Catalog
 from .terms import (
-    NUMBERS, UNDEFINED, WHOLE, Cell, Collection, Deferred, Fields, Items, Null, Term, Undefined, as_kind, boolean,
-    cell, conjunction, constant, defined, equal, kind, known, only_if_defined, row, solid, truthy, widest,
+    NUMBERS, UNDEFINED, VARIANT, WHOLE, Cell, Collection, Deferred, Fields, Items, Null, Term, Undefined, as_kind, boolean,
+    cell, conjunction, constant, defined, equal, from_variant, integer, kind, known, mapping, only_if_defined, opened, row, solid,
+    truthy, variant, widest,
 )
 
 _numbers = itertools.count(1)
@@ -153,7 +154,7 @@ class Planner:
         if all(isinstance(k, Cell) and isinstance(k.const, str) for k, _ in pairs):
             return Fields({k.const: x for k, x in pairs})
         keys, values = solid(Items(tuple(k for k, _ in pairs))), solid(Items(tuple(x for _, x in pairs)))
-        if keys is None or values is None:
+        if keys is None or values is None or isinstance(keys.type.elementType, (T.VariantType, T.ArrayType, T.MapType, T.StructType)):
             raise UnsupportedPlan("an object of mixed keys or values has no column form", node.at)
         return cell(T.MapType(keys.type.elementType, values.type.elementType), keys, values, col=F.map_from_arrays(keys.col, values.col))
 
@@ -168,33 +169,46 @@ class Planner:
     def step(self, t: Term, key: Term, scope: Scope) -> Term:
         if isinstance(t, DataRoot):
             return self.data(t, key, scope)
+        if isinstance(t, (Undefined, Null)) or isinstance(key, Undefined):
+            return UNDEFINED
+        if isinstance(t, (Collection, Deferred)):
+            return self.lookup(t, key)
+        if isinstance(t, Cell) and isinstance(t.type, T.StructType):
+            t = opened(t)
         if isinstance(t, Fields):
-            return t.fields.get(key.const, UNDEFINED) if isinstance(key, Cell) and key.const is not None else UNDEFINED
-        if isinstance(t, Items) and not t.is_set and isinstance(key, Cell) and isinstance(key.const, int):
+            if isinstance(key, Cell) and key.const is not None:
+                return t.fields.get(key.const, UNDEFINED) if isinstance(key.const, str) else UNDEFINED
+            return by_name(t, key)
+        if isinstance(t, Items) and not t.is_set and isinstance(key, Cell) and isinstance(key.const, int) and not isinstance(key.const, bool):
             return t.items[key.const] if -len(t.items) <= key.const < len(t.items) else UNDEFINED
-        if isinstance(t, Items):
-            t = solid(t)
+        if isinstance(t, Items) and (t := solid(t)) is None:
+            raise UnsupportedPlan("a set of mixed values has no column form")
         if not isinstance(t, Cell):
-            return UNDEFINED
-        if isinstance(t.type, T.StructType):
-            return cell(t.type[key.const].dataType, t, col=t.col[key.const]) if isinstance(key, Cell) and key.const in t.type.names else UNDEFINED
-        k = solid(key)
-        if k is None:
-            return UNDEFINED
+            raise UnsupportedPlan("a key of such a value has no plan")
         if isinstance(t.type, T.MapType):
-            return cell(t.type.valueType, t, key, col=F.try_element_at(t.col, k.col)) if kind(k) == kind(Cell(k.col, t.type.keyType)) else UNDEFINED
+            k = as_kind(key, kind(Cell(t.col, t.type.keyType)))
+            return UNDEFINED if k is None else cell(t.type.valueType, t, key, col=F.try_element_at(t.col, k.col))
         if isinstance(t.type, T.ArrayType) and t.is_set:
-            return cell(k.type, t, key, col=F.when(F.exists(t.col, lambda e: e == k.col), k.col))
+            k = solid(key)
+            if k is None:
+                raise UnsupportedPlan("a member of such a set has no column form")
+            return cell(k.type, t, key, col=F.when(F.exists(t.col, lambda e: F.coalesce(equal(Cell(e, t.type.elementType), k).col, F.lit(False))), k.col))
         if isinstance(t.type, T.ArrayType):
-            if not isinstance(k.type, WHOLE):
-                return UNDEFINED
-            at = F.lit(k.const + (k.const >= 0)) if k.const is not None else F.when(k.col < 0, k.col).otherwise(k.col + 1)
-            return cell(t.type.elementType, t, key, col=F.try_element_at(t.col, at.cast("int")))
-        if isinstance(t.type, T.VariantType) and k.const is not None:
-            path = f"$[{k.const}]" if isinstance(k.const, int) else "$['" + str(k.const).replace("'", "\\'") + "']"
-            return cell(T.VariantType(), t, col=F.try_variant_get(t.col, path, "variant"))
+            return at_index(t, key)
+        if isinstance(t.type, T.VariantType):
+            if isinstance(key, Cell) and isinstance(key.const, str) and "'" not in key.const and "\\" not in key.const:
+                return cell(VARIANT, t, col=F.try_variant_get(t.col, f"$['{key.const}']", "variant"))
+            found = [at_index(from_variant(t, "array"), key)]
+            if (name := as_kind(key, "string")) is not None:
+                found.append(cell(VARIANT, t, key, col=F.try_element_at(from_variant(t, "object").col, name.col)))
+            cells = [c for c in found if isinstance(c, Cell)]
+            return cell(VARIANT, t, key, col=F.coalesce(*(c.col for c in cells))) if cells else UNDEFINED
         return UNDEFINED
 
+    def lookup(self, t: Term, key: Term) -> Term:
+        """The value under a key of a table or rule."""
+        raise NeedsRelation
+
     def data(self, t: DataRoot, key: Term, scope: Scope) -> Term:
         if not isinstance(key, Cell) or not isinstance(key.const, str):
             raise UnsupportedPlan("a key under data must be written out")
@@ -207,7 +221,8 @@ class Planner:
             return self.rule(at[0], w)
         if len(path) == 1 and path[0] in w.catalog.tables:
             df = w.catalog.tables[path[0]]
-            return Collection(df, row(df), "array")
+            index = w.catalog.indexes.get(path[0])
+            return Collection(df, row(df), "array", key=row(df).fields[index] if index else None)
         lead = w.compiled.package[: len(path)] == path or any(p[: len(path)] == path for p, _ in w.placed)
         found = w.catalog.document_at(path)
         if found is not None and not lead:
@@ -241,8 +256,12 @@ class Planner:
             return UNDEFINED
         if isinstance(of, (Collection, Deferred)):
             return self.contains(x, of)
-        if isinstance(of, Fields):
+        if isinstance(of, Fields) and not of.row:
             return self.member(x, Items(tuple(constant(k) for k in of.fields)))
+        if isinstance(of, Fields) or isinstance(of, Cell) and isinstance(of.type, T.StructType):  # an absent key is NULL
+            keys = w_keys(of)
+            k = as_kind(x, "string")
+            return boolean(only_if_defined(F.lit(False), x, of), x, of) if k is None else boolean(only_if_defined(F.coalesce(F.array_contains(keys.col, k.col), F.lit(False)), x, of), x, of)
         if isinstance(of, Items):
             same = [kind(i) == kind(x) for i in of.items]
             if isinstance(x, Cell) and all(isinstance(i, Cell) and i.const is not None for i in of.items):
@@ -256,17 +275,23 @@ class Planner:
             return boolean(only_if_defined(F.lit(False) if out is None else out, x, of), x, of)
         if not isinstance(of, Cell):
             return UNDEFINED
-        if isinstance(of.type, T.StructType):
-            return self.member(x, Items(tuple(constant(n) for n in of.type.names)))
-        c = solid(x)
-        if c is None:
-            return UNDEFINED
+        if isinstance(of.type, T.VariantType):
+            a, o = from_variant(of, "array"), from_variant(of, "object")
+            inside = F.exists(a.col, lambda e: F.coalesce(equal(Cell(e, VARIANT), x).col, F.lit(False)))
+            k = as_kind(x, "string")
+            keyed = F.lit(False) if k is None else F.coalesce(F.map_contains_key(o.col, k.col), F.lit(False))
+            return boolean(only_if_defined(F.when(a.col.isNotNull(), inside).when(o.col.isNotNull(), keyed), x), x, of)
         if isinstance(of.type, T.MapType):
-            return boolean(F.map_contains_key(of.col, c.col), x, of) if kind(c) == kind(Cell(c.col, of.type.keyType)) else known(False)
+            c = as_kind(x, kind(Cell(of.col, of.type.keyType)))
+            return boolean(only_if_defined(F.lit(False), x, of), x, of) if c is None else boolean(only_if_defined(F.coalesce(F.map_contains_key(of.col, c.col), F.lit(False)), x, of), x, of)
         if isinstance(of.type, T.ArrayType):
-            if kind(c) != kind(Cell(c.col, of.type.elementType)):
+            c = solid(x)
+            if c is not None and c.type == of.type.elementType and not isinstance(c.type, (T.VariantType, T.StructType, T.MapType)):
+                return boolean(only_if_defined(F.exists(of.col, lambda e: e.eqNullSafe(c.col)), x), x, of)
+            if c is not None and kind(c) != kind(Cell(of.col, of.type.elementType)) and None not in (kind(c), kind(Cell(of.col, of.type.elementType))):
                 return boolean(only_if_defined(F.lit(False), x, of), x, of)
-            return boolean(only_if_defined(F.exists(of.col, lambda e: e.eqNullSafe(c.col)), x), x, of)
+            inside = F.exists(of.col, lambda e: F.coalesce(equal(Cell(e, of.type.elementType), x).col, F.lit(False)))
+            return boolean(only_if_defined(inside, x, of), x, of)
         return UNDEFINED
 
     # -- calls
@@ -296,12 +321,21 @@ class Planner:
     def over_tables(self, name: str, args: tuple[Term, ...], w: World, node: Node) -> Term:
         if len(args) == 1 and name in ("count", "sum", "max", "min", "all", "any"):
             return self.aggregate(args[0], name)
+        if len(args) == 1 and (name == "type_name" or name.startswith("is_")):
+            return constant(kind(args[0])) if name == "type_name" else known(name == f"is_{kind(args[0])}")
         cs = [self.uncorrelated(a) if isinstance(a, (Collection, Deferred)) else a for a in args]
         first = cs[0]
         if name in ("set", "cast_set") and len(cs) == 1:
             return distinct_set(first)
-        if name == "cast_array":
-            return replace(first, kind="array", df=distinct_set(first).df) if first.kind == "set" else first
+        if name == "cast_array" and first.kind != "object":
+            return replace(first, kind="array", df=distinct_set(first).df, key=None) if first.kind == "set" else first
+        if name == "cast_object" and first.kind == "object":
+            return first
+        if name == "object.keys" and first.kind == "object" and isinstance(first.key, Cell):
+            keys = first.df.select(first.key.col.alias("value"))
+            return Collection(keys, Cell(F.col("value"), first.key.type, frozenset(["value"])), "set")
+        if name == "object.get" and first.kind == "object" and len(cs) == 3:
+            return COLUMNS["object.get"](Fields({"k": self.lookup(first, cs[1])}, row=True), constant("k"), cs[2])
         if name == "sort" and first.kind == "array":
             return replace(first, order="asc")
         if name == "array.reverse" and first.order:
@@ -328,7 +362,7 @@ class Planner:
     def inline(self, name: str, args: tuple[Term, ...], w: World, node: Node) -> Term:
         """A user function, expanded in place."""
         if any(isinstance(a, (Collection, Deferred)) for a in args):
-            raise UnsupportedPlan("a function of a table has no plan", node.at)
+            return self.inline_tables(name, args, w, node)
         options = []
         for r in w.compiled.rules.get(name, ()):
             if len(r.args) != len(args):
@@ -340,6 +374,9 @@ class Planner:
             options.append((r, scope, guards))
         return choose(name, [clause(r, scope, guards) for r, scope, guards in options], w)
 
+    def inline_tables(self, name: str, args: tuple[Term, ...], w: World, node: Node) -> Term:
+        raise NeedsRelation
+
     def rule(self, name: str, w: World) -> Term:
         if isinstance(w.renamed.get(name), Term):
             return w.renamed[name]
@@ -375,18 +412,66 @@ class Planner:
         domain = self.term(node.domain, scope)
         if isinstance(domain, (Collection, Deferred)):
             raise NeedsRelation
-        c = solid(domain)
-        if c is None or node.key is not None and c.is_set:
-            return F.lit(False)
-        if isinstance(c.type, T.MapType):
-            entries, type_ = F.map_entries(c.col), (c.type.keyType, c.type.valueType)
-            bind = lambda e: {node.value: Cell(e["value"], type_[1], c.uses), **({node.key: Cell(e["key"], type_[0], c.uses)} if node.key else {})}
-        elif isinstance(c.type, T.ArrayType):
-            entries = F.transform(c.col, lambda x, i: F.struct(i.cast("long").alias("key"), x.alias("value")))
-            bind = lambda e: {node.value: Cell(e["value"], c.type.elementType, c.uses), **({node.key: Cell(e["key"], T.LongType(), c.uses)} if node.key else {})}
-        else:
+        if isinstance(domain, Undefined) or node.key is not None and kind(domain) == "set" or kind(domain) in ("number", "string", "boolean", "null", "extension"):
             return F.lit(False)
-        return F.forall(entries, lambda e: F.coalesce(RowBody(node.body, scope.bind(**bind(e))).exists(), F.lit(False)))
+        pairs, kt, vt = entries_of(domain, node.key is not None)
+        bind = lambda e: {node.value: Cell(e["value"], vt, domain.uses), **({node.key: Cell(e["key"], kt, domain.uses)} if node.key else {})}
+        holds = lambda e: F.lit(True) if (p := RowBody(node.body, scope.bind(**bind(e))).exists()) is None else F.coalesce(p, F.lit(False))
+        return F.forall(pairs, holds)
+
+
+def w_keys(t: Term) -> Cell:
+    """The keys of a row or struct that are present."""
+    return COLUMNS["object.keys"](t)
+
+
+def by_name(t: Fields, key: Term) -> Term:
+    """The field whose name is a column: of one type if all fields have it, else a variant."""
+    name = as_kind(key, "string")
+    if name is None or not t.fields:
+        return UNDEFINED
+    cells = {k: solid(x) for k, x in t.fields.items()}
+    if any(c is None for c in cells.values()) or len({(kind(c), c.is_set, c.type.simpleString() if kind(c) in ("array", "object", "set") else "") for c in cells.values()}) > 1:
+        cells = {k: variant(x) for k, x in t.fields.items()}
+        if any(c is None for c in cells.values()):
+            raise UnsupportedPlan("fields of such types have no column form together")
+    type_ = widest([c.type for c in cells.values()])
+    found = F.lit(None).cast(type_)
+    for k, c in cells.items():
+        found = F.when(name.col == k, c.col.cast(type_)).otherwise(found)
+    return cell(type_, t, key, col=found, is_set=next(iter(cells.values())).is_set)
+
+
+def at_index(t: Cell, key: Term) -> Term:
+    """The element of an array at an index, from the end if it is negative."""
+    k = integer(key)
+    if k is None:
+        return UNDEFINED
+    at = F.lit(k.const + (k.const >= 0)) if k.const is not None else F.when(k.col < 0, k.col).otherwise(k.col + 1)
+    return cell(t.type.elementType, t, key, col=F.try_element_at(t.col, at.cast("int")))
+
+
+def entries_of(t: Term, keyed: bool) -> tuple[Column, T.DataType, T.DataType]:
+    """An array of (key, value) structs of what a value ranges over, and the types of both. The keys of a variant are variants."""
+    pair = lambda k, x: F.struct(k.alias("key"), x.alias("value"))
+    if isinstance(t, Fields) or isinstance(t, Cell) and isinstance(t.type, T.StructType):
+        t = mapping(t)
+        if t is None:
+            raise UnsupportedPlan("an object of such values has no column form")
+    c = solid(t)
+    if c is None:
+        raise UnsupportedPlan("a set of mixed values has no column form")
+    if isinstance(c.type, T.ArrayType):
+        if c.is_set:
+            return F.transform(c.col, lambda x: pair(x, x)), c.type.elementType, c.type.elementType
+        return F.transform(c.col, lambda x, i: pair(i.cast("long"), x)), T.LongType(), c.type.elementType
+    if isinstance(c.type, T.MapType):
+        return F.map_entries(c.col), c.type.keyType, c.type.valueType
+    if isinstance(c.type, T.VariantType):
+        listed = F.transform(from_variant(c, "array").col, lambda x, i: pair(i.cast("long").cast("variant"), x))
+        named = F.transform(F.map_entries(from_variant(c, "object").col), lambda e: pair(e["key"].cast("variant"), e["value"]))
+        return F.coalesce(listed, named), VARIANT, VARIANT
+    raise UnsupportedPlan("what is ranged over has no plan")
 
 
 def function_name(name: str, c: Compiled) -> str | None:
@@ -456,25 +541,41 @@ def unify(planner: Planner, pattern: Node, t: Term, scope: Scope) -> tuple[Scope
             if len(t.items) != len(pattern.items):
                 return scope, [F.lit(False)]
             parts, guards = list(t.items), []
-        elif isinstance(t, Cell) and isinstance(t.type, T.ArrayType) and not t.is_set:
-            guards = [F.size(t.col) == len(pattern.items)]
-            parts = [cell(t.type.elementType, t, col=F.get(t.col, F.lit(i))) for i in range(len(pattern.items))]
+        elif isinstance(t, Cell) and kind(t) in ("array", None):
+            c = as_kind(t, "array")
+            guards = [F.coalesce(F.size(c.col) == len(pattern.items), F.lit(False))]
+            parts = [cell(c.type.elementType, t, col=F.get(c.col, F.lit(i))) for i in range(len(pattern.items))]
         else:
             return scope, [F.lit(False)]
     elif isinstance(pattern, Obj):
-        names = [k.value if isinstance(k, Lit) else None for k, _ in pattern.pairs]
-        fields = t.fields if isinstance(t, Fields) else {n: cell(t.type[n].dataType, t, col=t.col[n]) for n in t.type.names} if isinstance(t, Cell) and isinstance(t.type, T.StructType) else None
-        if None in names:
-            raise UnsupportedPlan("an object pattern with variable keys has no plan", pattern.at)
-        if fields is not None:
-            if set(fields) != set(names):
+        if any(is_open(k, scope) for k, _ in pattern.pairs):
+            raise UnsupportedPlan("an object pattern that enumerates keys has no plan", pattern.at)
+        keys = [constant(k.value) if isinstance(k, Lit) else planner.term(k, scope) for k, _ in pattern.pairs]
+        if any(isinstance(k, Undefined) for k in keys) or kind(t) not in ("object", None) or not isinstance(t, (Fields, Cell)):
+            return scope, [F.lit(False)]
+        names = [k.const if isinstance(k, Cell) else None for k in keys]
+        if isinstance(t, Fields) and not t.row and None not in names:
+            if set(t.fields) != set(names):
+                return scope, [F.lit(False)]
+            parts, guards = [t.fields[n] for n in names], []
+        elif None not in names and (isinstance(t, Fields) or isinstance(t.type, T.StructType)):  # absent keys are NULL
+            fields = (t if isinstance(t, Fields) else opened(t)).fields
+            if not set(names) <= set(fields):
                 return scope, [F.lit(False)]
-            parts, guards = [fields[n] for n in names], []
-        elif isinstance(t, Cell) and isinstance(t.type, T.MapType):
-            guards = [F.size(t.col) == len(names), *(F.map_contains_key(t.col, F.lit(n)) for n in names)]
-            parts = [cell(t.type.valueType, t, col=F.try_element_at(t.col, F.lit(n))) for n in names]
+            held = [d if n in names else ~d for n, x in fields.items() if (d := defined(x)) is not None]
+            if any(defined(x) is None for n, x in fields.items() if n not in names):
+                return scope, [F.lit(False)]
+            parts, guards = [fields[n] for n in names], [*held, *([d] if (d := defined(t)) is not None else [])]
         else:
-            return scope, [F.lit(False)]
+            m = mapping(t)
+            if m is None:
+                raise UnsupportedPlan("an object of such values has no column form", pattern.at)
+            found = [as_kind(k, kind(Cell(m.col, m.type.keyType))) for k in keys]
+            if None in found:
+                return scope, [F.lit(False)]
+            distinct = F.size(F.array_distinct(F.array(*(k.col for k in found)))) if found else F.lit(0)
+            guards = [F.coalesce((F.size(m.col) == len(keys)) & (distinct == len(keys)), F.lit(False)), *(F.coalesce(F.map_contains_key(m.col, k.col), F.lit(False)) for k in found)]
+            parts = [cell(m.type.valueType, t, k, col=F.try_element_at(m.col, k.col)) for k in found]
         pattern = Arr(tuple(x for _, x in pattern.pairs))
     else:
         p = truthy(equal(planner.term(pattern, scope), t))
@@ -567,10 +668,11 @@ class RowBody(Planner):
                     return [F.lit(False)], scope, None
                 found = RowBody((replace(s, withs=()),), replace(inner, vars={k: t for k, t in scope.vars.items()}))
                 more, after, gen = found.lead(found.body, replace(scope, world=inner.world))
-                if gen is not None:
-                    raise UnsupportedPlan("a generator under with has no row plan", s.at)
                 guards += more
                 scope = replace(after, world=scope.world)
+                if gen is not None:
+                    domain, key, value, rest = gen
+                    return guards, scope, (domain, key, value, (*(replace(x, withs=s.withs) for x in rest), *body[i + 1 :]))
                 continue
             if s.domain is not None:
                 return guards, scope, (self.term(s.domain, scope), s.key, s.value, body[i + 1 :])
@@ -624,20 +726,9 @@ class RowBody(Planner):
         """An array of (key, value) structs of what a generator ranges over."""
         if isinstance(t, (Collection, Deferred)):
             raise NeedsRelation
-        c = solid(t)
-        if c is not None and isinstance(c.type, T.ArrayType) and not (c.is_set and keyed):
-            return F.transform(c.col, lambda x, i: F.struct((x if c.is_set else i.cast("long")).alias("key"), x.alias("value"))), c.type.elementType if c.is_set else T.LongType(), c.type.elementType
-        if c is not None and isinstance(c.type, T.MapType):
-            return F.map_entries(c.col), c.type.keyType, c.type.valueType
-        if isinstance(t, Fields):
-            values = solid(Items(tuple(t.fields.values())))
-            if values is not None:
-                pairs = [F.struct(F.lit(k).alias("key"), solid(x).col.cast(values.type.elementType).alias("value")) for k, x in t.fields.items()]
-                return F.filter(F.array(*pairs), lambda e: e["value"].isNotNull()), T.StringType(), values.type.elementType
-        if c is not None and isinstance(c.type, T.VariantType):
-            as_array = F.try_variant_get(c.col, "$", "array<variant>")
-            return F.transform(as_array, lambda x, i: F.struct(i.cast("long").alias("key"), x.alias("value"))), T.LongType(), T.VariantType()
-        return F.slice(F.array(F.struct(F.lit(0).cast("long").alias("key"), F.lit(0).cast("long").alias("value"))), 1, 0), T.LongType(), T.LongType()
+        if kind(t) in ("number", "string", "boolean", "null", "extension") or kind(t) == "set" and keyed:
+            return F.slice(F.array(F.struct(F.lit(0).cast("long").alias("key"), F.lit(0).cast("long").alias("value"))), 1, 0), T.LongType(), T.LongType()
+        return entries_of(t, keyed)
 
     def results(self, body: tuple[Stmt, ...], scope: Scope, head) -> tuple[Column | None, Column, bool]:
         """The condition that holds before any generator, the head's column, and whether that is an array of results."""

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..lang.errors import UnsupportedPlan
+
 
 class Term:
     uses: frozenset[str] = frozenset()
@@ -131,6 +133,9 @@ def cell(type_: T.DataType, *uses: Term, col: Column, is_set: bool = False) -> C
     return Cell(col, type_, frozenset().union(*(u.uses for u in uses)), is_set)
 
 
+VARIANT = T.VariantType()
+
+
 def row(df: DataFrame, names: dict[str, str] | None = None) -> Fields:
     """The columns of ``df`` as an object; ``names`` maps fields to columns."""
     names = names or {c: c for c in df.columns}
@@ -143,13 +148,16 @@ def solid(t: Term) -> Cell | None:
         return t
     if isinstance(t, Items):
         cells = [solid(x) for x in t.items]
+        if any(c is None for c in cells):
+            cells = [None if t.is_set else variant(x) for x in t.items]
         if any(c is None for c in cells):
             return None
         if not cells:
             return cell(T.ArrayType(T.NullType()), col=F.array(), is_set=t.is_set)
-        kinds = {kind(c) for c in cells}
-        if len(kinds) > 1:
-            return None
+        if len({kind(c) for c in cells}) > 1 or any(isinstance(c.type, (T.ArrayType, T.MapType, T.StructType)) and c.type != cells[0].type for c in cells):
+            cells = [None if t.is_set else variant(x) for x in t.items]
+            if any(c is None for c in cells):
+                return None
         type_ = widest([c.type for c in cells])
         made = F.array(*(c.col.cast(type_) for c in cells))
         made = F.array_sort(F.array_distinct(made)) if t.is_set else made
@@ -164,6 +172,78 @@ def solid(t: Term) -> Cell | None:
     return None
 
 
+def variant(t: Term) -> Cell | None:
+    """A term as a variant, for values of several types; None for sets and what has no column form. Absent keys stay absent."""
+    if isinstance(t, Null):
+        return Cell(F.parse_json(F.lit("null")), VARIANT)
+    if isinstance(t, Items):
+        cells = [None if t.is_set else variant(x) for x in t.items]
+        if any(c is None for c in cells):
+            return None
+        made = F.to_variant_object(F.array(*(c.col for c in cells)) if cells else F.array().cast("array<string>"))
+        return cell(VARIANT, *cells, col=F.when(all_defined(cells), made))
+    if isinstance(t, Fields):
+        cells = {k: variant(x) for k, x in t.fields.items()}
+        if any(c is None for c in cells.values()):
+            return None
+        made = F.to_variant_object(present(cells))
+        return cell(VARIANT, *cells.values(), col=made if t.row else F.when(all_defined(list(cells.values())), made))
+    if not isinstance(t, Cell) or t.is_set:
+        return None
+    if isinstance(t.type, T.VariantType):
+        return t
+    if isinstance(t.type, T.StructType):
+        c = variant(opened(t))
+        return None if c is None else cell(VARIANT, t, col=F.when(t.col.isNotNull(), c.col))
+    if isinstance(t.type, T.MapType):
+        return cell(VARIANT, t, col=F.to_variant_object(t.col)) if isinstance(t.type.keyType, T.StringType) and _plain(t.type.valueType) else None
+    if isinstance(t.type, T.ArrayType):
+        if isinstance(t.type.elementType, T.StructType):
+            return cell(VARIANT, t, col=F.to_variant_object(F.transform(t.col, lambda x: variant(Cell(x, t.type.elementType)).col)))
+        return cell(VARIANT, t, col=F.to_variant_object(t.col)) if _plain(t.type.elementType) else None
+    return cell(VARIANT, t, col=t.col.cast("variant"))
+
+
+def _plain(type_: T.DataType) -> bool:
+    """Whether a variant of this type has no absent keys that would become nulls."""
+    if isinstance(type_, T.ArrayType):
+        return _plain(type_.elementType)
+    return not isinstance(type_, (T.StructType, T.MapType))
+
+
+def opened(t: Cell) -> Fields:
+    """A struct's fields; a NULL one is an absent key."""
+    return Fields({n: cell(t.type[n].dataType, t, col=t.col[n]) for n in t.type.names}, row=True)
+
+
+def present(cells: dict[str, Cell]) -> Column:
+    """A map of the cells that have a value, which must be of one type."""
+    type_ = next((c.type for c in cells.values()), VARIANT)
+    of = T.ArrayType(T.StructType([T.StructField("key", T.StringType()), T.StructField("value", type_)]))
+    pairs = F.array(*[F.struct(F.lit(k).alias("key"), c.col.alias("value")) for k, c in cells.items()]) if cells else F.array().cast(of)
+    return F.map_from_entries(F.filter(pairs, lambda e: e["value"].isNotNull()))
+
+
+def mapping(t: Term) -> Cell | None:
+    """An object as a map column; the values are variants where they are of several types. None if it surely is no object."""
+    if isinstance(t, Cell) and isinstance(t.type, T.MapType):
+        return t
+    if isinstance(t, Cell) and kind(t) is None:
+        return from_variant(t, "object")
+    if kind(t) != "object" or not isinstance(t, (Fields, Cell)):
+        return None
+    fields = t if isinstance(t, Fields) else opened(t)
+    cells = {k: solid(x) for k, x in fields.fields.items()}
+    if any(c is None or c.is_set for c in cells.values()) or len({(kind(c), c.type.simpleString()) for c in cells.values()}) != 1:
+        cells = {k: variant(x) for k, x in fields.fields.items()}
+    if any(c is None for c in cells.values()):
+        return None
+    type_ = next((c.type for c in cells.values()), VARIANT)
+    held = defined(t)
+    made = present(cells)
+    return cell(T.MapType(T.StringType(), type_), t, col=made if held is None else F.when(held, made))
+
+
 def widest(types: list[T.DataType]) -> T.DataType:
     if all(t == types[0] for t in types):
         return types[0]
@@ -235,17 +315,45 @@ def equal(a: Term, b: Term) -> Cell | Undefined:
     if isinstance(a, Items) and isinstance(b, Items) and not a.is_set:
         parts = [equal(x, y) for x, y in zip(a.items, b.items, strict=False)]
         return known(False) if len(a.items) != len(b.items) else _every(parts)
+    if isinstance(a, Fields) and isinstance(b, Fields) and (a.row or b.row):
+        return _every_key(a, b)
     if isinstance(a, Fields) and isinstance(b, Fields):
         return _every([equal(x, b.fields[k]) for k, x in a.fields.items()]) if a.fields.keys() == b.fields.keys() else known(False)
     x, y = solid(a), solid(b)
     if x is None or y is None:
         return known(False)
-    if isinstance(x.type, T.MapType):
-        entries = lambda c: F.array_sort(F.map_entries(c))
-        return boolean(entries(x.col) == entries(y.col), a, b)
+    if ka == "object":
+        if isinstance(x.type, T.StructType) and isinstance(y.type, T.StructType):
+            return boolean(F.when(x.col.isNotNull() & y.col.isNotNull(), _every_key(opened(x), opened(y)).col), a, b)
+        x, y = mapping(x), mapping(y)
+        if x is None or y is None or kind(Cell(x.col, x.type.keyType)) != kind(Cell(y.col, y.type.keyType)):
+            return known(False)
+        same = F.forall(F.map_entries(x.col), lambda e: F.coalesce(F.map_contains_key(y.col, e["key"]) & equal(Cell(e["value"], x.type.valueType), Cell(F.try_element_at(y.col, e["key"]), y.type.valueType)).col, F.lit(False)))
+        return boolean(F.when(x.col.isNotNull() & y.col.isNotNull(), (F.size(x.col) == F.size(y.col)) & same), a, b)
+    if ka == "array" and x.type != y.type:
+        u, v = x.type.elementType, y.type.elementType
+        if isinstance(u, T.NullType) or isinstance(v, T.NullType):
+            return boolean(F.size(x.col) == F.size(y.col), a, b)
+        pairs = F.zip_with(x.col, y.col, lambda p, q: equal(Cell(p, u), Cell(q, v)).col)
+        return boolean((F.size(x.col) == F.size(y.col)) & F.forall(pairs, lambda e: F.coalesce(e, F.lit(False))), a, b)
     return boolean(x.col == y.col, a, b)
 
 
+def _every_key(a: Fields, b: Fields) -> Cell | Undefined:
+    """Equality of objects whose absent keys are NULL."""
+    out = F.lit(True)
+    for k in a.fields.keys() | b.fields.keys():
+        x, y = a.fields.get(k), b.fields.get(k)
+        if x is None or y is None:
+            d = defined(x or y)
+            out = out & (F.lit(False) if d is None else ~d)
+            continue
+        same, dx, dy = equal(x, y), defined(x), defined(y)
+        absent = F.lit(False) if dx is None or dy is None else ~dx & ~dy
+        out = out & (absent | F.coalesce(same.col if isinstance(same, Cell) else F.lit(False), F.lit(False)))
+    return boolean(out, a, b)
+
+
 def _every(parts: list[Term]) -> Cell | Undefined:
     if any(isinstance(p, Undefined) for p in parts):
         return UNDEFINED
@@ -259,10 +367,19 @@ def _variant_equal(a: Term, b: Term) -> Cell:
         return boolean(F.is_variant_null(x.col), x)
     other = kind(y)
     if other is None:
-        return boolean(F.to_json(x.col) == F.to_json(y.col), x, y)
+        return boolean(_normal(x.col) == _normal(y.col), x, y)
+    if other in ("array", "object"):
+        if (same := variant(y)) is None:
+            raise UnsupportedPlan("a document is compared with a value that has no variant form")
+        return boolean(_normal(x.col) == _normal(same.col), x, y)
     if (own := from_variant(x, other)) is not None and isinstance(y, Cell):
         return boolean(F.when(x.col.isNotNull() & y.col.isNotNull(), F.coalesce(own.col == y.col, F.lit(False))), x, y)
-    return boolean(F.when(x.col.isNotNull(), F.lit(False)), x)
+    return boolean(only_if_defined(F.lit(False), x, y), x, y)
+
+
+def _normal(v: Column) -> Column:
+    """Variants of one text are equal, but for numbers like 1 and 1.0 below the top, of which the fraction is cut off here."""
+    return F.regexp_replace(F.to_json(v), r'("(?:[^"\\\\]|\\\\.)*")|(?<=[\d])\.0+(?![\d])', "$1")
 
 
 def from_variant(t: Cell, want: str) -> Cell | None:
@@ -274,9 +391,21 @@ def from_variant(t: Cell, want: str) -> Cell | None:
         return cell(T.StringType(), t, col=F.when(schema == "STRING", F.try_variant_get(t.col, "$", "string")))
     if want == "boolean":
         return cell(T.BooleanType(), t, col=F.when(schema == "BOOLEAN", F.try_variant_get(t.col, "$", "boolean")))
+    if want == "array":
+        return cell(T.ArrayType(VARIANT), t, col=F.try_variant_get(t.col, "$", "array<variant>"))
+    if want == "object":
+        return cell(T.MapType(T.StringType(), VARIANT), t, col=F.try_variant_get(t.col, "$", "map<string,variant>"))
     return None
 
 
+def integer(t: Term) -> Cell | None:
+    """A term as a long where it is a whole number by its type; None if it surely isn't."""
+    if isinstance(t, Cell) and kind(t) is None:
+        held = F.schema_of_variant(t.col).isin("TINYINT", "SMALLINT", "INT", "BIGINT")
+        return cell(T.LongType(), t, col=F.when(held, F.try_variant_get(t.col, "$", "bigint")))
+    return t if isinstance(t, Cell) and isinstance(t.type, WHOLE) else None
+
+
 def as_kind(t: Term, want: str) -> Cell | None:
     """A scalar or array term of a type, or None if it surely has another."""
     if isinstance(t, Cell) and kind(t) is None:

@@ -15,16 +15,18 @@ class Catalog:
     """Tables by name, and one JSON document for all the rest.
 
     A NULL cell of a table is an absent key. ``document`` values are small: they become literals of the plan.
+    ``indexes`` names, for tables whose rows have an order, the column that holds a row's index from 0 without gaps.
     """
 
     tables: dict[str, DataFrame] = field(default_factory=dict)
     base: dict = field(default_factory=dict)
+    indexes: dict[str, str] = field(default_factory=dict)
 
-    def table(self, name: str, df: DataFrame) -> Catalog:
-        return Catalog({**self.tables, name: df}, self.base)
+    def table(self, name: str, df: DataFrame, index: str | None = None) -> Catalog:
+        return Catalog({**self.tables, name: df}, self.base, {**self.indexes, **({name: index} if index else {})})
 
     def document(self, name: str, value: object) -> Catalog:
-        return Catalog(self.tables, {**self.base, name: value})
+        return Catalog(self.tables, {**self.base, name: value}, self.indexes)
 
     def document_at(self, path: tuple[str, ...]) -> object | None:
         x: object = self.base
