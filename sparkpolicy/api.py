@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -45,7 +45,8 @@ def _columns(t: Term, *, strict: bool = True) -> dict[str, Cell] | None:
     """The columns of a decision: one for each field of an object, or ``v``. Values of several types are variants."""
     cells = {k: solid(x) or variant(x) for k, x in t.fields.items()} if isinstance(t, Fields) else {"v": solid(t) or variant(t)}
     if all(c is not None for c in cells.values()):
-        return cells
+        void = T.ArrayType(T.NullType())  # an array that surely is empty; files have no such type
+        return {k: replace(c, col=c.col.cast("array<string>"), type=T.ArrayType(T.StringType())) if c.type.simpleString() == void.simpleString() else c for k, c in cells.items()}
     if strict:
         raise UnsupportedPlan("a decision of such values has no column form")
     return None

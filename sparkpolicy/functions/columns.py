@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,8 +16,8 @@ from pyspark.sql import types as T
 
 from ..lang.errors import UnsupportedPlan
 from ..operators.terms import (
-    UNDEFINED, VARIANT, WHOLE, Cell, Fields, Items, Null, Term, all_defined, as_kind, boolean, cell, constant, defined, equal,
-    Undefined, from_variant, integer, kind, mapping, only_if_defined, opened, solid, truthy, variant, widest,
+    UNDEFINED, VARIANT, WHOLE, Cell, Fields, Items, Null, Term, all_defined, as_kind, as_members, boolean, cell, constant, defined, equal,
+    Undefined, from_variant, integer, kind, mapping, only_if_defined, opened, set_operation, solid, truthy, variant, widest,
 )
 
 STRING, LONG, DOUBLE = T.StringType(), T.LongType(), T.DoubleType()
@@ -78,13 +79,13 @@ def concat(delim: Term, parts: Term) -> Term:
         cells = [as_kind(p, "string") for p in parts.items]
         if None in cells:
             return UNDEFINED
-        return cell(STRING, d, *cells, col=F.when(all_defined([d, *cells]), F.concat_ws(d.const, *(c.col for c in cells)) if d.const is not None else F.array_join(F.array(*(c.col for c in cells)), d.col)))
+        return cell(STRING, d, *cells, col=F.when(all_defined([d, *cells]), F.concat_ws(d.const, *(c.col for c in cells)) if d.const is not None else F.call_function("array_join", F.array(*(c.col for c in cells)).cast("array<string>"), d.col)))
     c = _list(parts)
     if isinstance(c.type.elementType, T.VariantType):
         c = _each(c, "string")
     if not isinstance(c.type.elementType, (T.StringType, T.NullType)):
         return UNDEFINED
-    return cell(STRING, d, c, col=F.array_join(c.col, d.const if d.const is not None else d.col))
+    return cell(STRING, d, c, col=F.call_function("array_join", c.col.cast("array<string>"), d.col))
 
 
 def substring(s: Term, start: Term, length: Term) -> Term:
@@ -187,7 +188,7 @@ def _formatted_by(found: Column, t: Term) -> Column:
         flags = F.regexp_replace(found, r"^%([-+ #0]*)", "%")
         left = F.regexp_like(found, F.lit("^%[+ #0]*-"))
         as_text = F.call_function("format_string", F.when(left, F.concat(F.lit("%-"), F.substring(flags, F.lit(2), F.length(flags)))).otherwise(flags), shown)
-        out = F.when(how == "s", F.when(found == "%s", shown).otherwise(as_text)).otherwise(out)
+        out = F.when((how == "s") & shown.isNotNull(), F.when(found == "%s", shown).otherwise(as_text)).otherwise(out)
     c = _as_number(t)
     if c is None:
         return out
@@ -218,7 +219,7 @@ def _formatted(m: re.Match, t: Term) -> Column | None:
         if shown is None:
             raise UnsupportedPlan("a format shows a value without a text form")
         plain = not (flags or width or places)
-        return shown if plain else F.format_string(f"%{flags.replace('0', '')}{width}{places}s", shown)
+        return shown if plain else F.when(shown.isNotNull(), F.format_string(f"%{re.sub('[^-]', '', flags)}{width}{places}s", shown))
     c = _as_number(t)
     if c is None:
         return None
@@ -301,9 +302,7 @@ def as_set(t: Term) -> Term:
     if kind(t) not in ("array", None):
         return UNDEFINED
     c = _list(t)
-    if isinstance(c.type.elementType, T.VariantType):
-        raise UnsupportedPlan("a set of variants has no column form")
-    return cell(c.type, c, col=F.array_sort(F.array_distinct(c.col)), is_set=True)
+    return cell(c.type, c, col=as_members(c.col, c.type.elementType), is_set=True)
 
 
 def as_array(t: Term) -> Term:
@@ -465,9 +464,12 @@ def _sets(fn: Callable[..., Column]) -> Callable:
                 left, right = (p_of, q.col) if p is x else (q.col, p_of)
                 return cell(q.type, x, y, col=F.array_sort(fn(left, right)), is_set=True)
         if kind(Cell(x.col, x.type.elementType)) != kind(Cell(y.col, y.type.elementType)):
-            raise UnsupportedPlan("sets of different kinds of values have no column form together")
+            lists = [variant(replace(c, is_set=False)) for c in (x, y)]
+            if None in lists:
+                raise UnsupportedPlan("sets of such values have no column form together")
+            x, y = (from_variant(c, "array") for c in lists)
         type_ = T.ArrayType(widest([x.type.elementType, y.type.elementType]))
-        return cell(type_, x, y, col=F.array_sort(fn(x.col.cast(type_), y.col.cast(type_))), is_set=True)
+        return cell(type_, x, y, col=set_operation(fn, x.col.cast(type_), y.col.cast(type_), type_.elementType), is_set=True)
 
     return build
 
@@ -510,10 +512,17 @@ def _maps(a: Term, b: Term) -> tuple[Cell, Cell]:
     if x.type != y.type:
         if kind(Cell(x.col, x.type.keyType)) != kind(Cell(y.col, y.type.keyType)) or not isinstance(x.type.keyType, T.StringType):
             raise UnsupportedPlan("objects of different keys have no column form together")
-        x, y = (c if isinstance(c.type.valueType, T.VariantType) else cell(T.MapType(STRING, VARIANT), c, col=F.transform_values(c.col, lambda _, v, c=c: variant(Cell(v, c.type.valueType)).col)) for c in (x, y))
+        x, y = (_of_variants(c) for c in (x, y))
     return x, y
 
 
+def _of_variants(c: Cell) -> Cell:
+    of = c.type.valueType
+    if isinstance(of, T.VariantType):
+        return c
+    return cell(T.MapType(STRING, VARIANT), c, col=F.transform_values(c.col, lambda _, v: variant(Cell(v, of)).col))
+
+
 def _found(t: Term, key: Term) -> Term:
     """The value of a key that may be a column."""
     fields = t if isinstance(t, Fields) else opened(t) if isinstance(t, Cell) and isinstance(t.type, T.StructType) else None

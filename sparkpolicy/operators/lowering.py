@@ -23,8 +23,8 @@ from ..lang.nodes import Arr, Bin, Call, Compr, Every, Lit, Node, Obj, Ref, Rule
 from ..plans.analysis import Compiled, arranged, binds, bound, dotted, pattern_vars, reads
 from ..sources.catalog import Catalog
 from .terms import (
-    NUMBERS, UNDEFINED, VARIANT, WHOLE, Cell, Collection, Deferred, Fields, Items, Null, Term, Undefined, as_kind, boolean,
-    cell, conjunction, constant, defined, equal, from_variant, integer, kind, known, mapping, only_if_defined, opened, row, solid,
+    NUMBERS, UNDEFINED, VARIANT, WHOLE, Cell, Collection, Deferred, Fields, Items, Null, Term, Undefined, as_kind, as_members, boolean,
+    cell, conjunction, constant, defined, equal, from_variant, integer, kind, known, mapping, only_if_defined, opened, row, set_operation, solid,
     truthy, variant, widest,
 )
 
@@ -786,9 +786,10 @@ class RowBody(Planner):
         col = F.filter(col, lambda x: x.isNotNull())
         if guard is not None:
             col = F.when(F.coalesce(guard, F.lit(False)), col).otherwise(F.slice(col, 1, 0))
-        col = F.coalesce(col, F.array().cast(T.ArrayType(seen["type"])))
-        col = F.array_sort(F.array_distinct(col)) if is_set else col
-        return Cell(col, T.ArrayType(seen["type"]), self._uses(), is_set)
+        type_ = seen.get("type", T.NullType())  # without a solution there is no type
+        col = F.coalesce(col, F.array().cast(T.ArrayType(type_)))
+        col = as_members(col, type_) if is_set and not isinstance(type_, T.NullType) else col
+        return Cell(col, T.ArrayType(type_), self._uses(), is_set)
 
     def mapping(self, key: Node, value: Node) -> Term:
         """An object; a key that occurs twice raises."""
@@ -803,6 +804,10 @@ class RowBody(Planner):
             k, x = solid(self.term(key, scope)), solid(self.term(value, scope))
             if k is None or x is None:
                 raise UnsupportedPlan("an object of mixed values has no column form", value.at)
+            if isinstance(k.type, T.VariantType):
+                name = from_variant(k, "string")
+                other = F.when(k.col.isNotNull(), F.raise_error(F.lit("an object key of a document is no string")).cast("string"))
+                k = cell(T.StringType(), k, col=F.coalesce(name.col, other))
             types.update(key=k.type, value=x.type)
             return F.when(k.col.isNotNull() & x.col.isNotNull(), F.struct(k.col.alias("key"), x.col.alias("value")))
 
@@ -810,8 +815,9 @@ class RowBody(Planner):
         col = F.filter(col if many else F.array(col), lambda x: x.isNotNull())
         if guard is not None:
             col = F.when(F.coalesce(guard, F.lit(False)), col).otherwise(F.slice(col, 1, 0))
-        empty = F.array().cast(T.ArrayType(T.StructType([T.StructField("key", types["key"]), T.StructField("value", types["value"])])))
-        return F.coalesce(col, empty), types["key"], types["value"]
+        kt, vt = types.get("key", T.StringType()), types.get("value", VARIANT)
+        empty = F.array().cast(T.ArrayType(T.StructType([T.StructField("key", kt), T.StructField("value", vt)])))
+        return F.coalesce(col, empty) if types else empty, kt, vt
 
     def _uses(self) -> frozenset[str]:
         return frozenset().union(*(t.uses for t in (*self.scope.vars.values(), self.scope.world.input)))
@@ -931,11 +937,20 @@ def guarded(t: Term, cond: Column) -> Term:
 def row_set(name: str, w: World) -> Term:
     """A set rule over one row: the union of its clauses, undefined if that is empty."""
     parts = [RowBody(r.body, Scope({}, w)).array(r.value, True) for r in w.compiled.rules[name]]
+    parts = [p for p in parts if not isinstance(p.type.elementType, T.NullType)]
+    if not parts:
+        return UNDEFINED
+    if len({kind(Cell(p.col, p.type.elementType)) for p in parts}) > 1:
+        lists = [variant(replace(p, is_set=False)) for p in parts]
+        if None in lists:
+            raise UnsupportedPlan(f"the members of {name} have no column form together")
+        parts = [from_variant(c, "array") for c in lists]
     type_ = widest([p.type.elementType for p in parts])
     col = parts[0].col.cast(T.ArrayType(type_))
     for p in parts[1:]:
-        col = F.array_union(col, p.col.cast(T.ArrayType(type_)))
-    return Cell(F.when(F.size(col) > 0, F.array_sort(col)), T.ArrayType(type_), w.input.uses, True)
+        col = set_operation(F.array_union, col, p.col.cast(T.ArrayType(type_)), type_)
+    col = col if isinstance(type_, T.VariantType) else F.array_sort(col)
+    return Cell(F.when(F.size(col) > 0, col), T.ArrayType(type_), w.input.uses, True)
 
 
 def row_object(name: str, w: World) -> Term:
@@ -948,7 +963,12 @@ def row_object(name: str, w: World) -> Term:
         raise UnsupportedPlan(f"the nested heads of {name} have no row plan", rules[0].at)
     kt, vt = widest([p[1] for p in parts]), widest([p[2] for p in parts])
     of = T.ArrayType(T.StructType([T.StructField("key", kt), T.StructField("value", vt)]))
-    col = F.array_distinct(F.concat(*[p[0].cast(of) for p in parts]))
+    col = F.concat(*[p[0].cast(of) for p in parts])
+    if isinstance(vt, (T.VariantType, T.MapType)):  # of pairs with the same text the first stays
+        texts = F.transform(col, lambda e: F.to_json(e))
+        col = F.filter(col, lambda e, i: F.array_position(texts, F.get(texts, i)) == i + 1)
+    else:
+        col = F.array_distinct(col)
     clash = F.raise_error(F.lit(f"conflicting object key in {name}")).cast(of)
     col = F.when(F.size(F.array_distinct(F.transform(col, lambda e: e["key"]))) < F.size(col), clash).otherwise(col)
     return Cell(F.when(F.size(col) > 0, F.map_from_entries(col)), T.MapType(kt, vt), w.input.uses)
@@ -965,6 +985,14 @@ class Relation(Planner):
         self.keys: list[tuple[Cell, Cell]] = []
         self.outside: list[Column] = []
         self.memo: dict = {}
+        #: The columns whose order is the order of solutions; None if they have no order.
+        self.order: list[str] | None = []
+        #: What the rows are as long as nothing is joined or filtered: (rows, source, their columns by the source's).
+        self.scan: tuple[DataFrame, DataFrame, dict[str, str]] | None = None
+        #: (rows, source, column, name here): the rows are the distinct values of the source's column.
+        self.seed: tuple[DataFrame, DataFrame, str, str] | None = None
+        #: (rows, column): the column differs from row to row.
+        self.unique: tuple[DataFrame, str] | None = None
 
     @property
     def own(self) -> frozenset[str]:
@@ -1022,7 +1050,19 @@ class Relation(Planner):
         """Join with a collection's rows; its key and value there."""
         c = self.uncorrelated(t)
         df, names = self.fresh(c.df)
+        first = self.df is None
         self.cross(df)
+        if first:
+            self.scan = (self.df, c.df, names)
+            if c.values_of and isinstance(c.value, Cell):
+                (own,) = c.value.uses
+                self.seed, self.unique = (self.df, *c.values_of, names[own]), (self.df, names[own])
+        if c.kind == "array" and c.order:
+            self.order = None
+        elif c.kind == "array" and isinstance(c.key, Cell) and self.order is not None:
+            self.order.append(names[next(iter(c.key.uses))])
+        else:
+            self.order = None
         return (renamed(c.key, names) if c.key is not None else UNDEFINED), renamed(c.value, names)
 
     def single(self, name: str, scope: Scope) -> Term:
@@ -1055,23 +1095,132 @@ class Relation(Planner):
         return self.memo[key]
 
     def _grouped(self, t: Deferred) -> dict[str, Term]:
+        def make(rel: Relation, df, value: Term, _: Term | None) -> tuple[DataFrame, dict[str, T.DataType]]:
+            return aggregates(df, value, t.node.kind)
+
+        return {n: finished(n, c, type_) for n, (c, type_) in self._joined_back(t, make).items()}
+
+    def _joined_back(self, t: Deferred, make) -> dict[str, tuple[str, T.DataType]]:
+        """What ``make`` aggregates of a comprehension's rows, joined on the variables it shares: columns and types by name."""
         self.frame()
         try:
-            rel, value, _ = subquery(t, self.world_of(t))
+            rel, value, key = subquery(t, self.world_of(t))
             keys, conds = rel.keys, rel.outside
         except Outer:
-            rel, value, keys = self.seeded(t)
+            rel, value, key, keys = self.seeded(t)
             conds = []
         on = [(a, F.col(f"k{i}"), b) for i, (a, b) in enumerate(keys)]
-        grouped = rel.df.groupBy(*[b.col.alias(f"k{i}") for i, (_, b) in enumerate(keys)]) if keys else None
-        df, names = aggregates(rel.df if grouped is None else grouped, value, t.node.kind, rel.df)
+        df, names = make(rel, rel.frame().groupBy(*[b.col.alias(f"k{i}") for i, (_, b) in enumerate(keys)]) if keys else rel.frame(), value, key)
+        if len(keys) == 1 and not conds and self._same_values(rel, *keys[0]):  # one grouping instead of distinct values and a join
+            here = self.seed[3]
+            new = {c: f"g{next(_numbers)}_{c}" for c in names}
+            self.df = df.where(F.col("k0").isNotNull()).select(F.col("k0").alias(here), *[F.col(c).alias(new[c]) for c in names])
+            self.unique, self.seed, self.scan = (self.df, here), None, None
+            return {n: (new[n], type_) for n, type_ in names.items()}
         df, new = self.fresh(df)
         join = [*[a.col == F.col(new[f"k{i}"]) for i, (a, _, _) in enumerate(on)], *conds]
         cond = conjunction(join)
+        left, unique = self.df, self.unique
         self.df = self.df.join(df, cond if cond is not None else F.lit(True), "left")
-        return {n: finished(n, new[n], type_) for n, type_ in names.items()}
+        if keys and unique and unique[0] is left and not conds:  # a group at most joins a row
+            self.unique = (self.df, unique[1])
+        return {n: (new[n], type_) for n, type_ in names.items()}
+
+    def _same_values(self, rel: Relation, here: Cell, there: Cell) -> bool:
+        """Whether the rows are the distinct values of the very column that a subquery's plain scan is grouped by."""
+        if not self.seed or self.seed[0] is not self.df or not rel.scan or rel.scan[0] is not rel.df or self.seed[1] is not rel.scan[1]:
+            return False
+        return here.uses == {self.seed[3]} and there.uses == {rel.scan[2].get(self.seed[2])}
+
+    # -- values of heads
+    def settled(self, t: Term) -> Term:
+        """A head's value, in which comprehensions and rules over tables become a row's arrays, sets and maps.
+
+        An array is in the order of the indexes of what its body ranges over; without them it is sorted.
+        """
+        if isinstance(t, Deferred):
+            def make(rel: Relation, df, value: Term, key: Term | None) -> tuple[DataFrame, dict[str, T.DataType]]:
+                return gathered(df, rel.settled(value), key, t.node.kind, rel.order)
+
+            ((column, type_),) = self._joined_back(t, make).values()
+            return Cell(F.coalesce(F.col(column), empty_of(type_)), type_, frozenset([column]), t.node.kind == "set")
+        if isinstance(t, Collection):
+            df, names = gathered(t.df, t.value, t.key, t.kind, [next(iter(t.key.uses))] if t.kind == "array" and isinstance(t.key, Cell) else None, descending=t.order == "desc")
+            df, new = self.fresh(df.where(F.size("all") > 0) if t.empty_undefined else df)
+            self.cross(df)
+            return Cell(F.coalesce(F.col(new["all"]), empty_of(names["all"])), names["all"], frozenset([new["all"]]), t.kind == "set")
+        if isinstance(t, Items):
+            return Items(tuple(self.settled(x) for x in t.items), t.is_set)
+        if isinstance(t, Fields):
+            return Fields({k: self.settled(x) for k, x in t.fields.items()}, t.row, t.held)
+        return t
+
+    def lookup(self, t: Term, key: Term) -> Term:
+        """The value under a key of an object rule, the row of an indexed table, or a member of a set: a left join."""
+        c = self.uncorrelated(t)
+        k = solid(key)
+        if c.kind == "set":
+            held = self.contains(key, c)
+            return UNDEFINED if k is None or held.const is False else cell(k.type, held, key, col=F.when(held.col, k.col))
+        if not isinstance(c.key, Cell):
+            raise UnsupportedPlan("the rows have no key: a table's index is a column named in the catalogue")
+        if c.kind == "array" and k is not None and k.const is not None and isinstance(k.const, (int, float)) and k.const < 0:
+            raise UnsupportedPlan("an index from the end of a table has no plan")
+        if k is None or kind(k) != kind(c.key):
+            return UNDEFINED
+        if not self.inner(key):
+            raise Outer
+        df, names = self.fresh(c.df)
+        own, found = renamed(c.key, names), renamed(c.value, names)
+        self.df = self.frame().join(df, k.col == own.col, "left")
+        return replace(found, held=own.col.isNotNull()) if isinstance(found, Fields) else found
+
+    def inline_tables(self, name: str, args: tuple[Term, ...], w: World, node: Node) -> Term:
+        """A user function of tables, expanded in place: its conditions become those of its value."""
+        options = []
+        for r in w.compiled.rules.get(name, ()):
+            if len(r.args) != len(args):
+                return UNDEFINED
+            scope, guards = Scope({n: Open() for a in r.args for n in pattern_vars(a)}, w), []
+            for p, a in zip(r.args, args, strict=True):
+                if isinstance(a, (Collection, Deferred)) and not isinstance(p, Var):
+                    raise UnsupportedPlan("a pattern of a table has no plan", node.at)
+                scope, more = unify(self, p, a, scope)
+                guards += more
+            branches = []
+            for value, body in ((r.value, r.body), *r.orelse):
+                at, conds = scope.opened(body), list(guards)
+                for s in arranged(body, {n for n, t in scope.vars.items() if not isinstance(t, Open)}, set()):
+                    at, more = self.condition(s, at, node)
+                    conds += more
+                t = self.settled(self.term(value, at))
+                if isinstance(t, Undefined):
+                    continue
+                if (d := defined(t)) is not None:
+                    conds.append(d)
+                branches.append((conjunction(conds), t))
+            options.append(branches)
+        return choose(name, options, w)
 
-    def seeded(self, t: Deferred) -> tuple[Relation, Term, list[tuple[Cell, Cell]]]:
+    def condition(self, s: Stmt, scope: Scope, node: Node) -> tuple[Scope, list[Column]]:
+        """A literal without solutions of its own as conditions."""
+        e = s.expr
+        if s.withs or s.domain is not None or isinstance(e, Every) or any(open_keys(n, scope) is not None for n in walk(e) if e is not None):
+            raise UnsupportedPlan("a function of a table that enumerates has no plan", node.at)
+        if e is None:
+            return scope, []
+        if isinstance(e, Bin) and e.op in (":=", "="):
+            left, right = (e.left, e.right) if e.op == ":=" or is_open(e.left, scope) or not is_open(e.right, scope) else (e.right, e.left)
+            return unify(self, left, self.term(right, scope), scope)
+        t = self.term(e, scope)
+        if isinstance(t, (Collection, Deferred)):
+            raise UnsupportedPlan("a table as a condition has no plan", node.at)
+        p = truthy(t)
+        if s.negated:
+            return scope, [F.lit(False) if p is None else ~p | p.isNull()]
+        return scope, [] if p is None else [p]
+
+    def seeded(self, t: Deferred) -> tuple[Relation, Term, Term | None, list[tuple[Cell, Cell]]]:
         """The subquery over the distinct values of the outer columns that it reads, for any condition."""
         used = sorted(outer_columns(t, self.own))
         n = next(_numbers)
@@ -1079,9 +1228,10 @@ class Relation(Planner):
         names = {c: f"s{n}_{c}" for c in used}
         scope = replace(t.scope, vars={k: renamed(x, names) for k, x in t.scope.vars.items()}, world=replace(t.scope.world, input=renamed(t.scope.world.input, names)))
         rel = Relation(scope.world, seeds)
-        value, _ = rel.body(t.node.body, scope.opened(t.node.body), t.node)
+        value, key = rel.body(t.node.body, scope.opened(t.node.body), t.node)
         pairs = [(Cell(F.col(f"`{c}`"), self.df.schema[c].dataType, frozenset([c])), Cell(F.col(f"`{names[c]}`"), self.df.schema[c].dataType, frozenset([names[c]]))) for c in used]
-        return rel, value, pairs
+        rel.order = None
+        return rel, value, key, pairs
 
     def contains(self, x: Term, t: Term) -> Term:
         """Membership as a value: a left join with the distinct members."""
@@ -1213,8 +1363,8 @@ class Relation(Planner):
             t = Items(())
         if isinstance(t, (Collection, Deferred)):
             k, v = self.members(t)
-            if keyed and kind(t) == "array":
-                raise UnsupportedPlan("the rows of a table have no index")
+            if keyed and kind(t) == "array" and not isinstance(k, Cell):
+                raise UnsupportedPlan("the rows have no index: a table's is a column named in the catalogue")
             if keyed and kind(t) == "set":
                 k = v
         else:
@@ -1224,6 +1374,10 @@ class Relation(Planner):
             n = next(_numbers)
             self.df = self.frame().withColumn(f"e{n}", F.explode(pairs)).withColumns({f"k{n}": F.col(f"e{n}.key"), f"v{n}": F.col(f"e{n}.value")}).drop(f"e{n}")
             k, v = Cell(F.col(f"k{n}"), kt, frozenset([f"k{n}"])), Cell(F.col(f"v{n}"), vt, frozenset([f"v{n}"]))
+            if self.order is not None and kind(t) == "array":
+                self.order.append(f"k{n}")
+            else:
+                self.order = None
         for p, x in ((value, v), *([(key, k)] if keyed else [])):
             if isinstance(p, Var) and isinstance(scope.vars.get(p.name), Open):
                 scope = scope.bind(**{p.name: x})
@@ -1264,8 +1418,9 @@ class Relation(Planner):
         if not isinstance(domain, (Collection, Deferred)):
             self.where(RowBody((), scope).every(e, scope), domain)
             return
-        if e.key is not None:
-            raise UnsupportedPlan("every with a key over a table has no plan", e.at)
+        if e.key is not None and kind(domain) == "set":
+            self.where(F.lit(False))
+            return
         inner = Scope({**scope.vars, e.value: Open()}, scope.world)
         self.counter_examples(e, domain, inner)
 
@@ -1274,10 +1429,12 @@ class Relation(Planner):
 
         def build(rel: Relation, s: Scope) -> None:
             if isinstance(domain, Deferred):
-                value, _ = rel.body(domain.node.body, replace(domain.scope, vars={**s.vars, **{k: x for k, x in domain.scope.vars.items() if k not in s.vars}}).opened(domain.node.body), domain.node)
+                value, key = rel.body(domain.node.body, replace(domain.scope, vars={**s.vars, **{k: x for k, x in domain.scope.vars.items() if k not in s.vars}}).opened(domain.node.body), domain.node)
             else:
-                _, value = rel.members(domain)
-            at = replace(s, vars={**s.vars, e.value: value})
+                key, value = rel.members(domain)
+            if e.key is not None and not isinstance(key, Cell):
+                raise UnsupportedPlan("the rows have no index: a table's is a column named in the catalogue", e.at)
+            at = replace(s, vars={**s.vars, e.value: value, **({e.key: key} if e.key is not None else {})})
             p = RowBody(e.body, at).exists()
             rel.where(F.lit(False) if p is None else ~p | p.isNull(), *[t for t in at.vars.values() if t.uses & rel.own])
 
@@ -1308,7 +1465,7 @@ class Relation(Planner):
 def renamed(t: Term, names: dict[str, str]) -> Term:
     """A term over renamed columns; only plain columns and what is made of them can be renamed."""
     if isinstance(t, Fields):
-        return Fields({k: renamed(x, names) for k, x in t.fields.items()}, t.row)
+        return Fields({k: renamed(x, names) for k, x in t.fields.items()}, t.row, t.held)
     if isinstance(t, Items):
         return Items(tuple(renamed(x, names) for x in t.items), t.is_set)
     if isinstance(t, Cell) and t.uses & names.keys():
@@ -1340,12 +1497,58 @@ def subquery(t: Deferred, world: World) -> tuple[Relation, Term, Term | None]:
 
 def collected(node: Compr, rel: Relation, value: Term, key: Term | None) -> Collection:
     """The rows of a comprehension under fixed names."""
-    df, value, key = projected(rel.frame(), value, key)
+    scan, unique = rel.scan if rel.scan and rel.scan[0] is rel.df else None, rel.unique if rel.unique and rel.unique[0] is rel.df else None
+    of = next((c for c, here in scan[2].items() if {here} == value.uses), None) if scan and plain_column(value, scan[0]) else None
+    alone = unique and key is not None and key.uses == {unique[1]} and plain_column(key, rel.df)
+    df, value, key = projected(rel.frame(), rel.settled(value), key)
     if node.kind == "set":
         df = df.distinct()
-    elif node.kind == "object":
+    elif node.kind == "object" and not alone:
         df = unique_keys(df, key, "conflicting object key", strict=True)
-    return Collection(df, value, node.kind, key)
+    return Collection(df, value, node.kind, key, values_of=(scan[1], of) if node.kind == "set" and of is not None else None)
+
+
+def plain_column(t: Term, df: DataFrame) -> bool:
+    """Whether a term is a column of ``df`` as it is."""
+    if not isinstance(t, Cell) or len(t.uses) != 1:
+        return False
+    (name,) = t.uses
+    return name in df.columns and t.col._jc.toString().strip("`") == name and t.type == df.schema[name].dataType
+
+
+def gathered(df, value: Term, key: Term | None, kind_: str, order: list[str] | None, *, descending: bool = False) -> tuple[DataFrame, dict[str, T.DataType]]:
+    """All of a grouping's values in one column, ``all``: an array in the given order or else sorted, a set, or a map."""
+    v = solid(value) or variant(value)
+    k = solid(key) if kind_ == "object" and key is not None else None
+    if v is None or kind_ == "object" and k is None:
+        raise UnsupportedPlan("collected values of such types have no column form")
+    if kind_ == "set":
+        type_: T.DataType = T.ArrayType(v.type)
+        made = as_members(F.collect_list(v.col), v.type) if isinstance(v.type, (T.VariantType, T.MapType)) else F.array_sort(F.collect_set(v.col))
+    elif kind_ == "object":
+        type_ = T.MapType(k.type, v.type)
+        pairs = F.collect_list(F.when(k.col.isNotNull() & v.col.isNotNull(), F.struct(k.col.alias("key"), v.col.alias("value"))))
+        clash = F.raise_error(F.lit("conflicting object key")).cast(T.ArrayType(T.StructType([T.StructField("key", k.type), T.StructField("value", v.type)])))
+        twice = F.size(F.array_distinct(F.transform(pairs, lambda e: e["key"]))) < F.size(pairs)
+        made = F.map_from_entries(F.when(twice, clash).otherwise(pairs))
+    else:
+        type_ = T.ArrayType(v.type)
+        by = [F.col(c) for c in order or ()]
+        if not by and not isinstance(v.type, (T.VariantType, T.MapType)):
+            by = [v.col]
+        one = F.when(v.col.isNotNull(), F.struct(*[c.alias(f"o{i}") for i, c in enumerate(by)], F.struct(v.col.alias("value")).alias("of") if by and not order else v.col.alias("value")))
+        pairs = F.collect_list(one)
+        if by:  # the places decide, so what has no order can be carried along
+            places = F.array_sort(F.transform(pairs, lambda e, i: F.struct(*[e[f"o{j}"].alias(f"o{j}") for j in range(len(by))], i.alias("i"))))
+            made = F.transform(places, lambda e: F.get(pairs, e["i"])["value"] if order else F.get(pairs, e["i"])["of"]["value"])
+        else:
+            made = F.transform(pairs, lambda e: e["value"])
+        made = F.reverse(made) if descending else made
+    return df.agg(made.alias("all")), {"all": type_}
+
+
+def empty_of(type_: T.DataType) -> Column:
+    return F.from_json(F.lit("{}"), type_) if isinstance(type_, T.MapType) and not isinstance(type_.valueType, T.VariantType) and isinstance(type_.keyType, T.StringType) else F.map_from_entries(F.array().cast(T.ArrayType(T.StructType([T.StructField("key", type_.keyType), T.StructField("value", type_.valueType)])))) if isinstance(type_, T.MapType) else F.array().cast(type_)
 
 
 def projected(df: DataFrame, value: Term, key: Term | None = None) -> tuple[DataFrame, Term, Term | None]:
@@ -1391,12 +1594,16 @@ def unique_keys(df: DataFrame, key: Term, message: str, *, strict: bool = False)
     if strict:
         df = df.groupBy(*keys).agg(F.count("*").alias("__n"), *[F.first(c).alias(c) for c in values])
         return df.where(F.when(F.col("__n") > 1, clash).otherwise(F.lit(True))).select(*keys, *values)
-    df = df.groupBy(*keys).agg(*[F.min(c).alias(c) for c in values], *[F.max(c).alias(f"__{c}") for c in values])
-    differ = conjunction([~F.col(c).eqNullSafe(F.col(f"__{c}")) for c in values])
+    shown = {c: F.to_json(F.struct(c)) if isinstance(df.schema[c].dataType, (T.MapType, T.VariantType)) else F.col(c) for c in values}
+    least = {c: F.first(c) if isinstance(df.schema[c].dataType, (T.MapType, T.VariantType)) else F.min(c) for c in values}
+    df = df.groupBy(*keys).agg(*[x.alias(c) for c, x in least.items()], *[(~F.min(x).eqNullSafe(F.max(x))).alias(f"__{c}") for c, x in shown.items()])
+    differ = None
+    for c in values:
+        differ = F.col(f"__{c}") if differ is None else differ | F.col(f"__{c}")
     return df.where(F.when(differ, clash).otherwise(F.lit(True))).select(*keys, *values)
 
 
-def aggregates(df, value: Term, kind_: str, schema_of: DataFrame | None = None) -> tuple[DataFrame, dict[str, T.DataType]]:
+def aggregates(df, value: Term, kind_: str) -> tuple[DataFrame, dict[str, T.DataType]]:
     """Every aggregate that a collection allows; Catalyst drops those that nobody reads."""
     v = value if isinstance(value, Cell) else None
     count = F.count(F.lit(1))
@@ -1434,7 +1641,7 @@ def set_rule(name: str, w: World) -> Collection:
     for r in w.compiled.rules[name]:
         rel = Relation(w)
         scope = rel.solve(r.body, Scope({}, w).opened(r.body))
-        value = rel.term(r.value, scope)
+        value = rel.settled(rel.term(r.value, scope))
         parts.append(projected(rel.closed(name), value)[:2])
     df, value = parts[0]
     for other, v in parts[1:]:
@@ -1455,7 +1662,7 @@ def object_rule(name: str, w: World) -> Collection:
     for r in rules:
         rel = Relation(w)
         scope = rel.solve(r.body, Scope({}, w).opened(r.body))
-        cells = [solid(rel.term(x, scope)) for x in (*r.keys, r.value)]
+        cells = [solid(t) or variant(t) for t in (rel.settled(rel.term(x, scope)) for x in (*r.keys, r.value))]
         if None in cells or len(r.keys) != depth:
             raise UnsupportedPlan(f"rule {name} has no column form", r.at)
         df = rel.closed(name)
@@ -1479,7 +1686,10 @@ def collection_rule(name: str, w: World) -> Term | None:
         return None
     rel = Relation(w)
     t = rel.term(rules[0].value, Scope({}, w))
-    return rel.uncorrelated(t) if isinstance(t, (Collection, Deferred)) and rel.df is None else None
+    try:
+        return rel.uncorrelated(t) if isinstance(t, (Collection, Deferred)) and rel.df is None else None
+    except Outer:  # it reads the input row
+        return None
 
 
 def set_relation(name: str, w: World, base: DataFrame, keys: tuple[str, ...]) -> DataFrame:
@@ -1488,7 +1698,7 @@ def set_relation(name: str, w: World, base: DataFrame, keys: tuple[str, ...]) ->
     for r in w.compiled.rules[name]:
         rel = Relation(w, base)
         scope = rel.solve(r.body, Scope({}, w).opened(r.body))
-        c = solid(rel.term(r.value, scope))
+        c = solid(rel.settled(rel.term(r.value, scope)))
         if c is None:
             raise UnsupportedPlan(f"the members of {name} have no column form", r.at)
         frames.append(rel.closed(name).select(*keys, c.col.alias("v")).where("v is not null"))
@@ -1507,26 +1717,43 @@ def complete_relation(name: str, w: World, base: DataFrame | None = None, keys:
         for value, body in ((r.value, r.body), *r.orelse):
             rel = Relation(w, base)
             scope = rel.solve(body, Scope({}, w).opened(body))
-            t = rel.term(value, scope)
-            if isinstance(t, Fields):
-                t = Fields({k: solid(x) for k, x in t.fields.items()})
+            t = rel.settled(rel.term(value, scope))
+            if isinstance(t, Undefined):
+                continue
+            if isinstance(t, Fields) and not t.row:
+                t = Fields({k: solid(x) or variant(x) for k, x in t.fields.items()})
             df = rel.closed(name)
             for d in [d for d in [defined(t)] if d is not None]:
                 df = df.where(d)
-            cells = {k: solid(x) for k, x in t.fields.items()} if isinstance(t, Fields) else {"v": solid(t)}
+            cells = {k: solid(x) or variant(x) for k, x in t.fields.items()} if isinstance(t, Fields) else {"v": solid(t) or variant(t)}
+            if None in cells.values():
+                raise UnsupportedPlan(f"the value of {name} has no column form", r.at)
             df = df.select(*[F.col(k) for k in keys], *[c.col.alias(k) for k, c in cells.items()])
             if r.orelse and keys:
                 df = df if done is None else df.join(done, list(keys), "left_anti")
                 done = df.select(*keys) if done is None else done.union(df.select(*keys))
-            elif r.orelse:
-                raise UnsupportedPlan("else over tables needs an input row", r.at)
+            elif r.orelse:  # a branch counts if none before it has a value
+                df = df if done is None else df.join(done, F.lit(True), "left_anti")
+                one = df.limit(1).select(F.lit(1).alias(f"done_{next(_numbers)}"))
+                done = one if done is None else done.unionAll(one)
             frames.append(df)
             terms.append(Fields({k: Cell(F.col(k), c.type, frozenset([k])) for k, c in cells.items()}, row=True) if isinstance(t, Fields) else Cell(F.col("v"), cells["v"].type, frozenset(["v"])))
+    if not frames:
+        df = (base if base is not None else w.spark.range(1)).select(*keys, F.lit(None).cast("string").alias("v")).where("false")
+        return df, Cell(F.col("v"), T.StringType(), frozenset(["v"]))
+    values = [c for c in frames[0].columns if c not in keys]
+    if any(f.columns != frames[0].columns for f in frames):
+        raise UnsupportedPlan(f"the values of {name} are objects of different keys")
+    types = [widest([f.schema[c].dataType for f in frames]) for c in values]
+    if any(kind(Cell(F.col(c), f.schema[c].dataType)) != kind(Cell(F.col(c), t)) for f in frames for c, t in zip(values, types, strict=True)):
+        raise UnsupportedPlan(f"the values of {name} have several types")
+    frames = [f.select(*keys, *[F.col(c).cast(t).alias(c) for c, t in zip(values, types, strict=True)]) for f in frames]
     df = frames[0]
     for other in frames[1:]:
         df = df.unionByName(other)
-    values = [c for c in df.columns if c not in keys]
-    df = df.distinct()
+    found = [Cell(F.col(c), t, frozenset([c])) for c, t in zip(values, types, strict=True)]
+    terms = [Fields(dict(zip(values, found, strict=True)), row=True) if isinstance(terms[0], Fields) else found[0]]
+    df = df.distinct() if not any(isinstance(t, (T.VariantType, T.MapType)) for t in types) else df
     if keys:
         df = unique_keys(df, list(keys), f"conflicting values for {name}")
     else:

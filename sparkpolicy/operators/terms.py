@@ -54,10 +54,11 @@ class Items(Term):
 
 @dataclass(frozen=True, eq=False)
 class Fields(Term):
-    """An object of known keys. One written out has a value only if all its cells have; a ``row`` always has."""
+    """An object of known keys. One written out has a value only if all its cells have; a ``row`` has one where ``held`` is true."""
 
     fields: dict[str, Term]
     row: bool = False
+    held: Column | None = None
 
     @property
     def uses(self) -> frozenset[str]:
@@ -66,7 +67,10 @@ class Fields(Term):
 
 @dataclass(frozen=True, eq=False)
 class Collection(Term):
-    """The rows of a relation as an array, set or object. ``empty_undefined``: without a row it is undefined."""
+    """The rows of a relation as an array, set or object. ``empty_undefined``: without a row it is undefined.
+
+    ``values_of`` tells that the rows are the distinct values of a column of another relation, without a filter.
+    """
 
     df: DataFrame
     value: Term
@@ -74,6 +78,7 @@ class Collection(Term):
     key: Term | None = None
     order: str | None = None
     empty_undefined: bool = False
+    values_of: tuple[DataFrame, str] | None = None
 
 
 @dataclass(frozen=True, eq=False)
@@ -149,31 +154,33 @@ def solid(t: Term) -> Cell | None:
     if isinstance(t, Items):
         cells = [solid(x) for x in t.items]
         if any(c is None for c in cells):
-            cells = [None if t.is_set else variant(x) for x in t.items]
+            cells = [variant(x) for x in t.items]
         if any(c is None for c in cells):
             return None
         if not cells:
             return cell(T.ArrayType(T.NullType()), col=F.array(), is_set=t.is_set)
         if len({kind(c) for c in cells}) > 1 or any(isinstance(c.type, (T.ArrayType, T.MapType, T.StructType)) and c.type != cells[0].type for c in cells):
-            cells = [None if t.is_set else variant(x) for x in t.items]
+            cells = [variant(x) for x in t.items]
             if any(c is None for c in cells):
                 return None
         type_ = widest([c.type for c in cells])
         made = F.array(*(c.col.cast(type_) for c in cells))
-        made = F.array_sort(F.array_distinct(made)) if t.is_set else made
+        made = as_members(made, type_) if t.is_set else made
         return cell(T.ArrayType(type_), *cells, col=F.when(all_defined(cells), made), is_set=t.is_set)
     if isinstance(t, Fields):
         cells = {k: solid(x) for k, x in t.fields.items()}
         if any(c is None for c in cells.values()):
             return None
         type_ = T.StructType([T.StructField(k, c.type) for k, c in cells.items()])
-        held = F.lit(True) if t.row else all_defined(list(cells.values()))
+        held = (F.lit(True) if t.held is None else t.held) if t.row else all_defined(list(cells.values()))
         return cell(type_, *cells.values(), col=F.when(held, F.struct(*(c.col.alias(k) for k, c in cells.items()))))
     return None
 
 
 def variant(t: Term) -> Cell | None:
     """A term as a variant, for values of several types; None for sets and what has no column form. Absent keys stay absent."""
+    if isinstance(t, Items) and t.is_set:
+        return None
     if isinstance(t, Null):
         return Cell(F.parse_json(F.lit("null")), VARIANT)
     if isinstance(t, Items):
@@ -186,8 +193,8 @@ def variant(t: Term) -> Cell | None:
         cells = {k: variant(x) for k, x in t.fields.items()}
         if any(c is None for c in cells.values()):
             return None
-        made = F.to_variant_object(present(cells))
-        return cell(VARIANT, *cells.values(), col=made if t.row else F.when(all_defined(list(cells.values())), made))
+        made, held = F.to_variant_object(present(cells)), defined(t)
+        return cell(VARIANT, *cells.values(), col=made if held is None else F.when(held, made))
     if not isinstance(t, Cell) or t.is_set:
         return None
     if isinstance(t.type, T.VariantType):
@@ -211,6 +218,20 @@ def _plain(type_: T.DataType) -> bool:
     return not isinstance(type_, (T.StructType, T.MapType))
 
 
+def as_members(col: Column, type_: T.DataType) -> Column:
+    """An array as a set's: sorted and distinct. Variants, which have no order, go by their text."""
+    if isinstance(type_, T.VariantType):
+        return F.transform(F.array_sort(F.array_distinct(F.transform(col, _normal))), lambda x: F.parse_json(x))
+    return F.array_sort(F.array_distinct(col))
+
+
+def set_operation(fn, a: Column, b: Column, type_: T.DataType) -> Column:
+    """A function of two sets' arrays."""
+    if isinstance(type_, T.VariantType):
+        return F.transform(F.array_sort(fn(F.transform(a, _normal), F.transform(b, _normal))), lambda x: F.parse_json(x))
+    return F.array_sort(fn(a, b))
+
+
 def opened(t: Cell) -> Fields:
     """A struct's fields; a NULL one is an absent key."""
     return Fields({n: cell(t.type[n].dataType, t, col=t.col[n]) for n in t.type.names}, row=True)
@@ -264,6 +285,8 @@ def defined(t: Term) -> Column | None:
         return None if t.const is not None else t.col.isNotNull()
     if isinstance(t, Undefined):
         return F.lit(False)
+    if isinstance(t, Fields) and t.row:
+        return t.held
     parts = t.items if isinstance(t, Items) else list(t.fields.values()) if isinstance(t, Fields) and not t.row else []
     return conjunction([d for p in parts if (d := defined(p)) is not None])
 
@@ -330,7 +353,7 @@ def equal(a: Term, b: Term) -> Cell | Undefined:
             return known(False)
         same = F.forall(F.map_entries(x.col), lambda e: F.coalesce(F.map_contains_key(y.col, e["key"]) & equal(Cell(e["value"], x.type.valueType), Cell(F.try_element_at(y.col, e["key"]), y.type.valueType)).col, F.lit(False)))
         return boolean(F.when(x.col.isNotNull() & y.col.isNotNull(), (F.size(x.col) == F.size(y.col)) & same), a, b)
-    if ka == "array" and x.type != y.type:
+    if ka in ("array", "set") and (x.type != y.type or isinstance(x.type.elementType, (T.VariantType, T.MapType))):
         u, v = x.type.elementType, y.type.elementType
         if isinstance(u, T.NullType) or isinstance(v, T.NullType):
             return boolean(F.size(x.col) == F.size(y.col), a, b)
