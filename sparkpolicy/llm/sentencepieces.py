@@ -3,9 +3,14 @@
 A text is cut where a space follows another character, as no piece reaches across; each distinct unit is
 encoded once. Units of equal length advance together: the hash of every substring up to the longest piece
 probes the sorted keys of the pieces, which gives a table of piece ids by start and length. Over it a unigram
-model takes the Viterbi path, with one vectorised maximum and its backpointer for each position. A BPE model is defined
-by its merges, which the Viterbi path over its scores doesn't follow, so there the best-ranked neighbours are merged,
-also for all units at once, until none merge; ids are those of the SentencePiece library in either case.
+model takes the Viterbi path, with one vectorised maximum and its backpointer for each position.
+
+A BPE model is defined by its merges, which the path of the best scores doesn't follow. But its encoding is a path as well: cut
+between two pieces of an encoding, and each side is the encoding of its text, since no merge went across; and
+pieces of which all neighbours are the encoding of their joint text are the encoding of the whole, since the first merge across a
+boundary would also occur in that joint text. So the last piece of each prefix is the only one that fits the last piece of the
+prefix before it. The same pass finds it for all units at once, with a backpointer for each position, where the maximum is over
+who fits (1) and who doesn't (0). Which pieces fit each other is found by merging their joint text, once for each pair met. Ids are those of the SentencePiece library in either case.
 """
 
 from __future__ import annotations
@@ -33,6 +38,10 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _FILTER_BITS = 20
 #: Longer units are encoded one by one; units of one length go in slices; units kept between batches.
 LONGEST_BATCHED, _SLICE, _MOST_KNOWN, _LONGEST_KNOWN = 48, 20_000, 400_000, 64
+#: Pairs of pieces remembered, and what is added to the code of a character that is no piece.
+_MOST_PAIRS, _CHARS, _SLOT_BITS = 2_000_000, 1 << 24, 20
+#: New pairs up to which each is merged by itself.
+_FEW = 200
 
 
 def _fields(data: bytes):
@@ -119,6 +128,10 @@ class Codec:
         self.unknown = int(np.flatnonzero(model.kinds == _UNKNOWN)[0])
         self.lowest = float(model.scores[own].min()) if len(own) else 0.0
         self.known: dict[str, bytes] = {}
+        #: Pairs of pieces met and whether they fit; a first piece of 0 stands for the beginning. Before them a table of slots by
+        #: hash, each with the pair met last.
+        self.met: dict[int, bool] = {}
+        self.slots, self.slot_fits = np.full(1 << _SLOT_BITS, -1, np.int64), np.zeros(1 << _SLOT_BITS, bool)
         self.shown = [self._shown(i) for i in range(len(model.pieces))]
 
     @staticmethod
@@ -162,7 +175,7 @@ class Codec:
             for at in range(0, len(own), _SLICE):
                 part = own[at : at + _SLICE]
                 found = self.table(np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, n))
-                ends = self.viterbi(found) if self.model.model_type == UNIGRAM else self.merge(found)
+                ends = self.viterbi(found) if self.model.model_type == UNIGRAM else self.fitting(part, found)
                 self._emit_all(part, found, ends)
 
     def table(self, codes: np.ndarray) -> np.ndarray:
@@ -202,6 +215,76 @@ class Codec:
             at[live] = begun
         return ends
 
+    def fitting(self, units: list[str], found: np.ndarray) -> np.ndarray:
+        """``ends`` as in :meth:`viterbi` on the path of pieces that fit their neighbours."""
+        n, size, wide = found.shape
+        codes = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(n, size).astype(np.int64)
+        ids = found.astype(np.int64) + 1  # 0: no piece
+        single = ids[:, :, 0]
+        single[single == 0] = (codes + _CHARS)[single == 0]  # an unknown character stands for itself
+        last, back = np.zeros((n, size + 1), np.int64), np.zeros((n, size + 1), np.int32)
+        rows = np.arange(n)
+        for j in range(1, size + 1):
+            starts = np.arange(max(0, j - wide), j)
+            own = ids[:, starts, j - starts - 1]
+            fits = np.zeros(own.shape, np.int8)
+            u, k = np.nonzero(own)
+            fits[u, k] = self._fit(last[u, starts[k]], own[u, k])
+            top = fits.argmax(1)
+            last[:, j], back[:, j] = own[rows, top], starts[top]
+        ends, at = np.zeros((n, size), np.int32), np.full(n, size)
+        while (live := np.flatnonzero(at > 0)).size:
+            begun = back[live, at[live]]
+            ends[live, begun] = at[live]
+            at[live] = begun
+        return ends
+
+    def _fit(self, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+        """Whether pieces follow each other in the encoding of their joint text."""
+        keys = before << 32 | after
+        slot = (keys.view(np.uint64) * _BASE >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
+        out = self.slot_fits[slot]
+        other = np.flatnonzero(self.slots[slot] != keys)
+        if len(other):
+            few, first, place = np.unique(keys[other], return_index=True, return_inverse=True)
+            found = self._known_fit(few)
+            out[other] = found[place]
+            into, one = np.unique(slot[other][first], return_index=True)  # one pair for each slot
+            self.slots[into], self.slot_fits[into] = few[one], found[one]
+        return out
+
+    def _known_fit(self, keys: np.ndarray) -> np.ndarray:
+        """Whether pairs fit, from those met or by merging."""
+        if len(self.met) > _MOST_PAIRS:
+            self.met.clear()
+        out = np.fromiter((self.met.get(k, 2) for k in keys.tolist()), np.int8, len(keys))
+        if len(new := keys[out == 2]):
+            out[out == 2] = found = self._merged_apart(new)
+            self.met.update(zip(new.tolist(), found.tolist(), strict=True))
+        return out.astype(bool)
+
+    def _text(self, piece: int) -> str:
+        return chr(piece - _CHARS) if piece >= _CHARS else self.model.pieces[piece - 1] if piece else ""
+
+    def _merged_apart(self, keys: np.ndarray) -> np.ndarray:
+        """Whether the merges of a pair's joint text end in the pair."""
+        sides = [(self._text(k >> 32), self._text(k & 0xFFFFFFFF)) for k in keys.tolist()]
+        if len(sides) <= _FEW:
+            return np.array([self._one_merged(a + b) == [(x, y) for x, y in ((0, len(a)), (len(a), len(a) + len(b))) if x < y] for a, b in sides])
+        out = np.zeros(len(keys), bool)
+        by_length: dict[int, list[int]] = {}
+        for i, (a, b) in enumerate(sides):
+            by_length.setdefault(len(a) + len(b), []).append(i)
+        for n, own in by_length.items():
+            for at in range(0, len(own), _SLICE):
+                part = np.array(own[at : at + _SLICE])
+                text = "".join(a + b for a, b in (sides[i] for i in part.tolist()))
+                ends = self.merge(self.table(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, n)))
+                cut = np.array([len(sides[i][0]) for i in part.tolist()])
+                rows = np.arange(len(part))
+                out[part] = (ends[rows, 0] == np.where(cut > 0, cut, n)) & ((cut == 0) | (ends[rows, cut % n] == n))
+        return out
+
     def merge(self, found: np.ndarray) -> np.ndarray:
         """``ends`` as in :meth:`viterbi`, by merging the best-ranked neighbours of each unit until none merge."""
         n, size, wide = found.shape
@@ -253,6 +336,10 @@ class Codec:
                 out.append((back[j], j))
                 j = back[j]
             return out[::-1]
+        return self._one_merged(unit)
+
+    def _one_merged(self, unit: str) -> list[tuple[int, int]]:
+        """The pieces that a BPE model's merges leave of a text."""
         n = len(unit)
         end, left, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
         heap: list[tuple[float, int, int, int]] = []

@@ -267,3 +267,15 @@ def test_piece_rows(spark, docs):
     want = sorted((r["doc_id"] or 0, r["text"] or "") for r in docs.select("doc_id", "text").collect())
     assert sorted((r["doc_id"] or 0, r["text"]) for r in back.collect()) == want
     assert sentencepieces.op7_sentencepiece(spark, DIR).where("not round_trip").count() == 0
+
+
+def test_fitting_path_is_the_merged_one():
+    """On random text, unknown characters among it, the path of fitting pieces is what merging leaves, also with a small memory."""
+    rng = np.random.default_rng(7)
+    letters = list("aeiou tnrslh<>0x\n\t") + ["the", "ing", "▁", "é", "漢", "\U0001f600", "\ue123"]
+    own = sentencepieces.Codec(sentencepieces.Model.load(sentencepieces.default_model()))
+    for n in (1, 2, 3, 5, 9, 17, 30):
+        units = sorted({("".join(rng.choice(letters, n))[:n]).ljust(n, "q") for _ in range(300)})
+        found = own.table(np.frombuffer("".join(units).encode("utf-32-le"), np.uint32).reshape(-1, n))
+        assert (own.fitting(units, found) == own.merge(found)).all()
+        own.met.clear()
