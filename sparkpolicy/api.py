@@ -35,7 +35,7 @@ class Result:
     errors: tuple[PolicyError, ...] = ()
 
     def to_dict(self) -> dict:
-        return {"value": _json(self.value), "bindings": {k: _json(x) for k, x in self.bindings.items()}, "success": self.success, "errors": [e.to_dict() if isinstance(e, PolicyError) else {"message": str(e)} for e in self.errors]}
+        return {"value": _json(self.value), "bindings": {k: _json(x) for k, x in sorted(self.bindings.items())}, "success": self.success, "errors": [e.to_dict() if isinstance(e, PolicyError) else {"message": str(e)} for e in self.errors]}
 
     def to_json(self) -> str:
         return json.dumps(self.to_dict(), ensure_ascii=False)
@@ -157,7 +157,7 @@ class Policy:
         if isinstance(t, Collection):
             if t.kind == "array" and isinstance(t.value, Cell):
                 return t.df.select(t.value.col.alias("value"))
-            return t.df
+            return t.df.drop(*t.by)
         one = spark.range(1)
         if isinstance(t, Fields):
             return one.select(*[c.col.alias(k) for k, c in _columns(t).items()])

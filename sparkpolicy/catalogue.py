@@ -2,43 +2,9 @@
 
 from __future__ import annotations
 
-import re
-from dataclasses import dataclass
-
-from pyspark.sql import DataFrame, SparkSession
-
-from .api import Catalog, Policy
-from .sources.catalog import json_column
-
-
-@dataclass(frozen=True)
-class Query:
-    """A policy (without its package line), the rule to read, and SQL for the same rows.
-
-    ``batch`` names the input table and its key; without it the rule is a relation over the tables under ``data``.
-    """
-
-    policy: str
-    rule: str
-    sql: str
-    batch: tuple[str, str] | None = None
-    json: str | None = None
-
-    def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
-        text = f"package q\n{self.policy}"
-        if self.batch:
-            table, key = self.batch
-            df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
-            df = json_column(df, "props", self.json or None) if self.json is not None else df
-            return Policy(text).decide(df, self.rule, keys=[key])
-        names = sorted({w.split(".")[1] for w in _words(self.policy) if w.startswith("data.") and w.split(".")[1] != "cfg"})
-        catalog = Catalog.parquet(spark, sf_dir, *names).document("cfg", {"limit": 0})
-        return Policy(text).relation(spark, self.rule, catalog)
-
-
-def _words(text: str) -> list[str]:
-    return re.findall(r"[a-z_]+(?:\.[a-z_]+)*", text)
-
+from .catalogue_documents import DOCUMENT_QUERIES
+from .catalogue_language import LANGUAGE_QUERIES
+from .query import Query
 
 QUERIES: dict[str, Query] = {
     "complete_default": Query(
@@ -307,3 +273,4 @@ deny contains m if { some c in data.customer; c.c_acctbal < -900; m := sprintf("
         """select distinct printf('order %d too large',o_orderkey) as value from orders where o_totalprice>490000 union select printf('customer %s overdrawn',c_name) from customer where c_acctbal<-900""",
     ),
 }
+QUERIES |= DOCUMENT_QUERIES | LANGUAGE_QUERIES

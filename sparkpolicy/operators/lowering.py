@@ -97,6 +97,9 @@ class Planner:
     def uncorrelated(self, t: Term) -> Collection:
         raise NeedsRelation
 
+    def settled(self, t: Term) -> Term:
+        raise NeedsRelation
+
     # -- expressions
     def term(self, node: Node, scope: Scope) -> Term:
         if isinstance(node, Lit):
@@ -323,7 +326,10 @@ class Planner:
             return self.aggregate(args[0], name)
         if len(args) == 1 and (name == "type_name" or name.startswith("is_")):
             return constant(kind(args[0])) if name == "type_name" else known(name == f"is_{kind(args[0])}")
-        cs = [self.uncorrelated(a) if isinstance(a, (Collection, Deferred)) else a for a in args]
+        try:
+            cs = [self.uncorrelated(a) if isinstance(a, (Collection, Deferred)) else a for a in args]
+        except Outer:  # it shares variables with its surroundings
+            return w.columns[name](*(self.settled(a) for a in args))
         first = cs[0]
         if name in ("set", "cast_set") and len(cs) == 1:
             return distinct_set(first)
@@ -357,7 +363,7 @@ class Planner:
             type_ = widest([a.value.type, b.value.type])
             df = a.df.select(a.value.col.cast(type_).alias("value")).union(b.df.select(b.value.col.cast(type_).alias("value")))
             return Collection(df, Cell(F.col("value"), type_, frozenset(["value"])), "array")
-        raise UnsupportedPlan(f"{name} over a table has no plan", node.at)
+        return w.columns[name](*(self.settled(a) for a in args))  # over the collected value
 
     def inline(self, name: str, args: tuple[Term, ...], w: World, node: Node) -> Term:
         """A user function, expanded in place."""
@@ -985,6 +991,8 @@ class Relation(Planner):
         self.keys: list[tuple[Cell, Cell]] = []
         self.outside: list[Column] = []
         self.memo: dict = {}
+        #: Whether a row of the start may have become several.
+        self.many = False
         #: The columns whose order is the order of solutions; None if they have no order.
         self.order: list[str] | None = []
         #: What the rows are as long as nothing is joined or filtered: (rows, source, their columns by the source's).
@@ -1050,7 +1058,7 @@ class Relation(Planner):
         """Join with a collection's rows; its key and value there."""
         c = self.uncorrelated(t)
         df, names = self.fresh(c.df)
-        first = self.df is None
+        first, self.many = self.df is None, True
         self.cross(df)
         if first:
             self.scan = (self.df, c.df, names)
@@ -1145,7 +1153,8 @@ class Relation(Planner):
             ((column, type_),) = self._joined_back(t, make).values()
             return Cell(F.coalesce(F.col(column), empty_of(type_)), type_, frozenset([column]), t.node.kind == "set")
         if isinstance(t, Collection):
-            df, names = gathered(t.df, t.value, t.key, t.kind, [next(iter(t.key.uses))] if t.kind == "array" and isinstance(t.key, Cell) else None, descending=t.order == "desc")
+            places = [next(iter(t.key.uses))] if t.kind == "array" and isinstance(t.key, Cell) and not t.order else [] if t.order else list(t.by)
+            df, names = gathered(t.df, t.value, t.key, t.kind, places, descending=t.order == "desc")
             df, new = self.fresh(df.where(F.size("all") > 0) if t.empty_undefined else df)
             self.cross(df)
             return Cell(F.coalesce(F.col(new["all"]), empty_of(names["all"])), names["all"], frozenset([new["all"]]), t.kind == "set")
@@ -1157,6 +1166,8 @@ class Relation(Planner):
 
     def lookup(self, t: Term, key: Term) -> Term:
         """The value under a key of an object rule, the row of an indexed table, or a member of a set: a left join."""
+        if isinstance(t, Deferred) and t.node.kind == "array" or isinstance(t, Collection) and t.kind == "array" and (t.by or t.order):
+            return at_index(self.settled(t), key)
         c = self.uncorrelated(t)
         k = solid(key)
         if c.kind == "set":
@@ -1372,6 +1383,7 @@ class Relation(Planner):
                 raise Outer
             pairs, kt, vt = RowBody((), scope).elements(t, keyed and not set_keys)
             n = next(_numbers)
+            self.many = True
             self.df = self.frame().withColumn(f"e{n}", F.explode(pairs)).withColumns({f"k{n}": F.col(f"e{n}.key"), f"v{n}": F.col(f"e{n}.value")}).drop(f"e{n}")
             k, v = Cell(F.col(f"k{n}"), kt, frozenset([f"k{n}"])), Cell(F.col(f"v{n}"), vt, frozenset([f"v{n}"]))
             if self.order is not None and kind(t) == "array":
@@ -1436,7 +1448,9 @@ class Relation(Planner):
                 raise UnsupportedPlan("the rows have no index: a table's is a column named in the catalogue", e.at)
             at = replace(s, vars={**s.vars, e.value: value, **({e.key: key} if e.key is not None else {})})
             p = RowBody(e.body, at).exists()
-            rel.where(F.lit(False) if p is None else ~p | p.isNull(), *[t for t in at.vars.values() if t.uses & rel.own])
+            read = {x.name for stmt in e.body for x in walk(stmt) if isinstance(x, Var)}
+            used = [at.vars[n] for n in read if n in at.vars] + [at.world.input] * ("input" in read)
+            rel.where(F.lit(False) if p is None else ~p | p.isNull(), *narrowed(used, e.body, at))
 
         self._anti(build, scope, domain.scope if isinstance(domain, Deferred) else scope)
 
@@ -1462,6 +1476,24 @@ class Relation(Planner):
         self.df = self.df.join(df, cond if cond is not None else F.lit(True), "left_anti")
 
 
+def narrowed(used: list[Term], body: tuple[Stmt, ...], scope: Scope) -> list[Term]:
+    """Of objects with known fields the fields that a body names, if it names them all."""
+    out: list[Term] = []
+    for t in used:
+        if not isinstance(t, Fields):
+            out.append(t)
+            continue
+        named: list[Term] | None = []
+        for node in (n for stmt in body for n in walk(stmt)):
+            if isinstance(node, Ref) and isinstance(node.base, Var) and (scope.vars.get(node.base.name) is t or node.base.name == "input" and scope.world.input is t):
+                key = node.path[0] if node.path else None
+                named = named + [t.fields[key.value]] if named is not None and isinstance(key, Lit) and key.value in t.fields else None if not isinstance(key, Lit) else named
+        plain = sum(isinstance(n, Var) and scope.vars.get(n.name) is t for stmt in body for n in walk(stmt))
+        refs = sum(isinstance(n, Ref) and isinstance(n.base, Var) and scope.vars.get(n.base.name) is t for stmt in body for n in walk(stmt))
+        out += [t] if named is None or plain > refs else named
+    return out
+
+
 def renamed(t: Term, names: dict[str, str]) -> Term:
     """A term over renamed columns; only plain columns and what is made of them can be renamed."""
     if isinstance(t, Fields):
@@ -1500,12 +1532,14 @@ def collected(node: Compr, rel: Relation, value: Term, key: Term | None) -> Coll
     scan, unique = rel.scan if rel.scan and rel.scan[0] is rel.df else None, rel.unique if rel.unique and rel.unique[0] is rel.df else None
     of = next((c for c, here in scan[2].items() if {here} == value.uses), None) if scan and plain_column(value, scan[0]) else None
     alone = unique and key is not None and key.uses == {unique[1]} and plain_column(key, rel.df)
-    df, value, key = projected(rel.frame(), rel.settled(value), key)
+    value = rel.settled(value)
+    by = list(rel.order or ()) if node.kind == "array" and rel.order else []
+    df, value, key = projected(rel.frame(), value, key, by)
     if node.kind == "set":
         df = df.distinct()
     elif node.kind == "object" and not alone:
         df = unique_keys(df, key, "conflicting object key", strict=True)
-    return Collection(df, value, node.kind, key, values_of=(scan[1], of) if node.kind == "set" and of is not None else None)
+    return Collection(df, value, node.kind, key, by=tuple(f"__by{i}" for i in range(len(by))), values_of=(scan[1], of) if node.kind == "set" and of is not None else None)
 
 
 def plain_column(t: Term, df: DataFrame) -> bool:
@@ -1551,8 +1585,8 @@ def empty_of(type_: T.DataType) -> Column:
     return F.from_json(F.lit("{}"), type_) if isinstance(type_, T.MapType) and not isinstance(type_.valueType, T.VariantType) and isinstance(type_.keyType, T.StringType) else F.map_from_entries(F.array().cast(T.ArrayType(T.StructType([T.StructField("key", type_.keyType), T.StructField("value", type_.valueType)])))) if isinstance(type_, T.MapType) else F.array().cast(type_)
 
 
-def projected(df: DataFrame, value: Term, key: Term | None = None) -> tuple[DataFrame, Term, Term | None]:
-    """``df`` with the columns of a value and a key alone, where both are defined."""
+def projected(df: DataFrame, value: Term, key: Term | None = None, by: list[str] | tuple = ()) -> tuple[DataFrame, Term, Term | None]:
+    """``df`` with the columns of a value, a key and an order alone, where value and key are defined."""
     for t in (value, key):
         if t is not None and (d := defined(t)) is not None:
             df = df.where(d)
@@ -1572,7 +1606,7 @@ def projected(df: DataFrame, value: Term, key: Term | None = None) -> tuple[Data
                 raise UnsupportedPlan("a value of mixed types has no column form")
             columns.append(c.col.alias(name))
             new.append(Cell(F.col(name), c.type, frozenset([name]), c.is_set))
-    return df.select(*columns), *new
+    return df.select(*columns, *[F.col(c).alias(f"__by{i}") for i, c in enumerate(by)]), *new
 
 
 def single_column(c: Collection) -> Collection:
@@ -1583,7 +1617,7 @@ def single_column(c: Collection) -> Collection:
 
 
 def distinct_set(c: Collection) -> Collection:
-    return replace(c, df=c.df.distinct(), kind="set", order=None)
+    return replace(c, df=c.df.drop(*c.by).distinct(), kind="set", order=None, by=(), key=None)
 
 
 def unique_keys(df: DataFrame, key: Term, message: str, *, strict: bool = False) -> DataFrame:
@@ -1711,11 +1745,12 @@ def set_relation(name: str, w: World, base: DataFrame, keys: tuple[str, ...]) ->
 
 def complete_relation(name: str, w: World, base: DataFrame | None = None, keys: tuple[str, ...] = ()) -> tuple[DataFrame, Term]:
     """The rows (keys, value) of a complete rule over tables; several values for the same keys raise."""
-    frames, terms = [], []
+    frames, terms, rels = [], [], []
     for r in w.compiled.rules.get(name, ()):
         done = None
         for value, body in ((r.value, r.body), *r.orelse):
             rel = Relation(w, base)
+            rels.append(rel)
             scope = rel.solve(body, Scope({}, w).opened(body))
             t = rel.settled(rel.term(value, scope))
             if isinstance(t, Undefined):
@@ -1753,6 +1788,8 @@ def complete_relation(name: str, w: World, base: DataFrame | None = None, keys:
         df = df.unionByName(other)
     found = [Cell(F.col(c), t, frozenset([c])) for c, t in zip(values, types, strict=True)]
     terms = [Fields(dict(zip(values, found, strict=True)), row=True) if isinstance(terms[0], Fields) else found[0]]
+    if len(frames) == 1 and not any(rel.many for rel in rels):  # a row of the start has one value at most
+        return df, terms[0]
     df = df.distinct() if not any(isinstance(t, (T.VariantType, T.MapType)) for t in types) else df
     if keys:
         df = unique_keys(df, list(keys), f"conflicting values for {name}")

@@ -69,7 +69,8 @@ class Fields(Term):
 class Collection(Term):
     """The rows of a relation as an array, set or object. ``empty_undefined``: without a row it is undefined.
 
-    ``values_of`` tells that the rows are the distinct values of a column of another relation, without a filter.
+    ``values_of`` tells that the rows are the distinct values of a column of another relation, without a filter; ``by``
+    names the columns that the rows are in order of.
     """
 
     df: DataFrame
@@ -79,6 +80,7 @@ class Collection(Term):
     order: str | None = None
     empty_undefined: bool = False
     values_of: tuple[DataFrame, str] | None = None
+    by: tuple[str, ...] = ()
 
 
 @dataclass(frozen=True, eq=False)
