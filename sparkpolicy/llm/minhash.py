@@ -13,15 +13,15 @@ who share a bucket are. No link is lost to a bound, and a bucket is compared in
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_texts, table, written
+from .common import bound_batches, map_texts, table, written
 from .components import components
 
 WORDS = 5
@@ -185,16 +185,40 @@ def _within_buckets(sets: DataFrame, opened: DataFrame, percent: int) -> DataFra
     dealt = written(near.join(sizes.hint("merge"), "bucket").select("bucket", "node", "linked", F.when(F.col("linked"), tied).otherwise(loose).alias("tasks"), F.when(F.col("linked"), F.lit(0)).otherwise(own("n_loose")).alias("tile")), "dealt")
     full = sets.select("node", "grams").join(dealt.hint("merge"), "node").select("node", "bucket", "linked", "tile", "grams", F.explode("tasks").alias("task")).select("node", "bucket", "linked", "tile", "grams", "task.kind", "task.x", "task.y")
 
-    def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("node")
-        first, linked, tile = pdf.iloc[0], pdf["linked"].to_numpy(), pdf["tile"].to_numpy()
-        grams = [np.frombuffer(x, np.uint64) for x in pdf["grams"]]
-        one = np.flatnonzero(~linked & (tile == first["x"]))
-        two = np.flatnonzero(linked if first["kind"] else ~linked & (tile == first["y"]))
-        out = tile_links(pdf["node"].to_numpy(), grams, one, two, percent) if len(one) and len(two) else []
-        return pd.DataFrame(out, columns=["a", "b"], dtype=pdf["node"].dtype)
-
-    return full.repartition("bucket", "kind", "x", "y").groupBy("bucket", "kind", "x", "y").applyInPandas(join, "a long, b long")
+    spots = ["bucket", "kind", "x", "y"]
+
+    def linked(held: list[pa.RecordBatch]) -> list[tuple[int, int]]:
+        rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        node, tied, tile, kind, x, y = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("node", "linked", "tile", "kind", "x", "y"))
+        one = np.flatnonzero(~tied & (tile == x[0]))
+        two = np.flatnonzero(tied if kind[0] else ~tied & (tile == y[0]))
+        if not len(one) or not len(two):
+            return []
+        return tile_links(node, [np.frombuffer(g.as_buffer(), np.uint64) for g in rows.column("grams")], one, two, percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows of a task follow each other: only one task's are held."""
+        held: list[pa.RecordBatch] = []
+        last, out = None, []
+        for batch in batches:
+            keys = np.column_stack([batch.column(c).to_numpy() for c in spots])
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
+            for at, end in zip(cuts, cuts[1:], strict=False):
+                if at == end:
+                    continue
+                if held and (keys[at] != last).any():
+                    out += linked(held)
+                    held = []
+                held.append(batch.slice(at, end - at))
+                last = keys[at]
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["a", "b"])
+            out = []
+        out = linked(held) if held else []
+        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["a", "b"])
+
+    bound_batches(sets.sparkSession)
+    ordered = full.select(*spots, "node", "linked", "tile", "grams").repartition(*spots).sortWithinPartitions(*spots, "node")
+    return ordered.mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, *, percent: int = 85, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
