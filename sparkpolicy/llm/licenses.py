@@ -21,14 +21,14 @@ from pyspark.sql import functions as F
 
 from .common import table, written
 
-#: Notices and grants by SPDX identifier; a licence may have several.
+#: Notices and grants by SPDX identifier; a licence may have several, and wording that several share has them all.
 TEMPLATES: tuple[tuple[str, str], ...] = (
     ("AGPL-3.0", "Licensed under the GNU Affero General Public License, version 3"),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
     ("Apache-2.0", "You may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
     ("BSD-2-Clause", "Released under the BSD 2-Clause Simplified License"),
     ("BSD-3-Clause", "Released under the BSD 3-Clause License"),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("BSD-2-Clause OR BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("CC-BY-4.0", "Licensed under CC BY 4.0"),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0"),
@@ -36,20 +36,25 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("CC0-1.0", "Dedicated to the public domain under the Creative Commons CC0 1.0 Universal waiver"),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2"),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3"),
+    ("GPL-2.0 OR GPL-3.0", "GNU General Public License"),
     ("HPND", "Permission to use, copy, modify, and distribute this software and its documentation for any purpose and without fee is hereby granted, provided that the above copyright notice appear in all copies and that both that copyright notice and this permission notice appear in supporting documentation"),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
     ("ISC", "Released under the ISC License"),
+    ("LGPL-2.1 OR LGPL-3.0", "GNU Lesser General Public License"),
     ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3"),
     ("MIT", "Released under the MIT License"),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, Version 2.0"),
     ("Unlicense", "This is free and unencumbered software released into the public domain"),
 )
-TEMPLATES += tuple((k, f"SPDX-License-Identifier: {k}") for k in sorted({k for k, _ in TEMPLATES}))
+TEMPLATES += tuple((k, f"SPDX-License-Identifier: {k}") for k in sorted({k for k, _ in TEMPLATES if " OR " not in k}))
 NOTICE = r"(?i)licen[cs]|copying permission|public domain|unencumbered|redistribution (and|or) use|permission (is|to)\b|hereby grant|free of charge|warrant(y|ies) of"
 NAMED = r"(?i)^(licen[cs]e|copying|unlicense)([._-].*)?$"
 #: Words that name licences: a notice has those of its template, as "the Foo License" isn't the MIT License.
 NAMES = ("affero", "agpl", "apache", "bsd", "by", "cc", "cc0", "commons", "gnu", "gpl", "hpnd", "isc", "lesser", "lgpl", "mit", "mozilla", "mpl", "nc", "sa", "unlicense")
+#: Versions that tell licences apart which share wording, and words that these licences' notices don't have.
+VERSIONS = ("2", "2.0", "2.1", "3", "3.0")
+BARRED = {"GPL-2.0": ("affero", "agpl", "lesser", "lgpl"), "GPL-3.0": ("affero", "agpl", "lesser", "lgpl")}
 BLANK_LINE, OTHER_LINE, NOTICE_LINE = 0, 1, 2
 #: Smallest cosine of a notice, and the share of a text that makes it a licence file.
 LEAST_COSINE = 0.5
@@ -69,6 +74,13 @@ def terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}.]+|\.(?=\s|$)"), lambda t: t != "")
 
 
+def telling(license: str, text: str, templates: tuple[tuple[str, str], ...]) -> tuple[str, ...]:
+    """The words of a template that a notice must have: names, and the version where other versions share wording."""
+    shared = {x for k, _ in templates if " OR " in k for x in k.split(" OR ")}
+    found = re.split(r"[^\w.]+|\.(?=\s|$)", text.lower())
+    return tuple(t for t in (*NAMES, *(VERSIONS if license in shared else ())) if t in found)
+
+
 def _runs(kinds: Column, least: int) -> Column:
     """The runs of adjoining lines of at least a kind, each (first, last)."""
     n = F.size(kinds)
@@ -102,7 +114,8 @@ def scan_notices(files: DataFrame, *, path_col: str = "path", text_col: str = "t
 
     ``notice_chars`` counts all lines that belong to some stretch with a licence: lines, headers, paragraphs or all.
     Without a notice that is close enough ``license`` is null and ``cosine`` 0; a null text is empty. A licence
-    in full goes before notices; of equal cosines the licence that sorts first wins. Repeated rows give repeated results.
+    in full goes before notices, and these go before wording that licences share (``A OR B``); of equal cosines the licence that
+    sorts first wins. Repeated rows give repeated results.
     """
     spark = files.sparkSession
     slim = files.select(F.col(path_col).cast("string").alias("path"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
@@ -113,6 +126,8 @@ def scan_notices(files: DataFrame, *, path_col: str = "path", text_col: str = "t
     named = written(named, "files")
     candidates = named.where("lines is not null")
     least_of = [least] * len(templates) + [LEAST_TEXT_COSINE] * len(full_texts())
+    needed_of = [" ".join(telling(k, v, templates)) for k, v in sorted(templates)] + [""] * len(full_texts())
+    barred_of = [" ".join(BARRED.get(k, ())) for k, _ in sorted(templates)] + [""] * len(full_texts())
     templates, n_notices = [*sorted(templates), *full_texts()], len(templates)
     listed = F.split(F.lit("\x1f".join(v for _, v in templates)), "\x1f")
     models = spark.range(1).select(F.posexplode(listed).alias("at", "text")).select("at", F.explode(terms(F.col("text"))).alias("term"))
@@ -135,12 +150,13 @@ def scan_notices(files: DataFrame, *, path_col: str = "path", text_col: str = "t
     counted = units.groupBy("key").agg(F.first("text").alias("text")).select("key", F.explode(terms(F.col("text"))).alias("term")).groupBy("key", "term").agg(F.count("*").alias("n"))
     vectors = counted.join(held.hint("merge"), "term").select("key", "term", _weight(F.col("n"), F.col("held"), texts).alias("w"))
     vectors = written(vectors, "notice-terms")
-    norms = vectors.groupBy("key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.collect_set(F.when(F.col("term").isin(*NAMES), F.col("term"))).alias("names"))
+    norms = vectors.groupBy("key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.collect_set(F.when(F.col("term").isin(*NAMES, *VERSIONS), F.col("term"))).alias("names"))
     dots = vectors.join(shares.hint("broadcast"), "term").groupBy("key", "at").agg(F.sum(F.col("w") * F.col("share")).alias("dot")).join(norms.hint("merge"), "key")
     of = lambda values: F.split(F.lit("\x1f".join(values)), "\x1f")[F.col("at")]
-    needed = F.filter(F.split(of([" ".join(t for t in NAMES if t in re.split(r"[^\w.]+|\.(?=\s|$)", v.lower())) if i < n_notices else "" for i, (_, v) in enumerate(templates)]), " "), lambda t: t != "")
-    scored = dots.select("key", "at", F.round(F.col("dot") / F.col("norm"), 9).alias("cosine"), of([k for k, _ in templates]).alias("license"), of([str(x) for x in least_of]).cast("double").alias("least"), (F.size(F.array_except(needed, "names")) == 0).alias("named"))
-    scored = scored.where((F.col("cosine") >= F.col("least")) & F.col("named")).groupBy("key").agg(F.min(F.struct((F.col("at") < n_notices).alias("notice"), (-F.col("cosine")).alias("less"), "license")).alias("best"))
+    words_of = lambda values: F.filter(F.split(of(values), " "), lambda t: t != "")
+    fits = (F.size(F.array_except(words_of(needed_of), "names")) == 0) & ~F.arrays_overlap(words_of(barred_of), F.col("names"))
+    scored = dots.select("key", "at", F.round(F.col("dot") / F.col("norm"), 9).alias("cosine"), of([k for k, _ in templates]).alias("license"), of([str(x) for x in least_of]).cast("double").alias("least"), fits.alias("named"))
+    scored = scored.where((F.col("cosine") >= F.col("least")) & F.col("named")).groupBy("key").agg(F.min(F.struct((F.col("at") < n_notices).alias("notice"), F.contains("license", F.lit(" OR ")).alias("shared"), (-F.col("cosine")).alias("less"), "license")).alias("best"))
 
     found = units.select("row", "first", "last", "key").join(scored.hint("merge"), "key")
     top = found.groupBy("row").agg(F.min("best").alias("best"), F.collect_list(F.struct("first", "last")).alias("spans"))
