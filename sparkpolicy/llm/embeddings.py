@@ -224,3 +224,21 @@ def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_vectors(table(spark, sf_dir, "embeddings"))
 
 
+OP3_SQL = """
+with recursive v as (
+  select vec_id, label, list_transform(embedding, lambda x: x::double) as e from embeddings
+), u as (
+  select vec_id, label, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) as norm from v
+  where label is not null and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(e, lambda x: x <> 0)) > 0
+), l as (
+  select x.vec_id as a, y.vec_id as b from u x join u y on x.label = y.label and x.vec_id <> y.vec_id and len(x.e) = len(y.e)
+  where list_dot_product(x.e, y.e) >= 0.93 * x.norm * y.norm
+), r as (
+  select a, b from l union select r.a, l.b from r join l on l.a = r.b
+), c as (
+  select vec_id, (select count(*) from l where a = vec_id)::bigint as n_links, least(vec_id, coalesce((select min(b) from r where a = vec_id), vec_id)) as component_id from v
+)
+select vec_id, n_links, component_id, vec_id = component_id as kept from c
+"""
+
+

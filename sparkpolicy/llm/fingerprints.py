@@ -135,10 +135,20 @@ def encoded(cells: Column) -> Column:
 
 
 def fingerprint(docs: DataFrame, *, text_col: str = "text", words: int = PIECE_WORDS) -> DataFrame:
-    """``docs`` with ``digests``, ``cells`` and ``fingerprint``; a null text counts as empty."""
-    own = docs.withColumn("digests", digests(F.coalesce(F.col(text_col).cast("string"), F.lit("")), words))
-    own = own.withColumn("cells", sketch(F.col("digests"), F.lit(CELLS)))
-    return own.withColumn("fingerprint", encoded(F.col("cells")))
+    """``docs`` with ``digests``, ``cells`` and ``fingerprint``.
+
+    A column that ``docs`` has already under one of these names stays, and the new one's name gets underscores until it is free. A
+    null text counts as empty, as does one of blanks alone; texts are read whole, however long. Equal texts, and texts of equal
+    pieces in another order, have equal fingerprints; repeated rows stay. An empty table gives no row.
+    """
+    names = []
+    for name in ("digests", "cells", "fingerprint"):
+        while name.lower() in {c.lower() for c in docs.columns}:
+            name += "_"
+        names.append(name)
+    own = docs.select(F.struct(*docs.columns).alias("row"), digests(F.coalesce(F.col(text_col).cast("string"), F.lit("")), words).alias("keys"))
+    own = own.select("row", "keys", sketch(F.col("keys"), F.lit(CELLS)).alias("cells"))
+    return own.select("row.*", F.col("keys").alias(names[0]), F.col("cells").alias(names[1]), encoded(F.col("cells")).alias(names[2]))
 
 
 def _ranges(ids: DataFrame) -> list[int]:
@@ -167,21 +177,25 @@ def with_next(docs: DataFrame, columns: list[str], *, id_col: str = "doc_id") ->
 
     Rows that repeat an id follow each other in the order of ``columns``. Rows without an id have no next
     one: their ``next_`` columns are null. The rows are dealt into ranges of ids; the first row of a range is
-    copied into the range above, so that one shuffle brings each row and its successor together.
+    copied into the range above, so that one shuffle brings each row and its successor together. An empty table gives no row.
     """
     ends = _ranges(docs.select(F.col(id_col).cast("long").alias("id")).where("id is not null"))
-    named = docs.withColumn("_id", F.col(id_col).cast("long"))
-    alone = named.where("_id is null").select("*", *[F.lit(None).cast(docs.schema[c].dataType).alias(f"next_{c}") for c in columns])
+    # The row is one column, so that no name of its own clashes with those of the steps.
+    named = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("id"))
+    nothing = [F.lit(None).cast(docs.schema[c].dataType).alias(f"next_{c}") for c in columns]
+    alone = named.where("id is null").select("row.*", *nothing)
     if not ends:
-        return alone.drop("_id")
-    spot = named.where("_id is not null").withColumn("_range", _range_of(F.col("_id"), ends))
+        return alone
+    spot = named.where("id is not null").withColumn("range", _range_of(F.col("id"), ends))
     tops = F.split(F.lit(",".join(map(str, ends))), ",").cast("array<bigint>")
-    above = F.pmod(F.col("_range") + 1, F.lit(len(ends)))
-    places = F.when(F.element_at(tops, F.col("_range") + 1) == F.col("_id"), F.array(F.struct(F.col("_range").alias("r"), F.lit(False).alias("copy")), F.struct(above.alias("r"), F.lit(True).alias("copy")))).otherwise(F.array(F.struct(F.col("_range").alias("r"), F.lit(False).alias("copy"))))
-    dealt = spot.withColumn("_at", F.explode(places)).withColumns({"_range": F.col("_at.r"), "_copy": F.col("_at.copy")}).drop("_at")
-    order = Window.partitionBy("_range").orderBy("_copy", F.desc("_id"), *columns)
-    out = dealt.select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in columns]).where("not _copy").drop("_range", "_copy")
-    return out.unionByName(alone).drop("_id")
+    above = F.pmod(F.col("range") + 1, F.lit(len(ends)))
+    own = F.struct(F.col("range").alias("r"), F.lit(False).alias("copy"))
+    places = F.when(F.element_at(tops, F.col("range") + 1) == F.col("id"), F.array(own, F.struct(above.alias("r"), F.lit(True).alias("copy")))).otherwise(F.array(own))
+    dealt = spot.select("row", "id", F.explode(places).alias("at")).select("row", "id", "at.r", "at.copy")
+    order = Window.partitionBy("r").orderBy("copy", F.desc("id"), *[f"row.{c}" for c in columns])
+    after = [F.lead(F.col(f"row.{c}")).over(order).alias(f"next_{c}") for c in columns]
+    out = dealt.select("row", "copy", *after).where("not copy").select("row.*", *[f"next_{c}" for c in columns])
+    return out.unionByName(alone)
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from .common import crc_mod, map_texts, table
 
 UND = "und"
+#: The pipeline rejects what is less like every language than this, if it has so many distinct n-grams.
+LEAST_SCORE, LEAST_GRAMS = 0.3, 50
 #: One n-gram holds up to three code points of 21 bits each.
 _BITS = 21
 
@@ -179,18 +181,23 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(fold == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents whose language can't be told (null text, no letter) go.
+def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str, *, least_score: float = LEAST_SCORE, least_grams: int = LEAST_GRAMS) -> DataFrame:
+    """Pipeline stage: documents in none of the learnt languages go.
 
-    Where no language is labelled, documents with a letter stay.
-    The profiles are learnt from the labelled rows of the stage's own input.
+    These are texts without a language (null, empty, no letter), and texts of at least ``least_grams`` distinct n-grams whose
+    score for the nearest language is under ``least_score``: other scripts and languages, codes, noise. Shorter texts give too
+    little to be rejected by. Where no language is labelled, documents with a letter stay. The profiles are learnt from the
+    labelled rows of the stage's own input. Texts are read whole; repeated rows are decided alike; an empty table gives no row.
     """
     cols = docs.columns
     profiles = fit(docs)
-    sent = spark.sparkContext.broadcast(profiles)
+    sent = spark.sparkContext.broadcast(profiles)  # at most max_langs * size entries
 
     def known(text: str | None) -> bool:
-        return identify(text, sent.value)[0] != UND or not sent.value.langs and bool(len(points(text or "")))
+        if not sent.value.langs:
+            return bool(len(points(text or "")))
+        lang, score = identify(text, sent.value)
+        return lang != UND and (score >= least_score or len(counted(text)[0]) < least_grams)
 
     def kept(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch.column(cols.index("text"))

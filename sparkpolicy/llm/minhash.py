@@ -286,6 +286,29 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+OP10_SQL = r"""
+with recursive d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
+), s as (
+  select doc_id, case when len(w) = 0 then []::varchar[] when len(w) < 5 then [array_to_string(w, ' ')]
+    else list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) end as g from d
+), n as (
+  select doc_id, len(g)::bigint as n_shingles from s
+), e as (
+  select doc_id, unnest(g) as g from s
+), p as (
+  select x.doc_id as a, y.doc_id as b, count(*) as shared from e x join e y on x.g = y.g and x.doc_id <> y.doc_id group by 1, 2
+), l as (
+  select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * shared >= 85 * (x.n_shingles + y.n_shingles - shared)
+), r as (
+  select a, b from l union select r.a, l.b from r join l on l.a = r.b
+), c as (
+  select doc_id, n_shingles, least(doc_id, coalesce((select min(b) from r where a = doc_id), doc_id)) as component_id from n
+)
+select doc_id, n_shingles, component_id, doc_id = component_id as kept from c
+"""
+
+
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each group of near-duplicates (80 %) the document with the smallest id stays.
 

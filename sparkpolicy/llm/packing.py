@@ -194,7 +194,7 @@ def cut(docs: DataFrame, *, tokenizer: str, end_id: int = 0, capacity: int = CAP
     """``id``, ``piece``, ``start``, ``length`` and ``ids_crc32`` of each document's pieces.
 
     A document is its ids and then ``end_id``; a null text counts as empty. Only documents longer than
-    ``capacity`` are cut, at its multiples.
+    ``capacity`` are cut, at its multiples. Repeated rows are cut each; an empty table gives no row; other columns are ignored.
     """
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     end = end_id.to_bytes(4, "little")
@@ -251,5 +251,5 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage, the last: the documents that are left, packed."""
+    """Pipeline stage, the last: the documents that are left, packed; nulls, repeats and an empty table as in :func:`pack`."""
     return pack(docs)

@@ -91,7 +91,11 @@ class Quadratic:
 
 
 def featurize(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id`` and ``stats`` (array of double) of every row."""
+    """``id`` and ``stats`` (array of double) of every row.
+
+    A null text counts as an empty one; texts are read whole; repeated rows are measured each; an empty table gives no row. Other
+    columns are ignored.
+    """
 
     def measure(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = [statistics(t.as_py()) for t in batch.column("text")]
@@ -133,7 +137,10 @@ def fit(stats: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", label_co
 
 
 def predict(stats: DataFrame, model: Quadratic, *, threshold: float = THRESHOLD) -> DataFrame:
-    """``id``, ``score`` and ``predicted`` (1 from ``threshold`` on) of every row of :func:`featurize`."""
+    """``id``, ``score`` and ``predicted`` (1 from ``threshold`` on) of every row of :func:`featurize`.
+
+    Repeated rows are scored each, an empty table gives no row; a model without both classes scores all rows alike.
+    """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         x = np.asarray(batch.column("stats").flatten()).reshape(batch.num_rows, -1)
@@ -156,7 +163,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str, *, least: fl
     """Pipeline stage: documents with a score under ``least`` go.
 
     The model is learnt from the stage's own input and the labels outside the held-out quarter; without
-    both classes nothing is rejected. Texts are read once to fit and once to score, and never shuffled.
+    both classes nothing is rejected. Texts are read once to fit and once to score, and never shuffled. A null text
+    counts as an empty one; repeated rows are decided alike; an empty table gives no row.
     """
     stats = written(featurize(docs.where(crc_mod("doc_id", 4) != 2)), "quality-stats")
     model = fit(stats, table(spark, sf_dir, "labels"))

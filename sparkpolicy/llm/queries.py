@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .embeddings import op3_embedding_dedup
+from .embeddings import OP3_SQL, op3_embedding_dedup
 from .fingerprints import op1_fingerprints
 from .language_id import op4_language_id
 from .licenses import op6_licenses
-from .minhash import op10_minhash
+from .minhash import OP10_SQL, op10_minhash
 from .packing import op5_packing
 from .quality import op8_quality
 from .secrets import op2_secrets
@@ -30,4 +30,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_minhash": op10_minhash,
 }
 
-ORACLE_SQL: dict[str, str] = {"op9_warc": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_embedding_dedup": OP3_SQL, "op9_warc": OP9_SQL, "op10_minhash": OP10_SQL}

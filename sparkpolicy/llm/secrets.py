@@ -237,9 +237,13 @@ def redact(text: str, spans: list[tuple[int, int, int]], mark: str) -> str:
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str, *, mark: str = "[SECRET]") -> DataFrame:
-    """Pipeline stage: every secret in ``text`` becomes ``mark``, and ``n_chars`` follows; no row goes."""
+    """Pipeline stage: every secret in ``text`` becomes ``mark``; no row goes.
+
+    A column ``n_chars`` follows, if there is one. A null text stays null; texts are read whole; repeated rows are redacted
+    alike; an empty table gives no row.
+    """
     names = docs.columns
-    at, length = names.index("text"), names.index("n_chars")
+    at, length = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch.column(at)
@@ -247,9 +251,11 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str, *, mark: s
         if not any(found):
             return batch
         new = [redact(t.as_py(), s, mark) if s else t.as_py() for t, s in zip(texts, found, strict=True)]
-        counts = [len(t) if s else n.as_py() for t, s, n in zip(new, found, batch.column(length), strict=True)]
         columns = batch.columns
-        columns[at], columns[length] = pa.array(new, texts.type), pa.array(counts, batch.column(length).type)
+        columns[at] = pa.array(new, texts.type)
+        if length is not None:
+            counts = [len(t) if s else n.as_py() for t, s, n in zip(new, found, batch.column(length), strict=True)]
+            columns[length] = pa.array(counts, batch.column(length).type)
         return pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
     return map_texts(docs, docs.schema, run)

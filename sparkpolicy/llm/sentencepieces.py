@@ -416,7 +416,11 @@ def default_model() -> str:
 
 
 def encode(docs: DataFrame, *, model: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col`` and ``ids`` (array of int) of every row; a null or empty text has none."""
+    """``id_col`` and ``ids`` (array of int) of every row.
+
+    A null or empty text has none. Texts are read whole, long units one by one; a lone surrogate, which no text of a table can
+    hold, would be encoded as its three bytes. Repeated rows are encoded each; an empty table gives no row; other columns are ignored.
+    """
     path = model or default_model()
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
@@ -431,7 +435,11 @@ def encode(docs: DataFrame, *, model: str | None = None, id_col: str = "doc_id",
 
 
 def decode(rows: DataFrame, *, model: str | None = None, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """``id_col`` and ``text`` of every row; null ids give an empty text."""
+    """``id_col`` and ``text`` of every row.
+
+    Null or no ids give an empty text; an id outside of the model raises ``IndexError``. Repeated rows are decoded each; an
+    empty table gives no row.
+    """
     path = model or default_model()
     slim = rows.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
 

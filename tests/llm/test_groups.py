@@ -101,6 +101,16 @@ def test_fingerprint_rows(spark, docs):
     assert out.count() == 14
 
 
+def test_fingerprint_names(spark):
+    """Columns under the operators' own names stay as they are."""
+    names = ["digests", "cells", "fingerprint", "_id", "_range", "_at", "_copy", "row", "id", "range", "at", "copy", "r", "keys", "next_x"]
+    df = spark.range(5).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"), *[F.lit(f"own {n}").alias(n) for n in names])
+    for out in (fingerprints.fingerprint(df), fingerprints.with_next(df, ["text"])):
+        assert out.select(*df.columns).distinct().count() == 5
+        assert all(out.where(F.col(n) == f"own {n}").count() == 5 for n in names)
+    assert {"digests_", "cells_", "fingerprint_"} <= set(fingerprints.fingerprint(df).columns)
+
+
 # -- near-duplicates
 def shingled(text):
     words = re.findall("[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
@@ -277,6 +287,57 @@ def test_license_query(spark, rows):
                 assert (got[d]["license"], got[d]["origin"]) == (want, "own")
 
 
+def test_license_scan_against_a_plain_one(spark):
+    """Best licence and cosine of small files by plain dictionaries, and inheritance by walking up the paths."""
+    import math
+    from collections import Counter
+
+    words = lambda text: [t for t in re.split(r"[^\w.]+|\.(?=\s|$)", text.lower()) if t]
+    files = {
+        "a/LICENSE": "Released under the MIT License", "a/b/x.py": "print", "a/c/y.py": "# Licensed under the Apache License, Version 2.0\nx = 1", "d/e/f/z.py": "",
+        "d/COPYING": "GNU GENERAL PUBLIC LICENSE\nVersion 2, June 1991", "d/q.py": "Released under the Foo License and the driver license", "t.txt": "license " + " ".join(f"w{i}" for i in range(16_000)),
+    }
+    templates = [*sorted(licenses.TEMPLATES), *licenses.full_texts()]
+    candidates = {p: t for p, t in files.items() if re.search(licenses.NOTICE, t)}
+    held = Counter(t for text in [*candidates.values(), *(v for _, v in templates)] for t in set(words(text)))
+    n = len(candidates) + len(templates)
+
+    def vector(text):
+        return {t: (math.log(c) + 1) * (1 + math.log((1 + n) / (1 + held[t])) / math.log(1 + n)) for t, c in Counter(words(text)).items()}
+
+    def cosine(a, b):
+        return sum(w * b.get(t, 0) for t, w in a.items()) / math.sqrt(sum(w * w for w in a.values()) * sum(w * w for w in b.values()))
+
+    own = {}
+    for p, text in candidates.items():
+        lines, best = text.split("\n"), None
+        notes = [i for i, x in enumerate(lines) if re.search(licenses.NOTICE, x)]
+        for unit in {*lines, text} if notes else ():
+            u = vector(unit)
+            for i, (k, t) in enumerate(templates):
+                short = i < len(licenses.TEMPLATES)
+                named = not short or set(licenses.telling(k, t, licenses.TEMPLATES)) <= set(u) and not set(licenses.BARRED.get(k, ())) & set(u)
+                c = round(cosine(u, vector(t)), 9)
+                if named and c >= (licenses.LEAST_COSINE if short else licenses.LEAST_TEXT_COSINE):
+                    best = min(best or (2,), (int(short), " OR " in k, -c, k))
+        own[p] = best
+    rows = licenses.license_files(spark.createDataFrame(list(files.items()), "path string, text string")).collect()
+    for r in rows:
+        best = own.get(r["path"])
+        if best:
+            assert (r["license"], r["origin"]) == (best[3], "own") and abs(r["cosine"] + best[2]) < 1e-6
+    got = {r["path"]: (r["license"], r["origin"], r["licensed_dir"]) for r in rows}
+    assert got["a/b/x.py"] == ("MIT", "inherited", "a") and got["a/c/y.py"][:2] == ("Apache-2.0", "own")
+    assert got["d/e/f/z.py"] == (got["d/COPYING"][0], "inherited", "d") and got["d/COPYING"][0] == "GPL-2.0"
+    assert got["d/q.py"][1] == "inherited" and got["t.txt"] == (None, None, None)
+
+
+def test_shared_wording_names_all_its_licenses(spark):
+    lines = [("BSD-2-Clause OR BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"), ("GPL-2.0 OR GPL-3.0", "GNU GENERAL PUBLIC LICENSE"), ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE\nVersion 2, June 1991"), ("GPL-3.0", "GNU General Public License, version 3"), ("LGPL-2.1 OR LGPL-3.0", "GNU Lesser General Public License version 2"), ("LGPL-3.0", "GNU Lesser General Public License version 3"), ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3")]
+    got = licenses.scan_notices(spark.createDataFrame(lines, "path string, text string")).collect()
+    assert [(r["path"], r["license"]) for r in got if r["path"] != r["license"]] == []
+
+
 def test_licenses_at_every_size(spark):
     """Usual notices keep their licences however many there are, also if each has a name of its own."""
     kinds = [("Apache-2.0", 'Copyright 2021 The Foo Authors. Licensed under the Apache License, Version 2.0 (the "License");'), ("MIT", "// SPDX-License-Identifier: MIT"), ("Apache-2.0", "Copyright 2021 Holder{}. Licensed under the Apache License, Version 2.0")]
@@ -361,13 +422,17 @@ def test_damaged_archives_raise():
         list(warc.members(data[:-9]))
 
 
-def test_warc_query_matches_sql(spark):
+@pytest.mark.parametrize("name", queries.ORACLE_SQL)
+def test_queries_match_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    con.execute(f"create view pages as select * from '{DIR}/pages.parquet'")
-    got = sorted((tuple(r) for r in warc.op9_warc(spark, DIR).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()), key=str)
-    assert got == sorted(con.execute(queries.ORACLE_SQL["op9_warc"]).fetchall(), key=str)
+    for table in ("pages", "documents", "embeddings"):
+        con.execute(f"create view {table} as select * from '{DIR}/{table}.parquet'")
+    want = con.execute(queries.ORACLE_SQL[name])
+    columns = [d[0] for d in want.description]
+    got = sorted((tuple(r) for r in queries.QUERIES[name](spark, DIR).select(*columns).collect()), key=str)
+    assert got == sorted(want.fetchall(), key=str)
 
 
 def test_url_keys():

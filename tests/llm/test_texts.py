@@ -57,7 +57,55 @@ def test_language_is_learnt(spark):
     assert right > 0.95
 
 
+def test_out_of_place_distance(docs):
+    """Prediction and score of every text against a plain computation of the distance."""
+    from collections import Counter
+
+    profiles = language_id.fit(docs, size=40)
+    place = [{k: int(r) for k, r in zip(profiles.keys.tolist(), row.tolist(), strict=True) if r < profiles.size} for row in profiles.ranks]
+    for (text,) in docs.select("text").distinct().collect():
+        lang, score = language_id.identify(text, profiles)
+        keys, counts = language_id.counted(text or "")
+        if not len(keys):
+            assert (lang, score) == ("und", 0.0)
+            continue
+        own = [k for k, _ in sorted(Counter(dict(zip(keys.tolist(), counts.tolist(), strict=True))).items(), key=lambda x: (-x[1], x[0]))][:40]
+        apart = [sum(abs(p[k] - i) if k in p else 40 for i, k in enumerate(own)) for p in place]
+        assert lang == profiles.langs[apart.index(min(apart))] and abs(score - (1 - min(apart) / (40 * len(own)))) < 1e-12
+
+
+def test_the_stage_rejects_what_is_in_no_language(spark):
+    rng = np.random.default_rng(2)
+    prose = [r["text"] for r in spark.read.parquet(f"{DIR}/documents.parquet").where("lang = 'en'").limit(60).collect()]
+    code = "".join(rng.choice(list("qxzjkvwbQXZJKVWB0123456789+/"), 900))
+    rows = [(i, t, "en") for i, t in enumerate(prose)] + [(900, "Съешь же ещё этих мягких французских булок да выпей чаю. " * 9, None), (901, code, None), (902, "Da!", None), (903, "12 34", None), (904, None, "en")]
+    kept = language_id.keep_identified(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), DIR)
+    assert sorted(r["doc_id"] for r in kept.collect()) == [*range(len(prose)), 902]
+
+
 # -- quality
+def test_statistics_and_fit_against_plain_ones(spark):
+    """Statistics of small texts by hand, and the fitted model by numpy's covariances."""
+    import math
+
+    got = dict(zip(quality.STATISTICS, quality.statistics("Aa b1, Aa Aa!\n\nx#"), strict=True))
+    want = {"log_chars": math.log1p(17), "log_words": math.log1p(5), "word_length": math.log1p(12 / 5), "upper": math.sqrt(3 / 8), "digits": math.sqrt(1 / 17), "blanks": math.sqrt(5 / 17), "marks": math.sqrt(2 / 17), "symbols": math.sqrt(1 / 17), "distinct_words": math.log1p(4) / math.log1p(5), "repeats": 0.0, "top_word": math.sqrt(2 / 5), "distinct_lines": 1.0, "log_line_words": math.log1p(2.5)}
+    assert got.keys() == want.keys() and all(abs(got[k] - x) < 1e-12 for k, x in want.items())
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(80, 13)), np.arange(80) % 3 == 0
+    x[y] = x[y] * 1.5 + 0.4
+    stats = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, stats array<double>")
+    labels = spark.createDataFrame([(i, int(v)) for i, v in enumerate(y)], "doc_id long, quality int")
+    model = quality.fit(stats, labels, shrinkage=0.2)
+    covs = [np.cov(x[y == c].T, bias=True) for c in (False, True)]
+    target = np.diag(np.diag(sum(c * n for c, n in zip(covs, ((~y).sum(), y.sum()), strict=True)) / 80))
+    logs = []
+    for c, cov in zip((False, True), covs, strict=True):
+        s, d = 0.8 * cov + 0.2 * target, x - x[y == c].mean(0)
+        logs.append(-0.5 * (np.einsum("ij,jk,ik->i", d, np.linalg.inv(s), d) + np.linalg.slogdet(s)[1]) + math.log((y == c).mean()))
+    assert np.allclose(model.score(x), 1 / (1 + np.exp(logs[0] - logs[1])))
+
+
 def test_quality_is_learnt(spark):
     out = quality.op8_quality(spark, "/root/testdata/sf0.01").where("held_out")
     rows = out.join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").select("quality", "score", "predicted").collect()
