@@ -25,7 +25,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``."""
+    """All stages over the documents of ``sf_dir``: a row for each piece of a document that all stages keep.
+
+    Documents with a null or empty text or without a letter go in the first stage; of repeated rows one stays after the third; an
+    empty table gives no row. Each stage says what it does with other cases.
+    """
     docs = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

@@ -581,7 +581,10 @@ def unify(planner: Planner, pattern: Node, t: Term, scope: Scope) -> tuple[Scope
                 return scope, [F.lit(False)]
             distinct = F.size(F.array_distinct(F.array(*(k.col for k in found)))) if found else F.lit(0)
             guards = [F.coalesce((F.size(m.col) == len(keys)) & (distinct == len(keys)), F.lit(False)), *(F.coalesce(F.map_contains_key(m.col, k.col), F.lit(False)) for k in found)]
-            parts = [cell(m.type.valueType, t, k, col=F.try_element_at(m.col, k.col)) for k in found]
+            if kind(t) is None and None not in names:  # read by path, not from the map
+                parts = [planner.step(t, k, scope) for k in keys]
+            else:
+                parts = [cell(m.type.valueType, t, k, col=F.try_element_at(m.col, k.col)) for k in found]
         pattern = Arr(tuple(x for _, x in pattern.pairs))
     else:
         p = truthy(equal(planner.term(pattern, scope), t))
