@@ -53,6 +53,15 @@ RULES: tuple[Rule, ...] = (
     Rule("forge", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    Rule("forge_fine", r"github_pat_[A-Za-z0-9_]{22,}"),
+    Rule("forge_access", r"glpat-[A-Za-z0-9_-]{20,}"),
+    Rule("chat_hook", r"hooks\.slack\.com/services/T[A-Z0-9]{6,}/B[A-Z0-9]{6,}/[A-Za-z0-9]{16,}"),
+    Rule("cloud_key", r"AIza[0-9A-Za-z_-]{35}"),
+    Rule("payment", r"(?:sk|rk|whsec)_(?:live|test)_[0-9A-Za-z]{16,}"),
+    Rule("mail", r"SG\.[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{16,}"),
+    Rule("package", r"(?:npm_[A-Za-z0-9]{36}|pypi-AgEI[A-Za-z0-9_-]{40,})"),
+    Rule("url", r"[A-Za-z][A-Za-z0-9+.-]{1,20}://[^\s/:@\"']{1,100}:[^\s/@\"']{3,200}@[A-Za-z0-9]"),
+    Rule("bearer", r"(?i:bearer)\x20{1,4}[A-Za-z0-9+/_.=-]{24,}"),
 )
 
 _MOST_STRINGS = 64
