@@ -113,7 +113,7 @@ DOCUMENT_QUERIES: dict[str, Query] = {
     "array_literal": Query(
         r'''v := {"n": count(xs), "second": xs[1], "last": xs[-1]} if xs := [input.s_suppkey, input.s_nationkey, 7]''',
         "v",
-        """select s_suppkey, 3::bigint as n, s_nationkey::bigint as second, 7::bigint as last from supplier""", ("supplier", "s_suppkey"),
+        """select s_suppkey, 3::bigint as n, s_nationkey as second, 7::bigint as last from supplier""", ("supplier", "s_suppkey"),
     ),
     "set_literal": Query(
         r'''v := {"n": count({input.n_regionkey, 1, 2}), "same": {input.n_regionkey, 1} == {1, input.n_regionkey, 1}}''',
@@ -128,7 +128,7 @@ DOCUMENT_QUERIES: dict[str, Query] = {
     "object_union": Query(
         r'''v := {"n": count(u), "b": u.b} if u := union({"a": 1, "z": input.n_name}, {"a": input.n_regionkey, "b": input.n_nationkey})''',
         "v",
-        """select n_nationkey, 3::bigint as n, n_nationkey::bigint as b from nation where n_regionkey=1""", ("nation", "n_nationkey"),
+        """select n_nationkey, 3::bigint as n, n_nationkey as b from nation where n_regionkey=1""", ("nation", "n_nationkey"),
     ),
     "array_concat": Query(
         r'''v := {"n": count(xs), "last": xs[-1]} if xs := array.concat(split(input.p_name, " "), [input.p_brand])''',
