@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from ..functions.columns import COLUMNS, text
 from ..functions.documents import BUILTINS
 from ..lang.errors import CompileError, UnsupportedPlan
-from ..lang.nodes import Arr, Bin, Call, Compr, Every, Lit, Node, Obj, Ref, Rule, SetOf, Stmt, Template, Un, Var, With, walk
+from ..lang.nodes import Arr, Bin, Call, Compr, Every, Lit, Node, Obj, Ref, Rule, SetOf, Stmt, Template, Un, Var, With, children, walk
 from ..plans.analysis import Compiled, arranged, binds, bound, dotted, pattern_vars, reads
 from ..sources.catalog import Catalog
 from .terms import (
@@ -1451,9 +1451,7 @@ class Relation(Planner):
                 raise UnsupportedPlan("the rows have no index: a table's is a column named in the catalogue", e.at)
             at = replace(s, vars={**s.vars, e.value: value, **({e.key: key} if e.key is not None else {})})
             p = RowBody(e.body, at).exists()
-            read = {x.name for stmt in e.body for x in walk(stmt) if isinstance(x, Var)}
-            used = [at.vars[n] for n in read if n in at.vars] + [at.world.input] * ("input" in read)
-            rel.where(F.lit(False) if p is None else ~p | p.isNull(), *narrowed(used, e.body, at))
+            rel.where(F.lit(False) if p is None else ~p | p.isNull(), *terms_of(e.body, at))
 
         self._anti(build, scope, domain.scope if isinstance(domain, Deferred) else scope)
 
@@ -1479,21 +1477,28 @@ class Relation(Planner):
         self.df = self.df.join(df, cond if cond is not None else F.lit(True), "left_anti")
 
 
-def narrowed(used: list[Term], body: tuple[Stmt, ...], scope: Scope) -> list[Term]:
-    """Of objects with known fields the fields that a body names, if it names them all."""
+def terms_of(body: tuple[Stmt, ...], scope: Scope) -> list[Term]:
+    """The bound terms that a body reads; of an object with known fields those that it names."""
     out: list[Term] = []
-    for t in used:
-        if not isinstance(t, Fields):
+
+    def bound_to(name: str) -> Term | None:
+        return scope.vars.get(name, scope.world.input if name == "input" else None)
+
+    def visit(n: Node) -> None:
+        if isinstance(n, Ref) and isinstance(n.base, Var) and n.path and isinstance(n.path[0], Lit):
+            t = bound_to(n.base.name)
+            if isinstance(t, Fields) and n.path[0].value in t.fields:
+                out.append(t.fields[n.path[0].value])
+                for key in n.path[1:]:
+                    visit(key)
+                return
+        if isinstance(n, Var) and (t := bound_to(n.name)) is not None:
             out.append(t)
-            continue
-        named: list[Term] | None = []
-        for node in (n for stmt in body for n in walk(stmt)):
-            if isinstance(node, Ref) and isinstance(node.base, Var) and (scope.vars.get(node.base.name) is t or node.base.name == "input" and scope.world.input is t):
-                key = node.path[0] if node.path else None
-                named = named + [t.fields[key.value]] if named is not None and isinstance(key, Lit) and key.value in t.fields else None if not isinstance(key, Lit) else named
-        plain = sum(isinstance(n, Var) and scope.vars.get(n.name) is t for stmt in body for n in walk(stmt))
-        refs = sum(isinstance(n, Ref) and isinstance(n.base, Var) and scope.vars.get(n.base.name) is t for stmt in body for n in walk(stmt))
-        out += [t] if named is None or plain > refs else named
+        for c in children(n):
+            visit(c)
+
+    for stmt in body:
+        visit(stmt)
     return out
 
 
