@@ -24,8 +24,8 @@ PIECE_WORDS = 32
 #: Cells of a subtable of the fingerprint itself, and of a group's sketches, one size after another.
 CELLS = 4
 RETRIES = (8, 32, 128)
-#: Rounds of peeling; a third of them for each subtable.
-ROUNDS = 15
+#: Subtables of a sketch, and rounds of peeling, a third of them for each.
+SUBTABLES, ROUNDS = 3, 9
 #: Pieces of one version in a group, about.
 GROUP = 6
 #: Documents whose successor is found together, about, and most such ranges.
@@ -48,22 +48,27 @@ def _check(key: Column) -> Column:
     return F.xxhash64(key, F.lit(17)).bitwiseAND(F.lit(0xFFFFFFFF))
 
 
-def _spot(key: Column, sub: Column, size: Column) -> Column:
+def _spot(key: Column, sub: int, size: Column) -> Column:
     """The cell of a key in a subtable. The top 42 bits of a digest have 14 for each subtable."""
-    return F.call_function("shiftrightunsigned", key, F.lit(22) + F.lit(14) * sub).bitwiseAND(size - 1)
+    return F.call_function("shiftrightunsigned", key, F.lit(22 + 14 * sub)).bitwiseAND(size - 1)
 
 
 def _upto(n: Column) -> Column:
     return F.sequence(F.lit(0), n.cast("int") - 1)
 
 
+def _placed(key: Column, size: Column, **more: Column) -> Column:
+    """A key with its cell in each subtable, so that these are computed once."""
+    return F.struct(key.alias("key"), *[_spot(key, sub, size).alias(f"s{sub}") for sub in range(SUBTABLES)], *[c.alias(n) for n, c in more.items()])
+
+
 def sketch(keys: Column, size: Column) -> Column:
     """Three subtables, each an array of ``size`` cells (n, key, sum)."""
     zero = F.lit(0).cast("long")
     empty = F.struct(zero.alias("n"), zero.alias("key"), zero.alias("sum"))
-    plus = lambda c, k: F.struct((c["n"] + 1).alias("n"), c["key"].bitwiseXOR(k).alias("key"), c["sum"].bitwiseXOR(_check(k)).alias("sum"))
-    cell = lambda sub, at: F.aggregate(F.filter(keys, lambda k: _spot(k, sub, size) == at), empty, plus)
-    return F.transform(F.sequence(F.lit(0), F.lit(2)), lambda sub: F.transform(_upto(size), lambda at: cell(sub, at)))
+    plus = lambda c, x: F.struct((c["n"] + 1).alias("n"), c["key"].bitwiseXOR(x["key"]).alias("key"), c["sum"].bitwiseXOR(x["check"]).alias("sum"))
+    part = lambda placed, sub: F.transform(_upto(size), lambda at: F.aggregate(F.filter(placed, lambda x: x[f"s{sub}"] == at), empty, plus))
+    return let(F.transform(keys, lambda k: _placed(k, size, check=_check(k))), lambda placed: F.array(*[part(placed, sub) for sub in range(SUBTABLES)]))
 
 
 def _minus(a: Column, b: Column) -> Column:
@@ -81,11 +86,12 @@ def peel(cells: Column, size: Column) -> Column:
     """
 
     def turn(state: Column, r: Column) -> Column:
-        pure = F.filter(state["cells"][F.pmod(r, F.lit(3))], lambda c: (F.abs(c["n"]) == 1) & (_check(c["key"]) == c["sum"]))
+        pure = F.filter(state["cells"][F.pmod(r, F.lit(SUBTABLES))], lambda c: (F.abs(c["n"]) == 1) & (_check(c["key"]) == c["sum"]))
 
         def without(pure: Column) -> Column:
-            cell = lambda c, sub, at: F.aggregate(F.filter(pure, lambda p: _spot(p["key"], sub, size) == at), c, _minus)
-            left = F.transform(state["cells"], lambda part, sub: F.transform(part, lambda c, at: cell(c, sub, at)))
+            gone = F.transform(pure, lambda c: _placed(c["key"], size, n=c["n"], sum=c["sum"]))
+            part = lambda gone, sub: F.transform(state["cells"][sub], lambda c, at: F.aggregate(F.filter(gone, lambda x: x[f"s{sub}"] == at), c, _minus))
+            left = let(gone, lambda gone: F.array(*[part(gone, sub) for sub in range(SUBTABLES)]))
             return F.when(F.size(pure) == 0, state).otherwise(F.struct(left.alias("cells"), F.concat(state["found"], F.transform(pure, lambda p: p["key"])).alias("found")))
 
         return let(pure, without)
@@ -180,22 +186,22 @@ def with_next(docs: DataFrame, columns: list[str], *, id_col: str = "doc_id") ->
     copied into the range above, so that one shuffle brings each row and its successor together. An empty table gives no row.
     """
     ends = _ranges(docs.select(F.col(id_col).cast("long").alias("id")).where("id is not null"))
-    # The row is one column, so that no name of its own clashes with those of the steps.
-    named = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("id"))
-    nothing = [F.lit(None).cast(docs.schema[c].dataType).alias(f"next_{c}") for c in columns]
-    alone = named.where("id is null").select("row.*", *nothing)
+    # Numbered names inside, so that none of its own clashes with those of the steps.
+    own = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    back = [F.col(n).alias(c) for c, n in own.items()]
+    named = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in own.items()], F.col(f"`{id_col}`").cast("long").alias("id"))
+    alone = named.where("id is null").select(*back, *[F.lit(None).cast(docs.schema[c].dataType).alias(f"next_{c}") for c in columns])
     if not ends:
         return alone
     spot = named.where("id is not null").withColumn("range", _range_of(F.col("id"), ends))
     tops = F.split(F.lit(",".join(map(str, ends))), ",").cast("array<bigint>")
     above = F.pmod(F.col("range") + 1, F.lit(len(ends)))
-    own = F.struct(F.col("range").alias("r"), F.lit(False).alias("copy"))
-    places = F.when(F.element_at(tops, F.col("range") + 1) == F.col("id"), F.array(own, F.struct(above.alias("r"), F.lit(True).alias("copy")))).otherwise(F.array(own))
-    dealt = spot.select("row", "id", F.explode(places).alias("at")).select("row", "id", "at.r", "at.copy")
-    order = Window.partitionBy("r").orderBy("copy", F.desc("id"), *[f"row.{c}" for c in columns])
-    after = [F.lead(F.col(f"row.{c}")).over(order).alias(f"next_{c}") for c in columns]
-    out = dealt.select("row", "copy", *after).where("not copy").select("row.*", *[f"next_{c}" for c in columns])
-    return out.unionByName(alone)
+    here = F.struct(F.col("range").alias("r"), F.lit(False).alias("copy"))
+    places = F.when(F.element_at(tops, F.col("range") + 1) == F.col("id"), F.array(here, F.struct(above.alias("r"), F.lit(True).alias("copy")))).otherwise(F.array(here))
+    dealt = spot.select(*own.values(), "id", F.explode(places).alias("at")).select(*own.values(), "id", "at.r", "at.copy")
+    order = Window.partitionBy("r").orderBy("copy", F.desc("id"), *[own[c] for c in columns])
+    out = dealt.select(*own.values(), "copy", *[F.lead(own[c]).over(order).alias(f"after{i}") for i, c in enumerate(columns)]).where("not copy")
+    return out.select(*back, *[F.col(f"after{i}").alias(f"next_{c}") for i, c in enumerate(columns)]).unionByName(alone)
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
