@@ -3,10 +3,9 @@
 A permutation of the shingle hashes gives two signature values, its minimum and its maximum, so that half
 the hash evaluations fill a signature; both agree with the probability of the Jaccard similarity. Minima and
 maxima go to different bands, whose rows therefore come from different permutations. Documents with a band
-in common are candidates. Candidates are confirmed on their full shingle sets in three steps, each of which
-leaves less: with one member of whatever chains of candidates join, which takes one comparison a document and settles groups of near
-copies; with one member of each band's bucket that isn't yet joined by confirmed links; and, within what buckets are then still
-not joined, tile by tile. Unconfirmed chains are thus never compared all with all, only those
+in common are candidates. Candidates are confirmed on their full shingle sets in two steps: with one member of each
+band's bucket, which is mostly the same one in all buckets of a document; and, within what buckets are then
+not joined by confirmed links, tile by tile. Unconfirmed chains are thus never compared all with all, only those
 who share a bucket are. No link is lost to a bound, and a bucket is compared in as many tasks as its bytes ask for.
 """
 
@@ -240,7 +239,6 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, words: int = WORDS, i
     buckets = rows.groupBy("band", "key").agg(F.count("*").alias("size"), F.min("node").alias("pivot")).where("size > 1")
     buckets = written(buckets.select("band", "key", "pivot").withColumn("bucket", F.monotonically_increasing_id()), "buckets")
     members = written(rows.join(buckets.hint("merge"), ["band", "key"]).select("bucket", "node", "pivot"), "members")
-    chained = written(components(members.select(F.col("node").alias("a"), F.col("pivot").alias("b"))), "candidate-groups")
 
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = slim.schema["id"].dataType.simpleString()
@@ -251,19 +249,15 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, words: int = WORDS, i
         same = (own[:, 0] == batch.column("h1").to_numpy()) & (own[:, 1] == batch.column("h2").to_numpy())  # not another text of that id
         return pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], ["node", "grams"]).filter(pa.array(same))
 
-    wanted = classes.join(chained.select("node").hint("merge"), "node").select(F.col("rep").cast(kind).alias("id"), "node", "h1", "h2")
+    wanted = classes.join(members.select("node").distinct().hint("merge"), "node").select(F.col("rep").cast(kind).alias("id"), "node", "h1", "h2")
     inside = slim.join(wanted.hint("merge"), "id").select("node", "h1", "h2", "text")  # one plan at every size
     sets = map_texts(inside, "node long, grams binary", grams)
     sets = written(sets.groupBy("node").agg(F.max("grams").alias("grams")) if _repeats(marks) else sets, "sets")
 
-    links = written(_confirmed(sets, chained.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")), percent), "links-of-groups")
-    joined = links.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
-    opened = written(_open_buckets(members.select("bucket", "node"), joined), "opened")
-    pairs = opened.where("component <> at").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-    more = written(_confirmed(sets, pairs, percent), "links-of-buckets")
-    links = links.unionByName(more)
+    pairs = members.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
+    links = written(_confirmed(sets, pairs, percent), "links-of-buckets")
     joined = written(components(links), "joined")
-    opened = written(_open_buckets(opened.select("bucket", "node"), joined), "still-open")
+    opened = written(_open_buckets(members.select("bucket", "node"), joined), "still-open")
     links = links.unionByName(_within_buckets(sets, opened, percent))
     found = written(components(links), "components")
 

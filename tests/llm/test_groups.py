@@ -198,6 +198,38 @@ def test_components(spark):
     assert components.components(df.limit(0)).count() == 0
 
 
+def test_components_beyond_one_task(spark, monkeypatch):
+    """Few links are settled without rounds; more than a task may hold go through stars, with the same result."""
+    rng = np.random.default_rng(1)
+    links = [(int(a), int(b)) for a, b in rng.integers(0, 300, (200, 2))] + [(i, i + 1) for i in range(400, 440)] + [(500, x) for x in range(501, 530)]
+    links = [x for x in links if x[0] != x[1]]
+    want = smallest({n for x in links for n in x}, links)
+    df = spark.createDataFrame(links, "a long, b long").repartition(4)
+    rounds = []
+    star = components._star
+    monkeypatch.setattr(components, "_star", lambda *a: rounds.append(1) or star(*a))
+    for held, some in ((1 << 20, False), (8, True)):
+        monkeypatch.setattr(components, "HELD_LINKS", held)
+        rows = [(r["node"], r["component"]) for r in components.components(df).collect()]
+        assert dict(rows) == want and len(rows) == len(want)
+        assert bool(rounds) == some
+
+
+def test_near_duplicates_write_few_tables(spark, monkeypatch):
+    """Each table costs a stage of small tasks: chains of links don't add any."""
+    names = []
+    for m in (minhash, components):
+        monkeypatch.setattr(m, "written", lambda df, what, f=m.written: names.append(what) or f(df, what))
+    words, texts = [f"w{i}" for i in range(200)], {}
+    for i in range(24):
+        texts[i] = " ".join(words)
+        words[(i * 29) % 200] = f"x{i}"
+    want, _ = plain_components(texts, 85)
+    got = minhash.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == want and set(want.values()) == {0}
+    assert len(names) <= 16, names
+
+
 # -- vectors
 def plain_vectors(rows, cosine):
     ok = [(i, np.array(v, float), lab) for i, v, lab in rows if i is not None and lab is not None and v and None not in v and np.isfinite(v).all() and np.any(v)]
