@@ -15,6 +15,8 @@ from ..sources.workers import ship_package
 #: Rows and bytes of one Arrow batch that goes to a Python worker: they bound a worker's memory.
 BATCH_ROWS = 2000
 BATCH_BYTES = 16 << 20
+#: What a Python worker keeps between tasks, by the module that it belongs to: how to let go of it.
+_KEPT: dict[str, Callable[[], None]] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,13 +89,33 @@ def crc_mod(column: str, n: int) -> Column:
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(n))
 
 
+def kept_between_tasks(module: str, forget: Callable[[], None]) -> None:
+    """Have a worker call ``forget`` when it turns from the functions of ``module`` to those of another one."""
+    _KEPT[module] = forget
+
+
+def turn_to(module: str) -> None:
+    """Let go of what this process keeps for other modules: Spark's workers live on from stage to stage."""
+    for name, forget in _KEPT.items():
+        if name != module:
+            forget()
+    if _KEPT.keys() - {module}:
+        pa.default_memory_pool().release_unused()
+        pa.system_memory_pool().release_unused()  # returns the C library's free memory, too
+
+
 def map_texts(
     df: DataFrame, schema: str, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None]
 ) -> DataFrame:
-    """``fn`` over the Arrow batches of ``df``, each bounded by :func:`bound_batches`."""
+    """``fn`` over the Arrow batches of ``df``, each bounded by :func:`bound_batches`.
+
+    A worker first lets go of what other modules' functions have left in it.
+    """
     bound_batches(df.sparkSession)
+    module = fn.__module__
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_to(module)
         for batch in batches:
             if batch.num_rows and (out := fn(batch)) is not None:
                 yield out

@@ -30,6 +30,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     links the result is empty.
     """
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(f"{a} is not null and {b} is not null and u <> v")
+    if getattr(links, "_shared_path", None) and edges.count() <= HELD_LINKS:  # read again at no cost, so that one table is saved
+        return _settled(edges.coalesce(1), HELD_LINKS)
     edges = written(_settled(edges, HELD_LINKS).where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v")), "links")
     for _ in range(MOST_ROUNDS):
         if edges.count() <= HELD_LINKS:

@@ -258,7 +258,8 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, words: int = WORDS, i
     links = written(_confirmed(sets, pairs, percent), "links-of-buckets")
     joined = written(components(links), "joined")
     opened = written(_open_buckets(members.select("bucket", "node"), joined), "still-open")
-    links = links.unionByName(_within_buckets(sets, opened, percent))
+    # Written, so that no task runs two Python functions, for which it would hold two workers.
+    links = written(links.unionByName(_within_buckets(sets, opened, percent)), "all-links")
     found = written(components(links), "components")
 
     least = found.join(classes.select("node", "rep"), "node").groupBy("component").agg(F.min("rep").alias("least"))

@@ -20,13 +20,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import map_texts, shared_path, table
+from .common import kept_between_tasks, map_texts, shared_path, table
 
 CAPACITY = 2048
 #: Pieces that are numbered together.
 CHUNK = 20_000
-_MOST_CACHED = 400_000
+#: Words of a generation of remembered ones, of which there are two; of word parts twice as many.
+_MOST_CACHED = 150_000
 _LONGEST_CACHED = 64
+#: Characters that are split into words at once, unless one text has more.
+_CHARS_AT_ONCE = 2_000_000
 #: Words that are tokenised at once, and marks that are split off a word's end.
 _LINE = 64
 _MARKS = ".,;:!?%$&#*()\""
@@ -138,17 +141,31 @@ class WordTokenizer:
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
+        self.old_words: dict[str, bytes] = {}
+        self.old_parts: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
+        out, at = [], 0
+        while at < len(texts):
+            end, size = at + 1, len(texts[at])
+            while end < len(texts) and size + len(texts[end]) <= _CHARS_AT_ONCE:
+                size += len(texts[end])
+                end += 1
+            out += self._encode(texts[at:end])
+            at = end
+        return out
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        # What is used again moves to the new generation, so that frequent words stay when the old one goes.
         if len(self.words) > _MOST_CACHED:
-            self.words.clear()
+            self.old_words, self.words = self.words, {}
         if len(self.parts) > 2 * _MOST_CACHED:
-            self.parts.clear()
+            self.old_parts, self.parts = self.parts, {}
         words = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        new = set().union(*words).difference(self.words)
+        new = _missing(set().union(*words), self.words, self.old_words)
         cut = {w: self._cut(w) for w in new}
-        self._learn({p for c in cut.values() for p in c}.difference(self.parts))
+        self._learn(_missing({p for c in cut.values() for p in c}, self.parts, self.old_parts))
         self.words.update((w, b"".join(map(self.parts.__getitem__, c))) for w, c in cut.items())
         out = [b"".join(map(self.words.__getitem__, w)) for w in words]
         for w in new:
@@ -179,11 +196,22 @@ class WordTokenizer:
         self.parts.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(alone, found, strict=True))
 
 
+def _missing(wanted: set[str], held: dict[str, bytes], old: dict[str, bytes]) -> set[str]:
+    """What of ``wanted`` isn't in ``held``, after what ``old`` has of it was copied there."""
+    new = wanted.difference(held)
+    again = new.intersection(old)
+    held.update((w, old[w]) for w in again)
+    return new - again
+
+
 @lru_cache(maxsize=2)
 def word_tokenizer(path: str) -> WordTokenizer:
     return WordTokenizer(path)
 
 
+kept_between_tasks(__name__, word_tokenizer.cache_clear)
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
 

@@ -149,6 +149,17 @@ def test_chains_and_tiles(spark, monkeypatch):
         assert got == want
 
 
+def test_no_task_runs_two_python_functions(spark, rows, monkeypatch):
+    plans, write = [], minhash.written
+    parts = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    for module in (minhash, components):
+        monkeypatch.setattr(module, "written", lambda df, what: (plans.append((what, parts(df))), write(df, what))[1])
+    df = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    assert minhash.near_duplicates(df).count() == len(rows)
+    assert {what for what, plan in plans if plan.count("MapInArrow") > 1} == set()
+    assert any("MapInArrow" in plan for _, plan in plans)
+
+
 def test_repeated_ids_with_other_texts(spark):
     words = lambda tag: " ".join(f"{tag}{i}" for i in range(60))
     rows = [(5, words("w")), (5, words("z")), (7, words("w") + " more"), (8, words("z") + " more"), (9, words("z") + " more"), (9, words("z") + " more"), (3, "x y"), (3, "X  Y")]

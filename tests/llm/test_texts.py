@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkpolicy.llm import language_id, packing, quality, secrets, sentencepieces
+from sparkpolicy.llm import common, language_id, packing, quality, secrets, sentencepieces
 
 DIR = "/root/testdata/sf0.001"
 
@@ -258,6 +258,36 @@ def test_word_tokenizer_is_the_tokenizer(texts):
         assert np.frombuffer(mine.encode([t])[0], "<u4").tolist() == theirs.encode(t, add_special_tokens=False).ids
 
 
+def test_remembered_words_are_bounded(texts, monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "_MOST_CACHED", 300)
+    monkeypatch.setattr(packing, "_CHARS_AT_ONCE", 2000)
+    path = packing.default_tokenizer()
+    mine, theirs = packing.WordTokenizer(path), Tokenizer.from_file(path)
+    learnt, whole = [], mine._learn
+    monkeypatch.setattr(mine, "_learn", lambda parts: (learnt.extend(parts), whole(parts))[1])
+    own = [f"often {t[:1500]}" for t in texts.values() if t]
+    for t, ids in zip(own, mine.encode(own), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == theirs.encode(t, add_special_tokens=False).ids
+    assert len(set(learnt)) > 4 * 300
+    assert learnt.count("often") == 1  # frequent words outlive a generation
+    at_once = 2000  # no more words than characters
+    assert max(map(len, (mine.words, mine.old_words))) <= 300 + at_once
+    assert max(map(len, (mine.parts, mine.old_parts))) <= 600 + at_once
+
+
+def test_workers_let_go_of_the_tokenizer(spark, docs):
+    import pyarrow as pa
+
+    def held(batch):
+        return pa.RecordBatch.from_arrays([pa.array([packing.word_tokenizer.cache_info().currsize] * batch.num_rows)], ["n"])
+
+    assert packing.pack(docs).count() > 0
+    slim = docs.select("doc_id").repartition(4)
+    assert {r["n"] for r in common.map_texts(slim, "n long", held).collect()} == {0}
+
+
 # -- SentencePiece
 ODD = ["", "a", " a", "a  b   c", "  ", "\n\n x\t", "日本語 한국어 \U0001f600", "x" * 300 + " " + "ab" * 200, "     lots", "def f(x):\n        return x", "​ z", "0123456789 3.14"]
 
